@@ -19,6 +19,8 @@ BITS = 64
 SAMPLE = 2000
 #: Buckets with more members take the linear path of ``_through_neighbours``.
 DENSE = 128
+#: Cost of verifying a candidate pair (one vectorised XOR) in units of a shuffled probe row.
+PAIR_COST = 0.02
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -106,7 +108,7 @@ def plan(sample: np.ndarray, total: int, differ: int) -> Plan:
                 probes = sum(math.comb(len(group), j) for j in range(r + 1))
                 chance = max(float((apart <= r).mean()) if len(apart) else 0.0, probes / 2.0 ** len(group))
                 # A bucket beyond DENSE costs the neighbours of its members, not its pairs.
-                row[r] = total * (1.0 + probes) + total * min(chance * total, BITS + 1.0 + DENSE)
+                row[r] = total * probes + total * min(PAIR_COST * chance * total, BITS + 1.0)
             costs.append(row)
         best_of: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for row in costs:
