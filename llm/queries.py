@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, embedding, language, packing, quality, simhash, topk
+from llm import bpe, embedding, language, licenses, packing, quality, simhash, substring, topk
 from llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -71,7 +79,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_byte_bpe, op4_embedding_dedup, op5_quality, op7_topk, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_byte_bpe, op4_embedding_dedup, op5_quality, op6_substring_dedup, op7_topk, op8_licenses, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
