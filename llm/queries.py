@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, embedding, language, licenses, packing, quality, simhash, substring, topk
+from llm import bpe, embedding, language, licenses, lm, packing, quality, simhash, substring, topk
 from llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(remainder("doc_id", 7) != 2))
+    found = lm.score(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -79,7 +86,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_byte_bpe, op4_embedding_dedup, op5_quality, op6_substring_dedup, op7_topk, op8_licenses, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_byte_bpe, op4_embedding_dedup, op5_quality, op6_substring_dedup, op7_topk, op8_licenses, op9_packing, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,8 @@ PARAGRAPH = 20
 #: of at least PASSAGE words, from one such word to the next but one, are compared as they are.
 REACH = 3
 PASSAGE = 8
+#: Words that overlapping repeated passages of a document have together at least to be reported.
+REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Keys sent to all tasks, to spare the shuffle of rows that no key meets; beyond, all rows are joined.
@@ -217,7 +219,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
     5-shingles, and shorter passages delimited by the words themselves, by their whole content.
     Similar paragraphs are one class by components. A class in two documents or more stays in that of
     the smallest id (``first_doc``) and is removed from the others. Overlapping passages of a document
-    are merged; start and end are bytes of its UTF-8 text. Rows of one id are one document, rows
+    are merged, and reported from REPORTED words on; start and end are bytes of its UTF-8 text. Rows of one id are one document, rows
     without an id another. Null, empty and unrepeated texts give no rows. Ids are whole numbers.
     """
     docs = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text).cast("string").alias("text"))
@@ -265,7 +267,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
                 stay = _union([p for p in parts if p["low"] == doc])
                 found += [(doc, *p, True) for p in gone] + [(doc, *p, False) for p in stay]
             kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["doc", "start", "end", "n_words", "first_doc", "removed"])
+            yield pa.record_batch([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["doc", "start", "end", "n_words", "first_doc", "removed"])
 
     found = map_arrow(by_doc, merge, "doc long, start long, end long, n_words long, first_doc long, removed boolean", 500)
     name = lambda c: F.when(F.col(c) != NOBODY, F.col(c))
@@ -282,7 +284,7 @@ def _union(parts: list[dict]) -> list[tuple[int, int, int, int]]:
             merged[-1][4] = min(merged[-1][4], p["low"])
         else:
             merged.append([p["start"], p["end"], p["first"], p["last"], p["low"]])
-    return [(s, e, b - a, low) for s, e, a, b, low in merged]
+    return [(s, e, b - a, low) for s, e, a, b, low in merged if b - a >= REPORTED]
 
 
 def without(text: str, parts: list[tuple[int, int]]) -> str:
