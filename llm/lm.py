@@ -19,7 +19,7 @@ from llm.common import map_arrow, scratch, text_bytes
 from llm.words import hashes, mix, spans
 
 #: Bytes of text that are taken apart together.
-CHUNK = 24 << 20
+CHUNK = 10 << 20
 #: Files of the vocabulary; a word's file is the top bits of its hash.
 WORD_BITS = 6
 #: Training tokens of a bigram file.
@@ -113,21 +113,31 @@ def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes(joined, starts, ends), np.diff(at, prepend=0)
 
 
-def bigrams(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bigrams(words: np.ndarray, counts: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word before, word) of each word and of the end of each document."""
-    n = len(counts)
-    doc = np.repeat(np.arange(n), counts + 1)
+    doc = np.repeat(np.arange(len(counts)), counts + 1)
     last = np.cumsum(counts + 1) - 1
-    word = np.empty(len(doc), dtype=np.uint64)
+    word = np.empty(len(doc), dtype=words.dtype)
     inner = np.ones(len(doc), dtype=bool)
     inner[last] = False
-    word[inner], word[last] = words, END
-    before = np.empty(len(doc), dtype=np.uint64)
+    word[inner], word[last] = words, end
+    before = np.empty(len(doc), dtype=words.dtype)
     before[1:] = word[:-1]
-    before[last - counts] = START
+    before[last - counts] = start
     return doc, before, word
 
 
+def numbered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document, number of the word before, of the word, its training count, documents) of each bigram of the texts."""
+    words, counts = tokenised(texts)
+    distinct, at = np.unique(np.concatenate([words, [START, END]]), return_inverse=True)
+    ids, seen = model.lookup(distinct)
+    ids, seen = ids[at], seen[at]
+    doc, before, word = bigrams(ids[:-2], counts, ids[-2], ids[-1])
+    _, _, seen = bigrams(seen[:-2], counts, 0, seen[-1])
+    return doc, before, word, seen, len(counts)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
     """(first column, texts) of rows with about CHUNK bytes of text together; a longer text is a chunk of its own."""
     keys: list = []
@@ -301,9 +311,9 @@ def _count_bigrams(docs: DataFrame, model: Model) -> None:
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, 1):
-            _, before, word = bigrams(*tokenised(texts))
+            _, before, word, _, _ = numbered(model, texts)
             rows = []
-            for shard, (a, b), n in _numbered(model, before, word):
+            for shard, (a, b), n in _sharded(model, before, word):
                 rows.append((shard, packed(step=np.diff(a, prepend=0).astype(np.uint32), word=b.astype(np.uint32), count=n.astype(np.uint32))))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
 
@@ -371,13 +381,11 @@ def _rest(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, tuple[np.ndarray
     return columns[0], columns[1:]
 
 
-def _numbered(model: Model, before: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+def _sharded(model: Model, before: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]]:
     """(shard, word numbers of its distinct bigrams in order, their counts)."""
-    distinct, at = np.unique(np.concatenate([before, word]), return_inverse=True)
-    ids = model.lookup(distinct)[0].astype(np.uint64)[at]
-    pair = ids[: len(before)] << np.uint64(32) | ids[len(before) :]
+    pair = before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
     pair, n = _summed(pair, np.ones(len(pair), dtype=np.int64))
-    shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.int64)
+    shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint16)
     order = np.argsort(shard, kind="stable")
     for s, a, b in _parts(shard[order], 1 << model.bits):
         some = order[a:b]
@@ -407,15 +415,13 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
         for number, (keys, texts) in enumerate(chunks(typed(batches), 1)):
             chunk = part << 32 | number
-            doc, before, word = bigrams(*tokenised(texts))
-            distinct, at = np.unique(np.concatenate([before, word]), return_inverse=True)
-            ids, counts = model.lookup(distinct)
-            left, right = ids[at[: len(doc)]], ids[at[len(doc) :]]
-            seen = counts[at[len(doc) :]]
+            doc, left, right, seen, _ = numbered(model, texts)
             base = np.bincount(doc, weights=np.log10((seen + 1.0) / (model.tokens + model.distinct + 1.0)), minlength=len(keys))
             number_of = np.bincount(doc, minlength=len(keys)), np.bincount(doc, weights=seen > 0, minlength=len(keys)).astype(np.int64)
-            shard = (mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) >> np.uint64(64 - model.bits)).astype(np.int64)
-            order = np.lexsort((doc, right, left, shard))
+            pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+            order = np.argsort(pair, kind="stable")  # by both words, then by document, then by shard
+            shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint16)
+            order = order[np.argsort(shard[order], kind="stable")]
             rows = []
             for s, a, b in _parts(shard[order], shards):
                 some = order[a:b]

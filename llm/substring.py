@@ -15,6 +15,8 @@ from llm.words import hashes, mix, shingles, spans, sums
 
 SHINGLE = 5
 JACCARD = 0.8
+#: Rows of a band at least; fewer let too many unlike paragraphs meet.
+ROWS = 3
 #: Least probability that two paragraphs of Jaccard JACCARD share a band.
 RECALL = 0.998
 #: Words that a paragraph has at least to be compared by MinHash.
@@ -28,30 +30,34 @@ REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Keys sent to all tasks, to spare the shuffle of rows that no key meets; beyond, all rows are joined.
-SENT_KEYS = 4_000_000
+SENT_KEYS = 200_000
+#: Characters of text that are taken apart together.
+TOGETHER = 4 << 20
 NOBODY = -(1 << 63)
 
 
 def bands(least: float = JACCARD, recall: float = RECALL) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of as many rows as still give the recall at similarity ``least``, at 48 hashes or fewer."""
-    best = None
-    for rows in range(1, 9):
-        number = max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**rows)))
-        if number * rows <= 48:  # more rows let fewer unlike paragraphs meet
-            cost = number * (1 + 40 * 0.5**rows)
-            if best is None or cost < best[0]:
-                best = cost, number, rows
-    assert best is not None
-    return best[1], best[2]
-
-
-class Text:
-    """Words of one text: byte spans, hashes, and the line each lies in."""
-
-    def __init__(self, text: str | None):
-        self.data = text_bytes(text)
+    """(bands, rows) of the fewest hashes that give the recall at similarity ``least``, with ROWS rows at least."""
+    choices = [(max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**rows))), rows) for rows in range(ROWS, 9)]
+    return min(choices, key=lambda c: c[0] * c[1])
+
+
+class Texts:
+    """Words of some texts side by side: byte spans, hashes, and the text each lies in."""
+
+    def __init__(self, texts: list[str | None]):
+        data = [text_bytes(t) for t in texts]
+        self.data = b"\n".join(data)
         self.starts, self.ends = spans(self.data)
         self.hash = hashes(self.data, self.starts, self.ends)
+        size = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) + 1
+        #: The first byte and the first word of each text, and where the last ends.
+        self.bytes = np.concatenate([[0], np.cumsum(size)])
+        self.words = np.searchsorted(self.starts, self.bytes)
+
+    def owner(self, word: np.ndarray) -> np.ndarray:
+        """The number of the text that each word lies in."""
+        return np.searchsorted(self.words, word, side="right") - 1
 
     def paragraphs(self, least: int = PARAGRAPH) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last word of each line of at least ``least`` words."""
@@ -66,44 +72,58 @@ class Text:
         if len(self.hash) < 2 * REACH + 1:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         order = mix(self.hash ^ np.roll(self.hash, -1) * np.uint64(3))
-        order[-1] = np.iinfo(np.uint64).max
+        ends = self.words[1:][self.words[1:] > self.words[:-1]] - 1
+        order[ends] = np.iinfo(np.uint64).max
         window = np.lib.stride_tricks.sliding_window_view(order, 2 * REACH + 1)
-        at = REACH + np.flatnonzero(window.argmin(axis=1) == REACH)
+        at = REACH + np.flatnonzero((window[:, :REACH].min(axis=1) > order[REACH:-REACH]) & (window[:, REACH + 1 :].min(axis=1) >= order[REACH:-REACH]))
+        text = self.owner(at)
+        inside = (at - self.words[text] >= REACH) & (self.words[text + 1] - at > REACH)
+        at, text = at[inside], text[inside]
         first, last = at[:-2], at[2:]
-        keep = last - first >= PASSAGE
+        keep = (last - first >= PASSAGE) & (text[:-2] == text[2:])
         return first[keep], last[keep]
 
+    def signatures(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(paragraphs, bands): MinHash bands of the shingles of each run of words."""
+        number, rows = bands()
+        rng = np.random.default_rng(5)
+        scale = rng.integers(1, 1 << 31, number * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        shift = rng.integers(0, 1 << 32, number * rows, dtype=np.uint32)
+        grams = np.append((shingles(self.hash, SHINGLE) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+        at = np.column_stack([first, last - SHINGLE + 1]).ravel()
+        found = np.zeros((number, len(first)), dtype=np.uint64)
+        for k in range(number * rows):
+            value = (grams ^ shift[k]) * scale[k]
+            low = np.minimum.reduceat(value ^ (value >> np.uint32(15)), at)[0::2]
+            found[k // rows] = mix(found[k // rows] * np.uint64(31) + low + np.uint64(k // rows))
+        return found.T
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Texts]]:
+    """(owners, texts) of rows (doc, text), about TOGETHER characters at a time."""
+    for batch in batches:
+        docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= TOGETHER):
+                size += len(texts[b] or "")
+                b += 1
+            yield docs[a:b], Texts(texts[a:b])
+            a = b
+
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """(key, doc, bands) of each paragraph."""
-    number, rows = bands()
-    rng = np.random.default_rng(5)
-    scale = rng.integers(1, 1 << 62, number * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 1 << 63, number * rows, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, keys, held = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Text(text)
-                first, last = own.paragraphs()
-                if not len(first):
-                    continue
-                grams = shingles(own.hash, SHINGLE)
-                low = np.empty((number * rows, len(first)), dtype=np.uint64)
-                for k in range(number * rows):
-                    value = np.append(grams * scale[k] + shift[k], [np.uint64(0)] * (SHINGLE - 1))
-                    value ^= value >> np.uint64(32)
-                    at = np.column_stack([first, last - SHINGLE + 1]).ravel()
-                    low[k] = np.minimum.reduceat(value, at)[0::2]
-                band = np.zeros((number, len(first)), dtype=np.uint64)
-                for k in range(number * rows):
-                    band[k // rows] = mix(band[k // rows] * np.uint64(31) + low[k] + np.uint64(k // rows))
-                owner += [doc] * len(first)
-                keys.append(sums(own.hash, first, last))
-                held += band.T.view(np.int64).tolist()
-            if owner:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["key", "doc", "bands"])
+        for owners, own in _some(batches):
+            first, last = own.paragraphs()
+            if not len(first):
+                continue
+            found = own.signatures(first, last)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * found.shape[1]), pa.array(np.ascontiguousarray(found).view(np.int64).ravel()))
+            yield pa.record_batch([pa.array(sums(own.hash, first, last).view(np.int64)), pa.array(owners[own.owner(first)]), held], names=["key", "doc", "bands"])
 
     return map_arrow(docs, run, "key long, doc long, bands array<long>")
 
@@ -130,18 +150,13 @@ def _contents(docs: DataFrame, known: Known) -> DataFrame:
     """(key, grams): the sorted shingle hashes of paragraphs whose keys may be known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, held = [], []
-            for text in batch.column(1).to_pylist():
-                own = Text(text)
-                first, last = own.paragraphs()
-                key = sums(own.hash, first, last).view(np.int64)
-                at = np.flatnonzero(known.holds(key))
-                if len(at):
-                    grams = shingles(own.hash, SHINGLE)
-                    keys += key[at].tolist()
-                    held += [np.unique(grams[first[k] : last[k] - SHINGLE + 1]).tobytes() for k in at]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], names=["key", "grams"])
+        for _, own in _some(batches):
+            first, last = own.paragraphs()
+            key = sums(own.hash, first, last).view(np.int64)
+            at = np.flatnonzero(known.holds(key))
+            grams = shingles(own.hash, SHINGLE)
+            held = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[at].tolist(), (last[at] - SHINGLE + 1).tolist())]
+            yield pa.record_batch([pa.array(key[at]), pa.array(held, pa.binary())], names=["key", "grams"])
 
     return map_arrow(docs, run, "key long, grams binary")
 
@@ -181,37 +196,16 @@ def _similar(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _passage_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc) of each passage, once a document."""
+    """(key, doc) of each passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Text(text)
-                key = np.unique(_digests(own.hash, *own.passages()))
-                keys.append(key.view(np.int64))
-                owner.append(np.full(len(key), doc))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner).astype(np.int64))], names=["key", "doc"])
+        for owners, own in _some(batches):
+            first, last = own.passages()
+            yield pa.record_batch([pa.array(sums(own.hash, first, last).view(np.int64)), pa.array(owners[own.owner(first)])], names=["key", "doc"])
 
     return map_arrow(docs, run, "key long, doc long")
 
 
-def _digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A digest of each passage; passages overlap by halves, so every other one is taken at a time."""
-    found = np.zeros(len(first), dtype=np.uint64)
-    for half in (0, 1):
-        order = np.arange(half, len(first), 2)
-        done = np.zeros(0, dtype=np.int64)
-        while len(order):  # those that begin before the one before ends wait for the next turn
-            end = np.concatenate([[-1], np.maximum.accumulate(last[order])[:-1]])
-            clear = first[order] >= end
-            done = order[clear]
-            found[done] = sums(words, first[done], last[done])
-            order = order[~clear]
-    return found
-
-
 def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
     """(ident, start, end, n_words, removed, first_doc): passages of each text that other documents have too.
 
@@ -239,21 +233,16 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
     known = Known(flagged)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Text(value)
-                a, b = own.paragraphs()
-                c, d = own.passages()
-                key = np.concatenate([sums(own.hash, a, b), _digests(own.hash, c, d)]).view(np.int64)
-                first, last = np.concatenate([a, c]), np.concatenate([b, d])
-                at = np.flatnonzero(known.holds(key))
-                if len(at):
-                    found = key[at], np.full(len(at), doc), own.starts[first[at]], own.ends[last[at] - 1], first[at], last[at]
-                    for column, more in zip(columns, found):
-                        column.append(more)
-            if columns[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["key", "doc", "start", "end", "first", "last"])
+        for owners, own in _some(batches):
+            a, b = own.paragraphs()
+            c, d = own.passages()
+            first, last = np.concatenate([a, c]), np.concatenate([b, d])
+            key = sums(own.hash, first, last).view(np.int64)
+            at = np.flatnonzero(known.holds(key))
+            first, last = first[at], last[at]
+            text = own.owner(first)
+            columns = key[at], owners[text], own.starts[first] - own.bytes[text], own.ends[last - 1] - own.bytes[text], first - own.words[text], last - own.words[text]
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "end", "first", "last"])
 
     rows = map_arrow(docs, occur, "key long, doc long, start long, end long, first long, last long")
     rows = rows.join(flagged.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
