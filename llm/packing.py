@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,26 @@ PIECE = 512
 END = 0
 
 
+#: Texts with an unbroken run of so many characters are encoded by ``llm.bpe``, whose merging is not quadratic.
+RUN = 4096
+
+
+@functools.cache
+def _library(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder(path).ranks, special_tokens={})
+
+
+def tokens(path: str, text: str | None) -> np.ndarray:
+    """Ids of a whole text, and id 0; strings of special tokens are ordinary text."""
+    text = text or ""
+    if max(map(len, text.split()), default=0) >= RUN or " " * RUN in text or "\n" * RUN in text:
+        ids = next(encoder(path).encode_batch([text]))[0]
+    else:
+        ids = _library(path).encode_ordinary(text)
+    ids.append(END)
+    return np.array(ids, dtype="<u4")
+
+
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Items of each of ``ways`` parts with near-equal sums, by Karmarkar-Karp multiway differencing.
 
@@ -97,7 +120,6 @@ class Packer:
 
 def _pack(docs: DataFrame, path: str, ident: str, text: str, window: int, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 36, window)
 
         def rows(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -111,9 +133,8 @@ def _pack(docs: DataFrame, path: str, ident: str, text: str, window: int, with_i
         for batch in batches:
             kind = batch.column(0).type
             found: list[tuple] = []
-            texts = batch.column(1).to_pylist()
-            for key, (ids, _, _) in zip(batch.column(0).to_pylist(), own.encode_batch(texts)):
-                found += packer.add(key, np.array([*ids, END], dtype="<u4"))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found += packer.add(key, tokens(path, text))
             if found:
                 yield rows(found, kind)
         if kind is not None:
