@@ -76,7 +76,7 @@ window("src_ohlc4", lambda: w.ohlc4(), "(open + high + low + close) / 4")
 window("src_hlcc4", lambda: w.hlcc4(), "(high + low + 2 * close) / 4")
 window("ta_sma", lambda: w.sma(S, X.close, 14), full(14, f"avg(close) {over(14)}"))
 window("ta_sum", lambda: w.rolling_sum(S, X.close, 10), full(10, f"sum(close) {over(10)}"))
-window("ta_vwma", lambda: w.vwma(S, X.close, X.volume, 10), full(10, f"sum(close * volume) {over(10)} / sum(volume) {over(10)}"), digits=4)
+window("ta_vwma", lambda: w.vwma(S, X.close, X.volume, 10), full(10, f"sum(close * volume) {over(10)} / sum(volume) {over(10)}"), digits=9)
 LAG = "(PARTITION BY symbol ORDER BY ts)"
 window("ta_swma", lambda: w.swma(S, X.close), f"(lag(close, 3) OVER {LAG} + 2 * lag(close, 2) OVER {LAG} + 2 * lag(close, 1) OVER {LAG} + close) / 6")
 window("ta_change", lambda: w.change(S, X.close, 3), f"close - lag(close, 3) OVER {LAG}")
@@ -214,8 +214,13 @@ recurrent("ta_atr", r.atr(14, "value"), rma_sql("coalesce(b.tr, b.high - b.low)"
 recurrent("ta_rsi", r.rsi("close", 14, "value"), rma_sql("greatest(b.dc, 0)", 14, "up", 1) | rma_sql("greatest(-b.dc, 0)", 14, "down", 1), {"value": "CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END"})
 FAST, SLOW = ema_sql("b.close", 12, "f"), ema_sql("b.close", 26, "s")
 recurrent("ta_macd", r.macd("close", 12, 26, 9, "macd"), {"f": FAST, "s": SLOW, "g": ("0", f"0.2 * (({FAST[1]}) - ({SLOW[1]})) + 0.8 * r.g")}, {"macd": "f - s", "macd_signal": "g", "macd_hist": "f - s - g"})
-recurrent("ta_nvi", r.nvi("value"), {"value": ("1", "CASE WHEN b.volume < b.pv AND b.pc <> 0 THEN r.value + r.value * ((b.close - b.pc) / b.pc) ELSE r.value END")}, digits=2)
-recurrent("ta_pvi", r.pvi("value"), {"value": ("1", "CASE WHEN b.volume > b.pv AND b.pc <> 0 THEN r.value + r.value * ((b.close - b.pc) / b.pc) ELSE r.value END")}, digits=2)
+#: The prices of events leap, so these indexes span many powers of ten and are compared by logarithm.
+for _name, _spec, _turn in (("ta_nvi", r.nvi("value"), "<"), ("ta_pvi", r.pvi("value"), ">")):
+    framed(
+        _name,
+        lambda b, spec=_spec: r.recur(b, [spec]).select("symbol", "ts", F.round(F.log10(X.value + 1), 6).alias("value")),
+        f"rec AS (SELECT symbol, ts, rn, CAST(1 AS DOUBLE) AS value FROM d WHERE rn = 1 UNION ALL SELECT b.symbol, b.ts, b.rn, CASE WHEN b.volume {_turn} b.pv AND b.pc <> 0 THEN r.value + r.value * ((b.close - b.pc) / b.pc) ELSE r.value END FROM rec r JOIN d b ON b.symbol = r.symbol AND b.rn = r.rn + 1) SELECT symbol, ts, round(log10(value + 1), 6) AS value FROM rec",
+    )
 HA_CLOSE = "(b.open + b.high + b.low + b.close) / 4"
 HA_OPEN = "(r.ha_open + r.ha_close) / 2"
 recurrent(
