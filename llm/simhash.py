@@ -246,7 +246,7 @@ def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     """
     found = near_duplicates(docs, ident, text)
     kept = cut(found.where(F.col(ident) == F.col("component_id")).groupBy(F.col(ident).alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
-    rows = docs.join(kept, docs[ident] == kept["_kept"], "left_semi")
+    rows = docs.join(kept.hint("merge"), docs[ident] == kept["_kept"], "left_semi")
     if kept.where("_n > 1").limit(1).count():
         rows = rows.dropDuplicates([ident])
     nameless = found.where("component_id is null").select("fingerprint", "class_fingerprint").distinct()

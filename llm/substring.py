@@ -29,8 +29,9 @@ PASSAGE = 8
 REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
-#: Keys sent to all tasks, to spare the shuffle of rows that no key meets; beyond, all rows are joined.
-SENT_KEYS = 200_000
+#: Keys of paragraphs sent to all tasks (8 bytes each), to spare the shuffle of contents that no key meets;
+#: beyond, the contents of all paragraphs are joined.
+SENT_KEYS = 2_000_000
 #: Characters of text that are taken apart together.
 TOGETHER = 4 << 20
 NOBODY = -(1 << 63)
@@ -134,7 +135,7 @@ class Known:
     def __init__(self, keys: DataFrame):
         self.sent = None
         if keys.count() <= SENT_KEYS:
-            values = np.sort(keys.select("key").toPandas()["key"].to_numpy(dtype=np.int64))
+            values = np.sort(keys.select("key").toArrow()["key"].to_numpy())
             self.sent = keys.sparkSession.sparkContext.broadcast(values)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
@@ -230,23 +231,20 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
     flagged = owned.select("key", "root").join(group, "root").select("key", "low")
     short = _passage_keys(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
     flagged = cut(flagged.unionAll(short), "substring-flagged")
-    known = Known(flagged)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owners, own in _some(batches):
             a, b = own.paragraphs()
             c, d = own.passages()
             first, last = np.concatenate([a, c]), np.concatenate([b, d])
-            key = sums(own.hash, first, last).view(np.int64)
-            at = np.flatnonzero(known.holds(key))
-            first, last = first[at], last[at]
             text = own.owner(first)
-            columns = key[at], owners[text], own.starts[first] - own.bytes[text], own.ends[last - 1] - own.bytes[text], first - own.words[text], last - own.words[text]
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "end", "first", "last"])
+            start, end = own.starts[first], own.ends[last - 1]
+            columns = sums(own.hash, first, last).view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text], last - first
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "size", "first", "words"])
 
-    rows = map_arrow(docs, occur, "key long, doc long, start long, end long, first long, last long")
-    rows = rows.join(flagged.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"))
-    by_doc = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end", "first", "last", "low")).alias("parts"))
+    rows = map_arrow(docs, occur, "key long, doc long, start long, size long, first long, words long")
+    rows = rows.join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    by_doc = rows.groupBy("doc").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"), "first", (F.col("first") + F.col("words")).alias("last"), "low")).alias("parts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +290,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     gone = repeats(docs, ident, text, least).where("removed").groupBy(F.col(ident).alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_parts"))
     gone = cut(gone, "substring-gone")
     names = docs.columns
-    rows = docs.join(gone, docs[ident].eqNullSafe(gone["_doc"]), "left").select(F.struct(*[docs[c] for c in names]).alias("row"), "_parts")
+    rows = docs.join(gone.hint("merge"), docs[ident].eqNullSafe(gone["_doc"]), "left").select(F.struct(*[docs[c] for c in names]).alias("row"), "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
