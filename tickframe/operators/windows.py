@@ -309,5 +309,6 @@ def value_when(s: Series, condition: Column, x: Column, occurrence: int = 0) ->
 def correlation(s: Series, x: Column, y: Column, n: int) -> Column:
     """Pearson over n slots; 0.0 where one of them doesn't vary; missing if a slot is."""
     w = s.slots(n)
-    flat = (F.stddev_pop(x).over(w) == 0) | (F.stddev_pop(y).over(w) == 0)
-    return F.when((F.count(x).over(w) == n) & (F.count(y).over(w) == n), F.when(flat, 0.0).otherwise(F.corr(x, y).over(w)))
+    sx, sy = F.stddev_pop(x).over(w), F.stddev_pop(y).over(w)
+    whole = (F.count(x).over(w) == n) & (F.count(y).over(w) == n)
+    return F.when(whole, F.coalesce(F.try_divide(F.covar_pop(x, y).over(w), sx * sy), F.lit(0.0)))
