@@ -29,9 +29,6 @@ PASSAGE = 8
 REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
-#: Keys of paragraphs sent to all tasks (8 bytes each), to spare the shuffle of contents that no key meets;
-#: beyond, the contents of all paragraphs are joined.
-SENT_KEYS = 2_000_000
 #: Characters of text that are taken apart together.
 TOGETHER = 4 << 20
 NOBODY = -(1 << 63)
@@ -129,37 +126,31 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "key long, doc long, bands array<long>")
 
 
-class Known:
-    """Keys in a broadcast sorted array, or None if there are too many to send."""
+def _contents(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, grams): the sorted shingle hashes of the paragraphs in ``members``.
 
-    def __init__(self, keys: DataFrame):
-        self.sent = None
-        if keys.count() <= SENT_KEYS:
-            values = np.sort(keys.select("key").toArrow()["key"].to_numpy())
-            self.sent = keys.sparkSession.sparkContext.broadcast(values)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        if self.sent is None:
-            return np.ones(len(keys), dtype=bool)
-        values = self.sent.value
-        if not len(values):
-            return np.zeros(len(keys), dtype=bool)
-        return values[np.minimum(np.searchsorted(values, keys), len(values) - 1)] == keys
-
-
-def _contents(docs: DataFrame, known: Known) -> DataFrame:
-    """(key, grams): the sorted shingle hashes of paragraphs whose keys may be known."""
+    Each is read from the first document that has it, to which the keys are sent: documents are
+    shuffled by their ids once, and of what they hold only candidates go on.
+    """
+    wanted = lines.select("key", "low").join(members.select(F.col("key").alias("_key")).distinct(), F.col("key") == F.col("_key"), "left_semi")
+    wanted = cut(wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list("key").alias("keys")), "substring-wanted")
+    rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _some(batches):
-            first, last = own.paragraphs()
-            key = sums(own.hash, first, last).view(np.int64)
-            at = np.flatnonzero(known.holds(key))
-            grams = shingles(own.hash, SHINGLE)
-            held = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[at].tolist(), (last[at] - SHINGLE + 1).tolist())]
-            yield pa.record_batch([pa.array(key[at]), pa.array(held, pa.binary())], names=["key", "grams"])
+        for batch in batches:
+            lists, at = batch.column(2).to_pylist(), 0
+            for owners, own in _some([batch]):
+                first, last = own.paragraphs()
+                key = sums(own.hash, first, last).view(np.int64)
+                text = own.owner(first)
+                sought = [set(keys) for keys in lists[at : at + len(owners)]]
+                at += len(owners)
+                hits = [k for k, (value, t) in enumerate(zip(key.tolist(), text.tolist())) if value in sought[t]]
+                grams = shingles(own.hash, SHINGLE)
+                held = [np.unique(grams[first[k] : last[k] - SHINGLE + 1]).tobytes() for k in hits]
+                yield pa.record_batch([pa.array(key[hits]), pa.array(held, pa.binary())], names=["key", "grams"])
 
-    return map_arrow(docs, run, "key long, grams binary")
+    return map_arrow(rows, run, "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
 
 
 def _similar(rows: DataFrame, least: float) -> DataFrame:
@@ -221,9 +212,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
     lines = _paragraphs(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("bands").alias("bands"))
     lines = cut(lines, "substring-lines")
     members = shared_buckets(lines.select(F.explode("bands").alias("bucket"), "key"), "bucket", "substring-buckets")
-    known = Known(members.select("key").distinct())
-    contents = _contents(docs, known).groupBy("key").agg(F.first("grams").alias("grams"))
-    contents = cut(contents, "substring-contents")
+    contents = cut(_contents(docs, lines, members), "substring-contents")
     edges = _similar(tiles(members.join(contents, "key"), "bucket", "key", BLOCK), least)
     roots = components(edges, "substring-cc")
     owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high"), "substring-owner")

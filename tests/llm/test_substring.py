@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from llm import substring
 from llm.words import hashes, shingles, spans
 
@@ -41,9 +39,7 @@ def test_finds_planted_passages_only(spark):
     assert text in passage and len(text.split()) == cut.n_words >= 40
 
 
-@pytest.mark.parametrize("sent", [0, 10**6])
-def test_removal_and_odd_rows(spark, monkeypatch, sent):
-    monkeypatch.setattr(substring, "SENT_KEYS", sent)
+def test_removal_and_odd_rows(spark):
     rows, _ = corpus()
     odd = [(None, None), (None, ""), (50, None), (51, "  "), (52, "word " * 30000), (52, "word " * 30000)]
     kept = substring.remove_repeats(frame(spark, [*rows.items(), *odd]))
