@@ -30,7 +30,7 @@ REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Characters of text that are taken apart together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 NOBODY = -(1 << 63)
 
 

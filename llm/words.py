@@ -40,11 +40,21 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+#: Elements that ``sums`` takes at once, which bounds its temporary arrays.
+AT_ONCE = 1 << 19
+
+
 def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each sequence values[start:end]; the sequences are in order and don't overlap."""
+    """A 64-bit digest of each sequence values[start:end]."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     size = ends - starts
+    done = np.cumsum(size)
+    if done[-1] > AT_ONCE and len(starts) > 1:
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(done, np.arange(AT_ONCE, done[-1], AT_ONCE), side="right"), [len(starts)]]))
+        if len(cuts) == 2:  # one long sequence among short ones
+            cuts = np.array([0, len(starts) // 2, len(starts)])
+        return np.concatenate([sums(values, starts[a:b], ends[a:b]) for a, b in zip(cuts, cuts[1:])])
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     some = values[np.repeat(starts, size) + at] * _powers(int(size.max()))[at]
     total = np.add.reduceat(np.append(some, np.uint64(0)), np.cumsum(size) - size)
