@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from llm import substring
 from llm.words import hashes, shingles, spans
 
@@ -29,7 +31,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1, "clash", None) for i, t in rows], SCHEMA)
 
 
-def test_finds_planted_passages_only(spark):
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_finds_planted_passages_only(spark, monkeypatch, sent):
+    monkeypatch.setattr(substring, "SENT_KEYS", sent)
     rows, passage = corpus()
     found = substring.repeats(frame(spark, rows.items())).collect()
     assert {r.doc_id for r in found} == {20, 21, 22, 23, 3, 30, 5, 40}
@@ -39,7 +43,9 @@ def test_finds_planted_passages_only(spark):
     assert text in passage and len(text.split()) == cut.n_words >= 40
 
 
-def test_removal_and_odd_rows(spark):
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_removal_and_odd_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(substring, "SENT_KEYS", sent)
     rows, _ = corpus()
     odd = [(None, None), (None, ""), (50, None), (51, "  "), (52, "word " * 30000), (52, "word " * 30000)]
     kept = substring.remove_repeats(frame(spark, [*rows.items(), *odd]))
