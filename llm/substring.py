@@ -29,8 +29,6 @@ PASSAGE = 8
 REPORTED = 25
 #: Members of a block of a bucket.
 BLOCK = 256
-#: Keys of candidate paragraphs (8 bytes each) that are sent to the tasks.
-SENT_KEYS = 2_000_000
 #: Characters of text that are taken apart together.
 TOGETHER = 1 << 20
 NOBODY = -(1 << 63)
@@ -128,50 +126,31 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "key long, doc long, bands array<long>")
 
 
-def _grams(own: Texts, hits: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """(key, grams) of the paragraphs numbered ``hits``."""
-    grams = shingles(own.hash, SHINGLE)
-    held = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[hits].tolist(), (last[hits] - SHINGLE + 1).tolist())]
-    return pa.record_batch([pa.array(key[hits]), pa.array(held, pa.binary())], names=["key", "grams"])
-
-
 def _contents(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
     """(key, grams): the sorted shingle hashes of the paragraphs in ``members``.
 
-    Up to SENT_KEYS keys are sent to the tasks, which pick them out of the texts. Beyond, each is read
-    from the first document that has it: keys and documents are joined by the document's id.
+    Each is read from the first document that has it: keys and documents are joined by the document's
+    id, at every size, so nothing that grows with the corpus is sent to all tasks.
     """
-    keys = cut(members.select("key").distinct(), "substring-candidates")
-    if keys.count() <= SENT_KEYS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()))
+    keys = cut(members.select(F.col("key").alias("_key")).distinct(), "substring-candidates")
+    wanted = lines.select("key", "low").join(keys, F.col("key") == F.col("_key"), "left_semi")
+    wanted = cut(wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list("key").alias("keys")), "substring-wanted")
+    rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            for _, own in _some(batches):
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, at = batch.column(2).to_pylist(), 0
+            for owners, own in _some([batch]):
                 first, last = own.paragraphs()
                 key = sums(own.hash, first, last).view(np.int64)
-                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                yield _grams(own, np.flatnonzero(known[at] == key) if len(known) else np.zeros(0, dtype=np.int64), key, first, last)
-
-        found = map_arrow(docs, pick, "key long, grams binary")
-    else:
-        wanted = lines.select("key", "low").join(keys.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left_semi")
-        wanted = cut(wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list("key").alias("keys")), "substring-wanted")
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists, at = batch.column(2).to_pylist(), 0
-                for owners, own in _some([batch]):
-                    first, last = own.paragraphs()
-                    key = sums(own.hash, first, last).view(np.int64)
-                    sought = [set(some) for some in lists[at : at + len(owners)]]
-                    at += len(owners)
-                    hits = [k for k, (value, t) in enumerate(zip(key.tolist(), own.owner(first).tolist())) if value in sought[t]]
-                    yield _grams(own, np.array(hits, dtype=np.int64), key, first, last)
-
-        rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
-        found = map_arrow(rows, fetch, "key long, grams binary")
-    return found.groupBy("key").agg(F.first("grams").alias("grams"))
+                sought = [set(some) for some in lists[at : at + len(owners)]]
+                at += len(owners)
+                hits = np.array([k for k, (value, t) in enumerate(zip(key.tolist(), own.owner(first).tolist())) if value in sought[t]], dtype=np.int64)
+                grams = shingles(own.hash, SHINGLE)
+                held = [np.unique(grams[a:b]).tobytes() for a, b in zip(first[hits].tolist(), (last[hits] - SHINGLE + 1).tolist())]
+                yield pa.record_batch([pa.array(key[hits]), pa.array(held, pa.binary())], names=["key", "grams"])
+
+    return map_arrow(rows, fetch, "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
 
 
 def _similar(rows: DataFrame, least: float) -> DataFrame:
