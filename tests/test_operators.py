@@ -188,3 +188,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == 12
     for x, y in list(zip(got, batch))[:12]:
         assert (x.high, x.low, x.close, x.volume) == (y.high, y.low, y.close, y.volume)
+
+
+def test_matrix_structure(spark):
+    rows = [(1, [[2.0, 1.0], [1.0, 2.0]]), (2, [[1.0, 2.0, 3.0]]), (3, []), (4, None), (5, [[float("nan"), 1.0], [1.0, 1.0]])]
+    m = F.col("m")
+    found = spark.createDataFrame(rows, "id int, m array<array<double>>").select(
+        "id", scalars.matrix_pow(m, 3).alias("cube"), scalars.matrix_pow(m, 0).alias("unit"), scalars.matrix_eigenvectors(m).alias("vectors"), scalars.matrix_mode(m).alias("mode"),
+        scalars.matrix_avg(m).alias("avg"), scalars.matrix_kron(m, F.array(F.array(F.lit(1.0), F.lit(10.0)))).alias("kron"), scalars.matrix_remove_column(m, 0).alias("less"),
+    ).orderBy("id").collect()
+    two, flat, empty, none, bad = found
+    assert two.cube == [[14.0, 13.0], [13.0, 14.0]] and two.unit == [[1.0, 0.0], [0.0, 1.0]] and two.mode == 1.0 and two.avg == 1.5
+    assert abs(abs(two.vectors[0][1]) - 0.5**0.5) < 1e-12 and two.kron == [[2.0, 20.0, 1.0, 10.0], [1.0, 10.0, 2.0, 20.0]] and two.less == [[1.0], [2.0]]
+    assert flat.cube == [] and flat.vectors == [] and flat.mode == 1.0 and flat.kron == [[1.0, 10.0, 2.0, 20.0, 3.0, 30.0]]
+    assert empty.avg is None and empty.mode == 0.0 and empty.kron == [] and empty.cube == []
+    assert none.cube is None and none.avg is None and bad.cube == [] and bad.vectors == []

@@ -175,6 +175,72 @@ def matrix_sort(m: Column, column: int, rising: bool = True) -> Column:
     return rows if rising else F.reverse(rows)
 
 
+def matrix_set(m: Column, i: int, j: int, value: Column) -> Column:
+    """``m`` with one cell replaced; cells are numbered from 0."""
+    return F.transform(m, lambda r, a: F.transform(r, lambda x, b: F.when((a == i) & (b == j), value).otherwise(x)))
+
+
+def matrix_fill(m: Column, value: Column) -> Column:
+    return F.transform(m, lambda r: F.transform(r, lambda _: value))
+
+
+def matrix_add_row(m: Column, i: int, row: Column) -> Column:
+    return F.array_insert(m, i + 1, row)
+
+
+def matrix_add_column(m: Column, j: int, column: Column) -> Column:
+    return F.zip_with(m, column, lambda r, x: F.array_insert(r, j + 1, x))
+
+
+def matrix_remove_row(m: Column, i: int) -> Column:
+    return F.filter(m, lambda _, a: a != i)
+
+
+def matrix_remove_column(m: Column, j: int) -> Column:
+    return F.transform(m, lambda r: F.filter(r, lambda _, b: b != j))
+
+
+def _swapped(cells: Column, i: int, j: int) -> Column:
+    return F.transform(cells, lambda x, a: F.when(a == i, F.element_at(cells, j + 1)).when(a == j, F.element_at(cells, i + 1)).otherwise(x))
+
+
+def matrix_swap_rows(m: Column, i: int, j: int) -> Column:
+    return _swapped(m, i, j)
+
+
+def matrix_swap_columns(m: Column, i: int, j: int) -> Column:
+    return F.transform(m, lambda r: _swapped(r, i, j))
+
+
+def matrix_count(m: Column) -> Column:
+    return F.size(F.flatten(m))
+
+
+def matrix_avg(m: Column) -> Column:
+    """Mean of all cells; NULL for a matrix without cells."""
+    return matrix_sum(m) / F.nullif(matrix_count(m), F.lit(0))
+
+
+def matrix_min(m: Column) -> Column:
+    return F.array_min(F.flatten(m))
+
+
+def matrix_max(m: Column) -> Column:
+    return F.array_max(F.flatten(m))
+
+
+def matrix_mode(m: Column) -> Column:
+    """The commonest cell, of several the smallest; 0 for a matrix without cells."""
+    cells = F.flatten(m)
+    counted = F.transform(F.array_distinct(cells), lambda x: F.struct((-F.size(F.filter(cells, lambda y: y == x))).alias("n"), x.alias("x")))
+    return F.coalesce(F.array_min(counted)["x"], F.lit(0.0))
+
+
+def matrix_kron(a: Column, b: Column) -> Column:
+    """Kronecker product: every cell of ``a`` times the whole of ``b``."""
+    return F.flatten(F.transform(a, lambda r: F.transform(b, lambda q: F.flatten(F.transform(r, lambda x: F.transform(q, lambda y: x * y))))))
+
+
 def matrix_is(m: Column, what: str) -> Column:
     """square, symmetric, diagonal, identity, zero, binary, triangular (upper or lower), stochastic."""
     cells = lambda ok: F.forall(F.transform(m, lambda r, i: F.forall(F.transform(r, lambda x, j: ok(x, i, j)), lambda b: b)), lambda b: b)
@@ -216,3 +282,20 @@ matrix_rank = _linear(lambda m: int(np.linalg.matrix_rank(m)), T.IntegerType())
 matrix_inv = _linear(lambda m: np.linalg.inv(m).tolist(), T.ArrayType(T.ArrayType(T.DoubleType())))
 matrix_pinv = _linear(lambda m: np.linalg.pinv(m).tolist(), T.ArrayType(T.ArrayType(T.DoubleType())))
 matrix_eigenvalues = _linear(lambda m: sorted(np.linalg.eigvals(m).real.tolist(), reverse=True), T.ArrayType(T.DoubleType()))
+
+
+def _square(m: np.ndarray) -> bool:
+    return m.ndim == 2 and m.shape[0] == m.shape[1] and bool(np.isfinite(m).all())
+
+
+def matrix_pow(m: Column, n: int) -> Column:
+    """``m`` multiplied by itself; the identity for n < 1, no rows unless it is square and finite."""
+    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    return _linear(lambda x: np.linalg.matrix_power(x, max(0, n)).tolist() if _square(x) else [], kind)(m)
+
+
+#: Unit eigenvectors as columns (real parts), ascending for symmetric matrices; no rows unless the matrix is square and finite.
+matrix_eigenvectors = _linear(
+    lambda m: [] if not _square(m) else (np.linalg.eigh(m)[1] if np.allclose(m, m.T, rtol=0, atol=1e-10) else np.linalg.eig(m)[1].real).tolist(),
+    T.ArrayType(T.ArrayType(T.DoubleType())),
+)

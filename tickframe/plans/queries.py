@@ -370,6 +370,24 @@ framed(
     ),
     "z AS (SELECT 1) SELECT symbol, ts, round(open + high + low + close, 6) AS total, round(open + close, 6) AS trace, round(open * low + high * close, 6) AS product, round(open - close, 6) AS difference, abs(high - low) < 1e-10 AS symmetric FROM bars",
 )
+framed(
+    "matrix_structure",
+    lambda b: matrices(b).select(
+        "symbol", "ts",
+        *rounded(
+            average=scalars.matrix_avg(X.m), least=scalars.matrix_min(X.m), most=scalars.matrix_max(X.m), mode=scalars.matrix_mode(X.m),
+            corner=scalars.matrix_kron(X.m, scalars.matrix_swap_rows(X.m, 0, 1))[3][2],
+            squared=scalars.matrix_pow(X.m, 2)[0][1],
+            swapped=scalars.matrix_swap_columns(scalars.matrix_set(X.m, 0, 0, F.lit(1.0)), 0, 1)[0][1],
+            wide=scalars.matrix_sum(scalars.matrix_add_column(scalars.matrix_remove_row(scalars.matrix_add_row(X.m, 1, X.m[0]), 0), 0, X.m[1])),
+            thin=scalars.matrix_sum(scalars.matrix_remove_column(X.m, 0)),
+        ),
+        scalars.matrix_count(scalars.matrix_fill(X.m, F.lit(0.0))).alias("cells"),
+    ),
+    """z AS (SELECT *, list_sort([open, high, low, close]) AS v FROM bars) SELECT symbol, ts, round((open + high + low + close) / 4, 6) AS average, round(v[1], 6) AS least, round(v[4], 6) AS most,
+    round(CASE WHEN v[1] = v[2] OR NOT (v[2] = v[3] OR v[3] = v[4]) THEN (CASE WHEN v[2] = v[3] AND v[3] = v[4] THEN v[2] ELSE v[1] END) WHEN v[2] = v[3] THEN v[2] ELSE v[3] END, 6) AS mode,
+    round(close * open, 6) AS corner, round(open * high + high * close, 6) AS squared, round(CAST(1 AS DOUBLE), 6) AS swapped, round(open + high + low + close + low + close, 6) AS wide, round(high + close, 6) AS thin, 4 AS cells FROM z""",
+)
 framed("matrix_linear", lambda b: matrices(b).select("symbol", "ts", F.round(scalars.matrix_det(X.m), 4).alias("det")), "z AS (SELECT 1) SELECT symbol, ts, round(open * close - high * low, 4) AS det FROM bars")
 framed("pivot_levels", lambda b: b.select("symbol", "ts", scalars.pivot_levels("traditional", X.high, X.low, X.close).alias("_p")).select("symbol", "ts", *rounded(p=F.col("_p.p"), r1=F.col("_p.r1"), s1=F.col("_p.s1"), r2=F.col("_p.r2"), s3=F.col("_p.s3"))), "z AS (SELECT 1) SELECT symbol, ts, round(tp, 6) AS p, round(2 * tp - low, 6) AS r1, round(2 * tp - high, 6) AS s1, round(tp + (high - low), 6) AS r2, round(2 * tp - (2 * high - low), 6) AS s3 FROM d")
 framed("text_functions", lambda b: b.select("symbol", "ts", scalars.text_format("{0}: {1}", F.col("symbol"), X.volume.cast("int")).alias("formatted"), scalars.text_match(F.col("symbol"), "^(.)").alias("first"), F.size(scalars.text_split(F.col("symbol"), "i")).cast("int").alias("parts")), "z AS (SELECT 1) SELECT symbol, ts, symbol || ': ' || CAST(CAST(volume AS INTEGER) AS VARCHAR) AS formatted, symbol[1] AS first, CAST(len(string_split(symbol, 'i')) AS INTEGER) AS parts FROM bars")
