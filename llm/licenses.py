@@ -13,34 +13,74 @@ from pyspark.sql import functions as F
 
 from llm.common import map_arrow
 
-# Phrases that name a license, and short grants that licenses and their notices use.
+# Phrases that name a license; short grants, and the notices that licenses ask for or consist of.
 PHRASES = {
     "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"""
+_ISC = """Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"""
 TEMPLATES = {
     "mit": [
         "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        _MIT,
+        _MIT
+        + """ (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+        the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software.""",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
+        in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+        KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
     ],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "isc": ["Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
+    ],
+    "gpl-3": [
+        "This work is licensed under the GNU General Public License, version 3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    ],
+    "bsd": [
+        _BSD,
+        _BSD
+        + """: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+    ],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ],
+    "isc": [
+        _ISC,
+        _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+    ],
 }
 #: Least share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Words that a block may have beyond its template's: this share of them, and SLACK at least.
+LONGER = 0.25
+SLACK = 2
 
 _WORDS = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else c + 32 if 65 <= c <= 90 else 0x20 for c in range(256))
 
@@ -50,28 +90,73 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_WORDS).split()
 
 
+@dataclass
+class Template:
+    """Distinct words, rarest first, how many of them a block must hold, and how many words a block has at most."""
+
+    label: str
+    tokens: tuple[bytes, ...]
+    need: int
+    width: int
+
+    def blocks(self, places: dict[bytes, list[int]]) -> Iterator[tuple[int, float]]:
+        """(first word, containment) of the best block of each run of overlapping blocks that hold enough.
+
+        A block is ``width`` words in a row, wherever the lines break. One that begins with a word of the
+        template is enough: any other holds no more than the one that begins at its first such word.
+        """
+        at = sorted((place, number) for number, token in enumerate(self.tokens) for place in places.get(token, ()))
+        held, distinct, end = [0] * len(self.tokens), 0, 0
+        best: tuple[int, int] | None = None
+        last = 0
+        for first, number in at:
+            while end < len(at) and at[end][0] < first + self.width:
+                distinct += not held[at[end][1]]
+                held[at[end][1]] += 1
+                end += 1
+            if distinct >= self.need:
+                if best and first >= last + self.width:
+                    yield best[0], best[1] / len(self.tokens)
+                    best = None
+                if best is None or distinct > best[1]:
+                    best = first, distinct
+                last = first
+            held[number] -= 1
+            distinct -= not held[number]
+        if best:
+            yield best[0], best[1] / len(self.tokens)
+
+
 @dataclass
 class Index:
-    """Templates as tuples of words, rarest first, and which of them each prefix word opens."""
+    """Templates, and which of them each prefix word opens."""
 
-    templates: list[tuple[str, tuple[bytes, ...], int]]
+    templates: list[Template]
     opens: dict[bytes, list[tuple[int, int]]]
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of each template that the block holds to the threshold."""
+    def matches(self, own: list[bytes]) -> Iterator[tuple[str, int, float]]:
+        """(label, first word, containment) of the blocks of a text that hold a template to the threshold."""
+        held = set(own)
         best: dict[int, int] = {}
-        for word in self.opens.keys() & block:
+        for word in self.opens.keys() & held:
             for number, position in self.opens[word]:
                 best[number] = min(position, best.get(number, position))
+        found = []
         for number, position in best.items():
-            label, tokens, need = self.templates[number]
-            # Length filter: a block of fewer words can't hold enough. Positional filter: the words
-            # before the first that matches are missing.
-            if len(block) < need or len(tokens) - position < need:
-                continue
-            held = sum(t in block for t in tokens[position:])
-            if held >= need:
-                yield label, held / len(tokens)
+            t = self.templates[number]
+            # Length filter: a text of fewer words can't hold enough. Positional filter: the words
+            # before the first that matches are missing. Then the whole text is asked, then its blocks.
+            if len(held) >= t.need and len(t.tokens) - position >= t.need and sum(w in held for w in t.tokens[position:]) >= t.need:
+                found.append(t)
+        if found:
+            sought = {w for t in found for w in t.tokens}
+            places: dict[bytes, list[int]] = {}
+            for place, word in enumerate(own):
+                if word in sought:
+                    places.setdefault(word, []).append(place)
+            for t in found:
+                for first, containment in t.blocks(places):
+                    yield t.label, first, containment
 
 
 def index(frequency: dict[bytes, int], templates: dict[str, list[str]], least: float = CONTAINMENT) -> Index:
@@ -79,11 +164,12 @@ def index(frequency: dict[bytes, int], templates: dict[str, list[str]], least: f
     made, opens = [], {}
     for label in sorted(templates):
         for text in templates[label]:
-            tokens = tuple(sorted(set(words(text.encode())), key=lambda w: (frequency.get(w, 0), w)))
+            own = words(text.encode())
+            tokens = tuple(sorted(set(own), key=lambda w: (frequency.get(w, 0), w)))
             need = max(1, math.ceil(least * len(tokens) - 1e-9))
             for position, word in enumerate(tokens[: len(tokens) - need + 1]):
                 opens.setdefault(word, []).append((len(made), position))
-            made.append((label, tokens, need))
+            made.append(Template(label, tokens, need, len(own) + max(SLACK, math.ceil(LONGER * len(own)))))
     return Index(made, opens)
 
 
@@ -112,8 +198,9 @@ def scan(
 ) -> DataFrame:
     """(ident, n_words, places array<struct<label, word>>, blocks array<struct<label, block, containment>>) of each row.
 
-    places are where a phrase's words stand one after another; blocks are lines of the text whose
-    word sets hold at least ``least`` of a template's words. A null text is empty. Rows may repeat.
+    places are where a phrase's words stand one after another; blocks are words in a row, about as many
+    as a template has and across line breaks, that hold at least ``least`` of its distinct words, by
+    their first word. A null text is empty. Rows may repeat.
     Templates are a parameter, so their index is sent to every task; texts are not shuffled.
     """
     vocabulary = {w for texts in templates.values() for t in texts for w in words(t.encode())}
@@ -131,10 +218,7 @@ def scan(
                 places.append({"label": label, "word": joined.count(b" ", 0, at)})
                 at = joined.find(phrase, at + 1)
         if not known.opens.keys().isdisjoint(own):
-            for number, line in enumerate(data.split(b"\n")):
-                held = set(words(line))
-                if not known.opens.keys().isdisjoint(held):
-                    blocks += [{"label": label, "block": number, "containment": c} for label, c in known.matches(held)]
+            blocks = [{"label": label, "block": first, "containment": c} for label, first, c in known.matches(own)]
         return len(own), sorted(places, key=lambda p: (p["word"], p["label"])), blocks
 
     place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
