@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
     ],
     "cc-by-sa": [
-        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
     ],
     "gpl-3": [
@@ -76,6 +77,20 @@ TEMPLATES = {
         non-commercial, and by any means.""",
     ],
 }
+#: Words that tell a license from its kin: of each group a block holds one phrase, its words one after
+#: another. Without them GPL 2 holds enough of GPL 3, and CC BY-SA of CC BY-NC.
+_VERSIONS = ("1", "2", "3", "4", "international", "license", "unported", "generic")
+MARKS = {
+    "mit": [("mit license", "this software and associated documentation files", "to deal in the software without restriction")],
+    "apache-2": [("apache license version 2", "apache license v2", "apache license 2", "apache org licenses license 2", "apache org")],
+    "cc-by-nc": [("cc by nc 4", *(f"attribution noncommercial {v}" for v in _VERSIONS), *(f"attribution non commercial {v}" for v in _VERSIONS))],
+    "cc-by-sa": [("cc by sa 4", *(f"attribution sharealike {v}" for v in _VERSIONS), *(f"attribution share alike {v}" for v in _VERSIONS))],
+    "gpl-3": [("gnu general public license",), ("version 3", "license v3", "license 3")],
+    "bsd": [("redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice")],
+    "mpl-2": [("mozilla public license", "mozilla org mpl"), ("v 2", "version 2", "license 2", "mpl 2")],
+    "isc": [("for any purpose with or without fee",)],
+    "unlicense": [("unencumbered software", "publish use compile sell or distribute this software")],
+}
 #: Least share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
 #: Words that a block may have beyond its template's: this share of them, and SLACK at least.
@@ -98,35 +113,65 @@ class Template:
     tokens: tuple[bytes, ...]
     need: int
     width: int
+    marks: list[list[tuple[bytes, ...]]]
+
+    @property
+    def sought(self) -> set[bytes]:
+        return {w for group in self.marks for phrase in group for w in phrase}.union(self.tokens)
 
     def blocks(self, places: dict[bytes, list[int]]) -> Iterator[tuple[int, float]]:
         """(first word, containment) of the best block of each run of overlapping blocks that hold enough.
 
-        A block is ``width`` words in a row, wherever the lines break. One that begins with a word of the
-        template is enough: any other holds no more than the one that begins at its first such word.
+        A block is ``width`` words in a row, wherever the lines break, with a phrase of each of the marks.
+        One that begins with a word of the template or its marks is enough: any other holds no more
+        than the one that begins at its first such word.
         """
+        marked = [sorted((first, first + len(phrase)) for phrase in group for first in _runs(phrase, places)) for group in self.marks]
+        if not all(marked):
+            return
         at = sorted((place, number) for number, token in enumerate(self.tokens) for place in places.get(token, ()))
+        at = sorted(at + [(first, -1) for group in marked for first, _ in group])
         held, distinct, end = [0] * len(self.tokens), 0, 0
         best: tuple[int, int] | None = None
         last = 0
         for first, number in at:
             while end < len(at) and at[end][0] < first + self.width:
-                distinct += not held[at[end][1]]
-                held[at[end][1]] += 1
+                if at[end][1] >= 0:
+                    distinct += not held[at[end][1]]
+                    held[at[end][1]] += 1
                 end += 1
-            if distinct >= self.need:
+            if distinct >= self.need and all(_inside(group, first, first + self.width) for group in marked):
                 if best and first >= last + self.width:
                     yield best[0], best[1] / len(self.tokens)
                     best = None
                 if best is None or distinct > best[1]:
                     best = first, distinct
                 last = first
-            held[number] -= 1
-            distinct -= not held[number]
+            if number >= 0:
+                held[number] -= 1
+                distinct -= not held[number]
         if best:
             yield best[0], best[1] / len(self.tokens)
 
 
+def _runs(phrase: tuple[bytes, ...], places: dict[bytes, list[int]]) -> list[int]:
+    """Where the words of a phrase begin to stand one after another."""
+    found = set(places.get(phrase[0], ()))
+    for k, word in enumerate(phrase[1:], 1):
+        found = found and found.intersection(p - k for p in places.get(word, ()))
+    return sorted(found)
+
+
+def _inside(spans: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether one of the sorted spans lies within [first, last)."""
+    k = bisect_left(spans, (first, 0))
+    while k < len(spans) and spans[k][0] < last:
+        if spans[k][1] <= last:
+            return True
+        k += 1
+    return False
+
+
 @dataclass
 class Index:
     """Templates, and which of them each prefix word opens."""
@@ -149,7 +194,7 @@ class Index:
             if len(held) >= t.need and len(t.tokens) - position >= t.need and sum(w in held for w in t.tokens[position:]) >= t.need:
                 found.append(t)
         if found:
-            sought = {w for t in found for w in t.tokens}
+            sought = set().union(*(t.sought for t in found))
             places: dict[bytes, list[int]] = {}
             for place, word in enumerate(own):
                 if word in sought:
@@ -159,17 +204,18 @@ class Index:
                     yield t.label, first, containment
 
 
-def index(frequency: dict[bytes, int], templates: dict[str, list[str]], least: float = CONTAINMENT) -> Index:
+def index(frequency: dict[bytes, int], templates: dict[str, list[str]], least: float = CONTAINMENT, marks: dict[str, list[tuple[str, ...]]] = MARKS) -> Index:
     """Prefix index: of n words, o of which must be held, one of the n - o + 1 globally rarest is held."""
     made, opens = [], {}
     for label in sorted(templates):
+        told = [[tuple(words(phrase.encode())) for phrase in group] for group in marks.get(label, [])]
         for text in templates[label]:
             own = words(text.encode())
             tokens = tuple(sorted(set(own), key=lambda w: (frequency.get(w, 0), w)))
             need = max(1, math.ceil(least * len(tokens) - 1e-9))
             for position, word in enumerate(tokens[: len(tokens) - need + 1]):
                 opens.setdefault(word, []).append((len(made), position))
-            made.append(Template(label, tokens, need, len(own) + max(SLACK, math.ceil(LONGER * len(own)))))
+            made.append(Template(label, tokens, need, len(own) + max(SLACK, math.ceil(LONGER * len(own))), told))
     return Index(made, opens)
 
 
@@ -195,16 +241,17 @@ def scan(
     phrases: dict[str, str] = PHRASES,
     templates: dict[str, list[str]] = TEMPLATES,
     least: float = CONTAINMENT,
+    marks: dict[str, list[tuple[str, ...]]] = MARKS,
 ) -> DataFrame:
     """(ident, n_words, places array<struct<label, word>>, blocks array<struct<label, block, containment>>) of each row.
 
     places are where a phrase's words stand one after another; blocks are words in a row, about as many
-    as a template has and across line breaks, that hold at least ``least`` of its distinct words, by
-    their first word. A null text is empty. Rows may repeat.
+    as a template has and across line breaks, that hold at least ``least`` of its distinct words and
+    the label's ``marks``, by their first word. A null text is empty. Rows may repeat.
     Templates are a parameter, so their index is sent to every task; texts are not shuffled.
     """
     vocabulary = {w for texts in templates.values() for t in texts for w in words(t.encode())}
-    known = index(frequencies(docs, vocabulary, text), templates, least)
+    known = index(frequencies(docs, vocabulary, text), templates, least, marks)
     named = [(b" " + b" ".join(words(p.encode())) + b" ", label) for p, label in sorted(phrases.items())]
 
     def found(value: str | None) -> tuple[int, list[dict], list[dict]]:

@@ -31,7 +31,7 @@ def test_wrapped_notices(spark):
     texts, expected = [], []
     for label, notice in NOTICES.items():
         for width in (30, 72, 80, 10_000):
-            lines = textwrap.wrap(" ".join(notice.split()), width)
+            lines = textwrap.wrap(" ".join(notice.split()), width, break_long_words=False)
             texts += ["\n".join(lines), "some words before\n" * 40 + "\n".join(" * " + line for line in lines) + "\nand after" * 40]
             expected += [label] * 2
     assert labels(spark, texts) == expected
@@ -39,9 +39,31 @@ def test_wrapped_notices(spark):
 
 def test_blocks_against_all_windows():
     text = licenses.words(" ".join(NOTICES.values()).encode())
-    known = licenses.index({}, licenses.TEMPLATES)
+    known = licenses.index({}, licenses.TEMPLATES, marks={})
     for t in known.templates:
         windows = [len(set(t.tokens).intersection(text[k : k + t.width])) / len(t.tokens) for k in range(len(text))]
         found = [c for label, first, c in licenses.Index([t], {w: [(0, 0)] for w in t.tokens}).matches(text)]
         best = max(windows)
         assert max(found, default=0) == pytest.approx(best if best >= licenses.CONTAINMENT - 1e-9 else 0)
+
+
+def test_kin_are_told_apart(spark):
+    work = "This work is licensed under "
+    cases = {
+        "Released under the Apache License": "",
+        "released under the GPL license": "",
+        "The album was released under the name of a label that holds a license": "",
+        "released " + "word " * 50 + "under the MIT " + "word " * 50 + "license": "",
+        work + "a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        work + "a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        work + "a Creative Commons Attribution 4.0 International License": "",
+        work + "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "",
+        work + "the GNU General Public License, version 3": "gpl-3",
+        work + "the GNU General Public License, version 2": "",
+        work + "the GNU Lesser General Public License, version 3": "",
+        "Released under\nthe MIT License": "mit",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license""": "",
+        "Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted without fee": "",
+    }
+    assert labels(spark, list(cases)) == list(cases.values())
