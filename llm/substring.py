@@ -21,12 +21,12 @@ ROWS = 3
 RECALL = 0.998
 #: Words that a paragraph has at least to be compared by MinHash.
 PARAGRAPH = 20
-#: A word begins a passage's part if its hash is the least among REACH words on either side; passages
-#: of at least PASSAGE words, from one such word to the next but one, are compared as they are.
-REACH = 3
-PASSAGE = 8
-#: Words that overlapping repeated passages of a document have together at least to be reported.
-REPORTED = 25
+#: Words of a passage, at least; every run of so many words that two documents share is found.
+PASSAGE = 25
+#: Words of an anchor; of the anchors in each PASSAGE words the one of the least hash is compared first.
+ANCHOR = 8
+#: Windows that are looked at together for their anchors.
+AT_ONCE = 1 << 16
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Characters of text that are taken apart together.
@@ -65,21 +65,27 @@ class Texts:
         keep = last - first >= least
         return first[keep], last[keep]
 
-    def passages(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last word of passages that the words themselves delimit."""
-        if len(self.hash) < 2 * REACH + 1:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        order = mix(self.hash ^ np.roll(self.hash, -1) * np.uint64(3))
-        ends = self.words[1:][self.words[1:] > self.words[:-1]] - 1
-        order[ends] = np.iinfo(np.uint64).max
-        window = np.lib.stride_tricks.sliding_window_view(order, 2 * REACH + 1)
-        at = REACH + np.flatnonzero((window[:, :REACH].min(axis=1) > order[REACH:-REACH]) & (window[:, REACH + 1 :].min(axis=1) >= order[REACH:-REACH]))
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of ANCHOR words that are the least of some PASSAGE words of a text."""
+        order = shingles(self.hash, ANCHOR)
+        number = len(self.hash) - PASSAGE + 1
+        if number < 1:
+            return np.zeros(0, dtype=np.int64), order[:0]
+        windows = np.lib.stride_tricks.sliding_window_view(order, PASSAGE - ANCHOR + 1)
+        at = np.concatenate([a + windows[a : a + AT_ONCE].argmin(axis=1) + np.arange(min(AT_ONCE, number - a)) for a in range(0, number, AT_ONCE)])
+        window = np.arange(number)
+        at = np.unique(at[self.words[self.owner(window) + 1] - window >= PASSAGE])
+        return at, order[at]
+
+    def passages(self, at: np.ndarray) -> np.ndarray:
+        """The first words of all runs of PASSAGE words of a text that hold one of the anchors ``at``."""
         text = self.owner(at)
-        inside = (at - self.words[text] >= REACH) & (self.words[text + 1] - at > REACH)
-        at, text = at[inside], text[inside]
-        first, last = at[:-2], at[2:]
-        keep = (last - first >= PASSAGE) & (text[:-2] == text[2:])
-        return first[keep], last[keep]
+        low = np.maximum(at - (PASSAGE - ANCHOR), self.words[text])
+        high = np.minimum(at, self.words[text + 1] - PASSAGE) + 1
+        change = np.zeros(len(self.hash) + 2, dtype=np.int64)
+        np.add.at(change, low, 1)
+        np.add.at(change, high, -1)
+        return np.flatnonzero(np.cumsum(change) > 0)
 
     def signatures(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """(paragraphs, bands): MinHash bands of the shingles of each run of words."""
@@ -187,25 +193,49 @@ def _similar(rows: DataFrame, least: float) -> DataFrame:
     return map_arrow(rows, run, "a long, b long", 2000)
 
 
-def _passage_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc) of each passage."""
+def _passages(docs: DataFrame) -> DataFrame:
+    """(key, doc, start, size, first, words) of the runs of PASSAGE words around anchors that other documents have too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two documents that share PASSAGE words share the anchor of these, so no shared run is missed.
+    """
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owners, own in _some(batches):
-            first, last = own.passages()
-            yield pa.record_batch([pa.array(sums(own.hash, first, last).view(np.int64)), pa.array(owners[own.owner(first)])], names=["key", "doc"])
+            at, key = own.anchors()
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(owners[own.owner(at)])], names=["key", "doc"])
+
+    rows = map_arrow(docs, anchors, "key long, doc long")
+    shared = cut(rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key")), "substring-anchors")
+    wanted = rows.join(shared.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
+    wanted = cut(wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys")), "substring-anchored")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, row = batch.column(2), 0
+            for owners, own in _some([batch]):
+                at, key = own.anchors()
+                edge = np.searchsorted(at, own.words)
+                hit = [np.isin(key[a:b].view(np.int64), lists[row + k].values.to_numpy()) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))]
+                row += len(owners)
+                first = own.passages(at[np.concatenate(hit)])
+                text = own.owner(first)
+                start, end = own.starts[first], own.ends[first + PASSAGE - 1]
+                columns = shingles(own.hash, PASSAGE)[first].view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text], np.full(len(first), PASSAGE)
+                yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "size", "first", "words"])
 
-    return map_arrow(docs, run, "key long, doc long")
+    rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
+    return cut(map_arrow(rows, around, "key long, doc long, start long, size long, first long, words long"), "substring-passages")
 
 
 def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
     """(ident, start, end, n_words, removed, first_doc): passages of each text that other documents have too.
 
     Compared are lines of PARAGRAPH words or more, by MinHash bands and exact Jaccard of word
-    5-shingles, and shorter passages delimited by the words themselves, by their whole content.
+    5-shingles, and all runs of PASSAGE words, by their content, so that a repeated passage of so many
+    words or more is found from its first word to its last, wherever it stands in its lines.
     Similar paragraphs are one class by components. A class in two documents or more stays in that of
     the smallest id (``first_doc``) and is removed from the others. Overlapping passages of a document
-    are merged, and reported from REPORTED words on; start and end are bytes of its UTF-8 text. Rows of one id are one document, rows
+    are merged; start and end are bytes of its UTF-8 text. Rows of one id are one document, rows
     without an id another. Null, empty and unrepeated texts give no rows. Ids are whole numbers.
     """
     docs = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text).cast("string").alias("text"))
@@ -218,49 +248,42 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: f
     owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high"), "substring-owner")
     group = cut(owned.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"), "substring-groups")
     flagged = owned.select("key", "root").join(group, "root").select("key", "low")
-    short = _passage_keys(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
+    passages = _passages(docs)
+    short = passages.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
     flagged = cut(flagged.unionAll(short), "substring-flagged")
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owners, own in _some(batches):
-            a, b = own.paragraphs()
-            c, d = own.passages()
-            first, last = np.concatenate([a, c]), np.concatenate([b, d])
+            first, last = own.paragraphs()
             text = own.owner(first)
             start, end = own.starts[first], own.ends[last - 1]
             columns = sums(own.hash, first, last).view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text], last - first
             yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "size", "first", "words"])
 
     rows = map_arrow(docs, occur, "key long, doc long, start long, size long, first long, words long")
-    rows = rows.join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
-    by_doc = rows.groupBy("doc").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"), "first", (F.col("first") + F.col("words")).alias("last"), "low")).alias("parts"))
+    rows = rows.unionAll(passages).join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    rows = rows.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first", (F.col("first") + F.col("words")).alias("last"), "low", (F.col("low") != F.col("doc")).alias("removed"))
+    rows = rows.repartition("doc").sortWithinPartitions("doc", "removed", "first", "last")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                gone = _union([p for p in parts if p["low"] != doc])
-                stay = _union([p for p in parts if p["low"] == doc])
-                found += [(doc, *p, True) for p in gone] + [(doc, *p, False) for p in stay]
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.record_batch([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["doc", "start", "end", "n_words", "first_doc", "removed"])
-
-    found = map_arrow(by_doc, merge, "doc long, start long, end long, n_words long, first_doc long, removed boolean", 500)
+        for table, _ in segments(batches, ["doc"]):
+            yield _union(*(table[c].to_numpy() for c in ("doc", "start", "end", "first", "last", "low", "removed")))
+
+    found = map_arrow(rows, merge, "doc long, start long, end long, n_words long, first_doc long, removed boolean", 500)
     name = lambda c: F.when(F.col(c) != NOBODY, F.col(c))
     return found.select(name("doc").alias(ident), "start", "end", "n_words", "removed", name("first_doc").alias("first_doc"))
 
 
-def _union(parts: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, smallest first document) of the merged parts."""
-    merged: list[list[int]] = []
-    for p in sorted(parts, key=lambda p: (p["first"], p["last"])):
-        if merged and p["first"] <= merged[-1][3]:
-            if p["last"] > merged[-1][3]:
-                merged[-1][1], merged[-1][3] = p["end"], p["last"]
-            merged[-1][4] = min(merged[-1][4], p["low"])
-        else:
-            merged.append([p["start"], p["end"], p["first"], p["last"], p["low"]])
-    return [(s, e, b - a, low) for s, e, a, b, low in merged if b - a >= REPORTED]
+def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
+    """Parts that overlap or touch, as one, with the smallest first document; sorted by doc, removed and first."""
+    group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1]))])
+    # The farthest word so far, within the group: groups are set apart by more than any word's number.
+    apart = group * (last.max() + 1)
+    reach = np.maximum.accumulate(last + apart)
+    at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] + apart[1:] > reach[:-1])]))
+    words = np.maximum.reduceat(last, at) - first[at]
+    columns = doc[at], start[at], np.maximum.reduceat(end, at), words, np.minimum.reduceat(low, at), removed[at]
+    return pa.record_batch([pa.array(c) for c in columns], names=["doc", "start", "end", "n_words", "first_doc", "removed"])
 
 
 def without(text: str, parts: list[tuple[int, int]]) -> str:

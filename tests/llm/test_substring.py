@@ -69,3 +69,18 @@ def test_word_hashes():
     h = hashes(data, start, end)
     assert [data[a:b] for a, b in zip(start, end)] == data.split() and h[1] == h[3] and len(set(h.tolist())) == 3
     assert len(shingles(h, 5)) == 0 and len(shingles(h, 2)) == 3
+
+
+def test_spliced_passages_whole(spark):
+    """Repeats of 25 to 60 words inside otherwise different lines, at any place, from the first word to the last."""
+    rng = random.Random(8)
+    rows, expected = {}, {}
+    for k, n in enumerate([25, 26, 27, 30, 35, 40, 45, 51, 60] * 3):
+        passage = prose(rng, n)
+        rows[k] = f"{prose(rng, 7 + k)} {passage} {prose(rng, 30)}"
+        rows[100 + k] = f"{prose(rng, 3 * k)} {passage}\n{prose(rng, 2)}".strip()
+        expected[100 + k] = passage
+    rows |= {300 + k: f"{prose(rng, 30)} {text} {prose(rng, 30)}" for k, text in enumerate([prose(rng, 24)] * 2)}
+    found = [r for r in substring.repeats(frame(spark, rows.items())).collect() if r.removed]
+    assert {r.doc_id: rows[r.doc_id].encode()[r.start : r.end].decode() for r in found} == expected and len(found) == len(expected)
+    assert all(r.n_words == len(expected[r.doc_id].split()) and r.first_doc == r.doc_id - 100 for r in found)
