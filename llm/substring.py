@@ -19,8 +19,8 @@ JACCARD = 0.8
 ROWS = 3
 #: Least probability that two paragraphs of Jaccard JACCARD share a band.
 RECALL = 0.998
-#: Words that a paragraph has at least to be compared by MinHash.
-PARAGRAPH = 20
+#: Lines of fewer words may be parts of a wrapped paragraph: they are compared alone and joined.
+LINE = 20
 #: Words of a passage, at least; every run of so many words that two documents share is found.
 PASSAGE = 25
 #: Words of an anchor; of the anchors in each PASSAGE words the one of the least hash is compared first.
@@ -57,12 +57,19 @@ class Texts:
         """The number of the text that each word lies in."""
         return np.searchsorted(self.words, word, side="right") - 1
 
-    def paragraphs(self, least: int = PARAGRAPH) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last word of each line of at least ``least`` words."""
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and one past the last word of each line of SHINGLE words or more, and of each run of lines
+        of under LINE words with no blank line between them."""
         breaks = np.flatnonzero(np.frombuffer(self.data, dtype=np.uint8) == 0x0A)
-        at = np.unique(np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self.starts)]]))
+        at = np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self.starts)]])
         first, last = at[:-1], at[1:]
-        keep = last - first >= least
+        opens = np.isin(np.concatenate([[0], breaks + 1]), self.bytes)
+        short = np.concatenate([[False], (last > first) & (last - first < LINE), [False]])
+        begins = np.flatnonzero(short[1:-1] & (opens | ~short[:-2]))
+        ends = np.flatnonzero(short[1:-1] & np.append(opens[1:] | ~short[2:-1], True))
+        several = ends > begins
+        first, last = np.concatenate([first, first[begins[several]]]), np.concatenate([last, last[ends[several]]])
+        keep = last - first >= SHINGLE
         return first[keep], last[keep]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +237,7 @@ def _passages(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
     """(ident, start, end, n_words, removed, first_doc): passages of each text that other documents have too.
 
-    Compared are lines of PARAGRAPH words or more, by MinHash bands and exact Jaccard of word
+    Compared are lines of SHINGLE words or more and runs of short lines, which a wrapped paragraph is, by MinHash bands and exact Jaccard of word
     5-shingles, and all runs of PASSAGE words, by their content, so that a repeated passage of so many
     words or more is found from its first word to its last, wherever it stands in its lines.
     Similar paragraphs are one class by components. A class in two documents or more stays in that of

@@ -84,3 +84,24 @@ def test_spliced_passages_whole(spark):
     found = [r for r in substring.repeats(frame(spark, rows.items())).collect() if r.removed]
     assert {r.doc_id: rows[r.doc_id].encode()[r.start : r.end].decode() for r in found} == expected and len(found) == len(expected)
     assert all(r.n_words == len(expected[r.doc_id].split()) and r.first_doc == r.doc_id - 100 for r in found)
+
+
+def test_paragraphs_of_short_lines():
+    own = substring.Texts(["a b c d e f\ng h\n\ni j k l m\n" + "x " * 20 + "\nn", "o p\nq r s t", None, "u", "v w x y"])
+    words = own.data.split()
+    found = sorted(b" ".join(words[a:b]).decode() for a, b in zip(*own.paragraphs()))
+    assert found == sorted(["a b c d e f", "a b c d e f g h", "i j k l m", ("x " * 20).strip(), "o p q r s t"])
+
+
+def test_short_and_wrapped_paragraphs(spark):
+    """Short lines that stand alone, and a near copy of a paragraph that is wrapped otherwise."""
+    rng = random.Random(9)
+    words = prose(rng, 26).split(" ")
+    wrap = lambda some, n: "\n".join(" ".join(some[k : k + n]) for k in range(0, len(some), n))
+    near = [words[0], "changed", *words[2:]]  # Jaccard 20 / 24, and no 25 words in a row are the same
+    rows = {0: f"{prose(rng, 40)}\n\n{wrap(words, 11)}\n\n{prose(rng, 40)}", 1: f"{prose(rng, 30)}\n\n{wrap(near, 14)}\n\n{prose(rng, 30)}"}
+    for k, n in enumerate((5, 8, 12, 19, 20, 22, 24)):
+        line = prose(rng, n)
+        rows |= {10 + 2 * k: f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}", 11 + 2 * k: f"{prose(rng, 40)}\n{line}\n{prose(rng, 40)}"}
+    found = {r.doc_id: r.n_words for r in substring.repeats(frame(spark, rows.items())).collect() if r.removed}
+    assert found == {1: 26, 11: 5, 13: 8, 15: 12, 17: 19, 19: 20, 21: 22, 23: 24}
