@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of text an Arrow batch may hold; bounds a Python worker's memory.
+#: Rows of text that a function is given at once; bounds a Python worker's memory.
 TEXT_ROWS = 1000
+#: Bytes of an Arrow batch between the JVM and its workers, where the session keeps Spark's default.
+BYTES_SETTING, BYTES_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,10 +52,20 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str, rows: int = TEXT_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType, rows: int = TEXT_ROWS) -> DataFrame:
+    """``mapInArrow`` whose function gets batches of at most ``rows`` rows.
+
+    Plans run later than they are made, so the session gets one bound that suits all operators, in
+    bytes, unless it has its own; the rows are counted here.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BYTES_SETTING) == BYTES_DEFAULT:
+        conf.set(BYTES_SETTING, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(a, rows) for batch in batches for a in range(0, max(1, batch.num_rows), rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(value: str | None) -> bytes:

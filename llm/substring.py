@@ -31,7 +31,8 @@ AT_ONCE = 1 << 16
 BLOCK = 256
 #: Characters of text that are taken apart together.
 TOGETHER = 1 << 20
-NOBODY = -(1 << 63)
+#: What becomes of a part of a text: it stays, goes, or stays whatever else goes.
+STAYS, GOES, SAVED = range(3)
 
 
 def bands(least: float = JACCARD, recall: float = RECALL) -> tuple[int, int]:
@@ -57,9 +58,9 @@ class Texts:
         """The number of the text that each word lies in."""
         return np.searchsorted(self.words, word, side="right") - 1
 
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and one past the last word of each line of SHINGLE words or more, and of each run of lines
-        of under LINE words with no blank line between them."""
+        of under LINE words with no blank line between them; and the number of the run that a line is part of, or -1."""
         breaks = np.flatnonzero(np.frombuffer(self.data, dtype=np.uint8) == 0x0A)
         at = np.concatenate([[0], np.searchsorted(self.starts, breaks), [len(self.starts)]])
         first, last = at[:-1], at[1:]
@@ -67,10 +68,14 @@ class Texts:
         short = np.concatenate([[False], (last > first) & (last - first < LINE), [False]])
         begins = np.flatnonzero(short[1:-1] & (opens | ~short[:-2]))
         ends = np.flatnonzero(short[1:-1] & np.append(opens[1:] | ~short[2:-1], True))
-        several = ends > begins
-        first, last = np.concatenate([first, first[begins[several]]]), np.concatenate([last, last[ends[several]]])
-        keep = last - first >= SHINGLE
-        return first[keep], last[keep]
+        several = (ends > begins) & (last[ends] - first[begins] >= SHINGLE)
+        begins, ends = begins[several], ends[several]
+        change = np.zeros(len(first) + 1, dtype=np.int64)
+        change[begins] += 1
+        change[ends + 1] -= 1
+        lines = np.flatnonzero(last - first >= SHINGLE)
+        run = np.where(np.cumsum(change)[lines] > 0, np.searchsorted(begins, lines, side="right") - 1 + len(lines), -1)
+        return np.concatenate([first[lines], first[begins]]), np.concatenate([last[lines], last[ends]]), np.append(run, np.full(len(begins), -1))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of the runs of ANCHOR words that are the least of some PASSAGE words of a text."""
@@ -124,19 +129,53 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Texts
             a = b
 
 
+def _keyed(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, bool]:
+    """(row, doc, text) with a number for each row, and whether it is other than the id.
+
+    Where ids are there and don't repeat, they serve. Otherwise rows are numbered by id, then by a
+    hash of the text, those without an id last, so that each row is a document of its own.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{ident}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    if not rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null").limit(1).count():
+        return rows, False
+    order = F.asc_nulls_last("doc"), F.xxhash64("text"), F.asc("tie")
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.select("row", F.monotonically_increasing_id().alias("doc")), "substring-rows")
+    return rows.withColumn("text", F.col("row")[text].cast("string")), True
+
+
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, doc, bands) of each paragraph."""
+    """(key, doc, top, bands) of each paragraph; ``top`` is the document again, unless it is a line of a run of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owners, own in _some(batches):
-            first, last = own.paragraphs()
+            first, last, parent = own.paragraphs()
             if not len(first):
                 continue
             found = own.signatures(first, last)
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * found.shape[1]), pa.array(np.ascontiguousarray(found).view(np.int64).ravel()))
-            yield pa.record_batch([pa.array(sums(own.hash, first, last).view(np.int64)), pa.array(owners[own.owner(first)]), held], names=["key", "doc", "bands"])
+            doc = owners[own.owner(first)]
+            columns = [pa.array(sums(own.hash, first, last).view(np.int64)), pa.array(doc), pa.array(doc, mask=parent >= 0), held]
+            yield pa.record_batch(columns, names=["key", "doc", "top", "bands"])
+
+    return map_arrow(docs, run, "key long, doc long, top long, bands array<long>")
 
-    return map_arrow(docs, run, "key long, doc long, bands array<long>")
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(key, parent, doc, start, size, first, words) of each paragraph; ``parent`` is the key of the run of lines it is part of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, own in _some(batches):
+            first, last, parent = own.paragraphs()
+            if not len(first):
+                continue
+            text, key = own.owner(first), sums(own.hash, first, last).view(np.int64)
+            start, end = own.starts[first], own.ends[last - 1]
+            columns = owners[text], start - own.bytes[text], end - start, first - own.words[text], last - first
+            yield pa.record_batch([pa.array(key), pa.array(key[parent], mask=parent < 0), *(pa.array(x.astype(np.int64)) for x in columns)], names=["key", "parent", "doc", "start", "size", "first", "words"])
+
+    return map_arrow(docs, run, "key long, parent long, doc long, start long, size long, first long, words long")
 
 
 def _contents(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
@@ -154,7 +193,7 @@ def _contents(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFram
         for batch in batches:
             lists, at = batch.column(2).to_pylist(), 0
             for owners, own in _some([batch]):
-                first, last = own.paragraphs()
+                first, last, _ = own.paragraphs()
                 key = sums(own.hash, first, last).view(np.int64)
                 sought = [set(some) for some in lists[at : at + len(owners)]]
                 at += len(owners)
@@ -200,10 +239,11 @@ def _similar(rows: DataFrame, least: float) -> DataFrame:
     return map_arrow(rows, run, "a long, b long", 2000)
 
 
-def _passages(docs: DataFrame) -> DataFrame:
-    """(key, doc, start, size, first, words) of the runs of PASSAGE words around anchors that other documents have too.
+def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, doc, start, size, first, clean) of the runs of PASSAGE words around anchors that other documents have too.
 
-    Two documents that share PASSAGE words share the anchor of these, so no shared run is missed.
+    Two documents that share PASSAGE words share the anchor of these, so no shared run is missed. A
+    run is clean if it overlaps none of the paragraphs ``gone`` (_gone, spans) from its document.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,82 +254,146 @@ def _passages(docs: DataFrame) -> DataFrame:
     rows = map_arrow(docs, anchors, "key long, doc long")
     shared = cut(rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key")), "substring-anchors")
     wanted = rows.join(shared.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
-    wanted = cut(wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys")), "substring-anchored")
+    wanted = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys"))
+    wanted = cut(wanted.join(gone, F.col("_doc") == F.col("_gone"), "left").select("_doc", "keys", "spans"), "substring-anchored")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, row = batch.column(2), 0
+            lists, spans, row = batch.column(2), batch.column(3).to_pylist(), 0
             for owners, own in _some([batch]):
                 at, key = own.anchors()
                 edge = np.searchsorted(at, own.words)
                 hit = [np.isin(key[a:b].view(np.int64), lists[row + k].values.to_numpy()) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))]
+                change = np.zeros(len(own.hash) + 2, dtype=np.int64)
+                for k, word in enumerate(own.words[:-1].tolist()):
+                    for span in spans[row + k] or ():
+                        change[word + span["first"]] += 1
+                        change[word + span["last"]] -= 1
                 row += len(owners)
                 first = own.passages(at[np.concatenate(hit)])
+                taken = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
+                clean = taken[first + PASSAGE] == taken[first]
                 text = own.owner(first)
                 start, end = own.starts[first], own.ends[first + PASSAGE - 1]
-                columns = shingles(own.hash, PASSAGE)[first].view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text], np.full(len(first), PASSAGE)
-                yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "size", "first", "words"])
+                columns = shingles(own.hash, PASSAGE)[first].view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text]
+                yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in columns), pa.array(clean)], names=["key", "doc", "start", "size", "first", "clean"])
 
-    rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
-    return cut(map_arrow(rows, around, "key long, doc long, start long, size long, first long, words long"), "substring-passages")
+    rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys", "spans")
+    return cut(map_arrow(rows, around, "key long, doc long, start long, size long, first long, clean boolean"), "substring-passages")
 
 
-def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
-    """(ident, start, end, n_words, removed, first_doc): passages of each text that other documents have too.
+def _decided(rows: DataFrame, owner: str) -> DataFrame:
+    """Parts with what becomes of them: clean ones stay in the document ``owner`` and go from others.
 
-    Compared are lines of SHINGLE words or more and runs of short lines, which a wrapped paragraph is, by MinHash bands and exact Jaccard of word
-    5-shingles, and all runs of PASSAGE words, by their content, so that a repeated passage of so many
-    words or more is found from its first word to its last, wherever it stands in its lines.
-    Similar paragraphs are one class by components. A class in two documents or more stays in that of
-    the smallest id (``first_doc``) and is removed from the others. Overlapping passages of a document
-    are merged; start and end are bytes of its UTF-8 text. Rows of one id are one document, rows
-    without an id another. Null, empty and unrepeated texts give no rows. Ids are whole numbers.
+    Without an owner, as none is clean, that of the document ``low`` is saved from what goes there.
+    """
+    stays = F.when(F.col("doc") == F.col(owner), STAYS).otherwise(GOES)
+    kind = F.when(F.col(owner).isNull(), F.when(F.col("doc") == F.col("low"), SAVED)).otherwise(F.when(F.col("clean"), stays))
+    end, last = F.col("start") + F.col("size"), F.col("first") + F.col("words")
+    return rows.select("doc", "start", end.alias("end"), "first", last.alias("last"), F.coalesce(owner, "low").alias("low"), kind.alias("kind")).where("kind is not null")
+
+
+def _parts(docs: DataFrame, least: float) -> DataFrame:
+    """(doc, start, end, n_words, first_doc, removed) of rows (doc, text), each with its own doc.
+
+    Paragraphs first, lines of runs next, exact passages last; at each step what has gone before
+    doesn't count as a copy, so that of all that goes a copy stays.
     """
-    docs = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(NOBODY)).alias("doc"), F.col(text).cast("string").alias("text"))
-    lines = _paragraphs(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("bands").alias("bands"))
+    lines = _paragraphs(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("top").alias("top"), F.first("bands").alias("bands"))
     lines = cut(lines, "substring-lines")
     members = shared_buckets(lines.select(F.explode("bands").alias("bucket"), "key"), "bucket", "substring-buckets")
     contents = cut(_contents(docs, lines, members), "substring-contents")
     edges = _similar(tiles(members.join(contents, "key"), "bucket", "key", BLOCK), least)
     roots = components(edges, "substring-cc")
-    owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high"), "substring-owner")
-    group = cut(owned.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high"), "substring-groups")
-    flagged = owned.select("key", "root").join(group, "root").select("key", "low")
-    passages = _passages(docs)
-    short = passages.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    flagged = cut(flagged.unionAll(short), "substring-flagged")
-
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owners, own in _some(batches):
-            first, last = own.paragraphs()
-            text = own.owner(first)
-            start, end = own.starts[first], own.ends[last - 1]
-            columns = sums(own.hash, first, last).view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text], last - first
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["key", "doc", "start", "size", "first", "words"])
-
-    rows = map_arrow(docs, occur, "key long, doc long, start long, size long, first long, words long")
-    rows = rows.unionAll(passages).join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
-    rows = rows.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first", (F.col("first") + F.col("words")).alias("last"), "low", (F.col("low") != F.col("doc")).alias("removed"))
-    rows = rows.repartition("doc").sortWithinPartitions("doc", "removed", "first", "last")
+    owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high", "top"), "substring-owner")
+    group = cut(owned.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high"), "substring-groups")
+    flagged = cut(owned.select("key", "root").join(group, "root"), "substring-flagged")
+
+    places = cut(_places(docs).join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key")).drop("_key", "key"), "substring-places")
+    whole = places.where("parent is null").withColumn("clean", F.lit(True))
+    above = flagged.select(F.col("key").alias("_key"), F.col("top").alias("_top"))
+    inner = places.where("parent is not null").join(above.hint("merge"), F.col("parent") == F.col("_key"), "left")
+    inner = cut(inner.withColumn("clean", F.coalesce(F.col("_top") == F.col("doc"), F.lit(True))).drop("_key", "_top"), "substring-inner")
+    owner = inner.where("top is null").groupBy(F.col("root").alias("_root")).agg(F.min(F.when(F.col("clean"), F.col("doc"))).alias("own"))
+    inner = inner.join(owner, F.col("root") == F.col("_root"), "left").withColumn("own", F.coalesce("top", "own"))
+    known = cut(_decided(whole, "top").unionAll(_decided(inner, "own")), "substring-known")
+
+    gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    passages = _passages(docs, gone)
+    short = passages.groupBy(F.col("key").alias("_key")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(F.col("clean"), F.col("doc"))).alias("own")).where("low < high")
+    short = cut(short.drop("high"), "substring-shared")
+    rows = passages.join(short.hint("merge"), F.col("key") == F.col("_key")).withColumn("words", F.lit(PASSAGE))
+    rows = known.unionAll(_decided(rows, "own")).repartition("doc").sortWithinPartitions("doc", "first", "last")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in segments(batches, ["doc"]):
-            yield _union(*(table[c].to_numpy() for c in ("doc", "start", "end", "first", "last", "low", "removed")))
+            yield _union(*(table[c].to_numpy() for c in ("doc", "start", "end", "first", "last", "low", "kind")))
 
-    found = map_arrow(rows, merge, "doc long, start long, end long, n_words long, first_doc long, removed boolean", 500)
-    name = lambda c: F.when(F.col(c) != NOBODY, F.col(c))
-    return found.select(name("doc").alias(ident), "start", "end", "n_words", "removed", name("first_doc").alias("first_doc"))
+    return map_arrow(rows, merge, "doc long, start long, end long, n_words long, first_doc long, removed boolean", 5000)
 
 
-def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
-    """Parts that overlap or touch, as one, with the smallest first document; sorted by doc, removed and first."""
-    group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1]))])
+def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
+    """(ident, start, end, n_words, removed, first_doc): passages of each text that other rows have too.
+
+    Compared are lines of SHINGLE words or more and runs of short lines, which a wrapped paragraph is, by MinHash bands and exact Jaccard of word
+    5-shingles, and all runs of PASSAGE words, by their content, so that a repeated passage of so many
+    words or more is found from its first word to its last, wherever it stands in its lines.
+    Similar paragraphs are one class by components. What two rows or more have stays in one of them,
+    that of the smallest id (``first_doc``) among those where it is no part of something larger that
+    goes, and is removed from the others; if it is such a part everywhere, it stays in that of the
+    smallest id all the same. So every word of a repeated passage stays somewhere. Overlapping passages of a row
+    are merged; start and end are bytes of its UTF-8 text. Each row is a document: rows may repeat an
+    id or have none, which count as the largest; equal rows are copies of each other. Null, empty and unrepeated texts give no rows. Ids are whole numbers.
+    """
+    rows, numbered = _keyed(docs, ident, text)
+    found = _parts(rows.select("doc", "text"), least)
+    if not numbered:
+        return found.select(F.col("doc").alias(ident), "start", "end", "n_words", "removed", "first_doc")
+    names = rows.select(F.col("doc").alias("_doc"), F.col("row")[ident].cast("long").alias("_name"))
+    found = found.join(names, F.col("doc") == F.col("_doc")).withColumn("doc", F.col("_name")).drop("_doc", "_name")
+    found = found.join(names, F.col("first_doc") == F.col("_doc")).withColumn("first_doc", F.col("_name"))
+    return found.select(F.col("doc").alias(ident), "start", "end", "n_words", "removed", "first_doc")
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parts of a document that overlap or touch, as one, with the smallest first document; sorted by doc and first."""
+    if not len(doc):
+        return doc, start, end, first, last, low
+    group = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
     # The farthest word so far, within the group: groups are set apart by more than any word's number.
     apart = group * (last.max() + 1)
     reach = np.maximum.accumulate(last + apart)
     at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] + apart[1:] > reach[:-1])]))
-    words = np.maximum.reduceat(last, at) - first[at]
-    columns = doc[at], start[at], np.maximum.reduceat(end, at), words, np.minimum.reduceat(low, at), removed[at]
+    return doc[at], start[at], np.maximum.reduceat(end, at), first[at], np.maximum.reduceat(last, at), np.minimum.reduceat(low, at)
+
+
+def _less(gone: tuple[np.ndarray, ...], saved: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The parts ``gone`` without the words of the parts ``saved``, each merged and sorted."""
+    spared: dict[int, list[tuple[int, ...]]] = {}
+    for row in zip(*(c.tolist() for c in saved)):
+        spared.setdefault(row[0], []).append(row)
+    rows = []
+    for doc, start, end, first, last, low in zip(*(c.tolist() for c in gone)):
+        for _, left, right, a, b, _ in spared.get(doc, ()):
+            if b <= first or a >= last:
+                continue
+            if a > first:
+                rows.append((doc, start, left, first, a, low))
+            start, first = right + 1, b  # a byte of white space parts words
+        if first < last:
+            rows.append((doc, start, end, first, last, low))
+    return tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) if rows else tuple(c[:0] for c in gone)
+
+
+def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """What goes from each document and what stays, merged; rows are sorted by doc, first and last."""
+    parts = lambda some: _merged(*(x[some] for x in (doc, start, end, first, last, low)))
+    stays, gone = parts(kind != GOES), parts(kind == GOES)
+    if (kind == SAVED).any():
+        gone = _less(gone, parts(kind == SAVED))
+    both = [np.concatenate(pair) for pair in zip(stays, gone)]
+    removed = np.arange(len(both[0])) >= len(stays[0])
+    columns = both[0], both[1], both[2], both[4] - both[3], both[5], removed
     return pa.record_batch([pa.array(c) for c in columns], names=["doc", "start", "end", "n_words", "first_doc", "removed"])
 
 
@@ -305,11 +409,15 @@ def without(text: str, parts: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
-    """``docs`` with repeated passages cut out of their texts; a document of which no word is left goes."""
-    gone = repeats(docs, ident, text, least).where("removed").groupBy(F.col(ident).alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_parts"))
+    """``docs`` with repeated passages cut out of their texts; a row of which no word is left goes.
+
+    Every row is cut by its own passages, whatever its id; nulls, empty texts and other columns stay.
+    """
+    rows, _ = _keyed(docs, ident, text)
+    gone = _parts(rows.select("doc", "text"), least).where("removed").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_parts"))
     gone = cut(gone, "substring-gone")
     names = docs.columns
-    rows = docs.join(gone.hint("merge"), docs[ident].eqNullSafe(gone["_doc"]), "left").select(F.struct(*[docs[c] for c in names]).alias("row"), "_parts")
+    rows = rows.select("row", "doc").join(gone.hint("merge"), F.col("doc") == F.col("_doc"), "left").select("row", "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,7 +50,7 @@ def test_removal_and_odd_rows(spark):
     assert texts[0] == [rows[0]] and texts[20] == [rows[20]] and texts[22] == [rows[22]]
     assert len(texts[21][0].split()) <= len(rows[21].split()) - 40
     assert 30 not in texts or len(texts[30][0].split()) < 30
-    assert sorted(texts[None], key=str) == ["", None] and texts[50] == [None] and len(texts[52]) == 2
+    assert sorted(texts[None], key=str) == ["", None] and texts[50] == [None] and texts[52] == ["word " * 30000]
 
 
 def test_empty(spark):
@@ -89,7 +89,9 @@ def test_spliced_passages_whole(spark):
 def test_paragraphs_of_short_lines():
     own = substring.Texts(["a b c d e f\ng h\n\ni j k l m\n" + "x " * 20 + "\nn", "o p\nq r s t", None, "u", "v w x y"])
     words = own.data.split()
-    found = sorted(b" ".join(words[a:b]).decode() for a, b in zip(*own.paragraphs()))
+    first, last, parent = own.paragraphs()
+    found = sorted(b" ".join(words[a:b]).decode() for a, b in zip(first, last))
+    assert {(int(first[k]), int(first[p])) for k, p in enumerate(parent) if p >= 0} == {(0, 0)}
     assert found == sorted(["a b c d e f", "a b c d e f g h", "i j k l m", ("x " * 20).strip(), "o p q r s t"])
 
 
@@ -105,3 +107,67 @@ def test_short_and_wrapped_paragraphs(spark):
         rows |= {10 + 2 * k: f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}", 11 + 2 * k: f"{prose(rng, 40)}\n{line}\n{prose(rng, 40)}"}
     found = {r.doc_id: r.n_words for r in substring.repeats(frame(spark, rows.items())).collect() if r.removed}
     assert found == {1: 26, 11: 5, 13: 8, 15: 12, 17: 19, 19: 20, 21: 22, 23: 24}
+
+
+def removed_texts(spark, rows):
+    found = substring.remove_repeats(frame(spark, rows)).select("doc_id", "text").collect()
+    return sorted(((r.doc_id, r.text) for r in found), key=str)
+
+
+def test_rows_of_one_id_are_cut_by_their_own_passages(spark):
+    rng = random.Random(10)
+    passage, other, x = prose(rng, 40), "\u6f22\u5b57 " * 3 + " ".join(f"\u6f22{k}" for k in range(200)), prose(rng, 30)
+    rows = [(1, f"{prose(rng, 30)} {passage}"), (5, f"{passage} {x}"), (5, other)]
+    assert removed_texts(spark, rows) == sorted([rows[0], (5, x), rows[2]], key=str)
+
+
+def test_rows_without_an_id_are_documents(spark):
+    rng = random.Random(11)
+    passage, a, b = prose(rng, 40), prose(rng, 30), prose(rng, 30)
+    kept = removed_texts(spark, [(None, f"{a} {passage}"), (None, f"{b} {passage}"), (None, None)])
+    assert sum(passage in (t or "") for _, t in kept) == 1 and sum(len((t or "").split()) for _, t in kept) == 100 and len(kept) == 3
+    found = substring.repeats(frame(spark, [(None, a), (None, a), (7, a)])).collect()
+    assert sorted((str(r.doc_id), r.removed, r.first_doc) for r in found) == [("7", False, 7), ("None", True, 7), ("None", True, 7)]
+
+
+def test_what_leaves_with_a_near_copy_stays_elsewhere(spark):
+    rng = random.Random(12)
+    paragraph, s, x = prose(rng, 300), prose(rng, 40), prose(rng, 30)
+    assert removed_texts(spark, [(0, paragraph), (1, f"{paragraph} {s}"), (2, f"{x}\n{s}")]) == [(0, paragraph), (2, f"{x}\n{s}")]
+    # Only in near copies that go: every 25 words that only these share stay in the first of them.
+    kept = removed_texts(spark, [(0, paragraph), (1, f"{paragraph} {s}"), (2, f"{paragraph} {s}")])
+    assert kept == [(0, paragraph), (1, " ".join(paragraph.split()[-24:] + [s]))]
+
+
+def windows(text, n=substring.PASSAGE):
+    own = text.split()
+    return {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+
+
+def test_every_repeated_passage_stays_somewhere(spark):
+    """Random texts of shared passages and lines, of which near copies are made: no word of a repeat is lost."""
+    rng = random.Random(13)
+    pool = [prose(rng, rng.randint(25, 60)) for _ in range(12)] + [prose(rng, rng.randint(5, 19)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        if rows and rng.random() < 0.4:  # a near copy: words changed, a line added or dropped
+            own = rows[rng.randrange(len(rows))][1].split("\n")
+            own = [" ".join(w if rng.random() > 0.03 else prose(rng, 1) for w in line.split(" ")) for line in own]
+            if rng.random() < 0.5:
+                own.insert(rng.randrange(len(own) + 1), rng.choice(pool))
+        else:
+            own = []
+            for _ in range(rng.randint(2, 6)):
+                part = rng.choice([prose(rng, rng.randint(5, 40)), rng.choice(pool), rng.choice(pool)])
+                own += rng.choice([[part], [part, ""], [prose(rng, 4) + " " + part], [" ".join(part.split(" ")[k : k + 9]) for k in range(0, len(part.split(" ")), 9)]])
+        rows.append((rng.choice([i, i, i, i // 3, None]), "\n".join(own)))
+    kept = removed_texts(spark, rows)
+    count = {}
+    for _, t in rows:
+        for unit in windows(t) | {tuple(line.split()) for line in t.split("\n") if len(line.split()) >= 5}:
+            count[unit] = count.get(unit, 0) + 1
+    words = set(" ".join(t for _, t in kept).split())
+    assert {w for unit, n in count.items() if n > 1 for w in unit} <= words
+    assert sum(len(t.split()) for _, t in kept) < 0.7 * sum(len(t.split()) for _, t in rows)
+    found = substring.repeats(frame(spark, rows)).select("doc_id", "n_words", "removed").collect()
+    assert sum(r.n_words for r in found if r.removed) == sum(len(t.split()) for _, t in rows) - sum(len(t.split()) for _, t in kept)
