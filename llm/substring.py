@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,27 +78,21 @@ class Texts:
         run = np.where(np.cumsum(change)[lines] > 0, np.searchsorted(begins, lines, side="right") - 1 + len(lines), -1)
         return np.concatenate([first[lines], first[begins]]), np.concatenate([last[lines], last[ends]]), np.append(run, np.full(len(begins), -1))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the runs of ANCHOR words that are the least of some PASSAGE words of a text."""
+    def leasts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, anchor) of each run of PASSAGE words of a text: the anchor is its run of ANCHOR words of the least hash."""
         order = shingles(self.hash, ANCHOR)
         number = len(self.hash) - PASSAGE + 1
         if number < 1:
-            return np.zeros(0, dtype=np.int64), order[:0]
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         windows = np.lib.stride_tricks.sliding_window_view(order, PASSAGE - ANCHOR + 1)
         at = np.concatenate([a + windows[a : a + AT_ONCE].argmin(axis=1) + np.arange(min(AT_ONCE, number - a)) for a in range(0, number, AT_ONCE)])
         window = np.arange(number)
-        at = np.unique(at[self.words[self.owner(window) + 1] - window >= PASSAGE])
-        return at, order[at]
-
-    def passages(self, at: np.ndarray) -> np.ndarray:
-        """The first words of all runs of PASSAGE words of a text that hold one of the anchors ``at``."""
-        text = self.owner(at)
-        low = np.maximum(at - (PASSAGE - ANCHOR), self.words[text])
-        high = np.minimum(at, self.words[text + 1] - PASSAGE) + 1
-        change = np.zeros(len(self.hash) + 2, dtype=np.int64)
-        np.add.at(change, low, 1)
-        np.add.at(change, high, -1)
-        return np.flatnonzero(np.cumsum(change) > 0)
+        whole = self.words[self.owner(window) + 1] - window >= PASSAGE
+        return window[whole], at[whole]
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """The hashes of the anchors at the given words."""
+        return shingles(self.hash, ANCHOR)[at].view(np.int64)
 
     def signatures(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """(paragraphs, bands): MinHash bands of the shingles of each run of words."""
@@ -240,18 +235,21 @@ def _similar(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(key, doc, start, size, first, clean) of the runs of PASSAGE words around anchors that other documents have too.
+    """(key, doc, start, size, first, words, clean) of passages that cover all runs of PASSAGE words that documents share.
 
-    Two documents that share PASSAGE words share the anchor of these, so no shared run is missed. A
-    run is clean if it overlaps none of the paragraphs ``gone`` (_gone, spans) from its document.
+    Two documents that share PASSAGE words share the anchor of these, so no shared run is missed. The
+    runs of one anchor lie side by side in a text. Where they are the same words in all documents that
+    have the anchor, they are one passage; elsewhere each run is one. A passage is clean if it overlaps
+    none of the paragraphs ``gone`` (_gone, spans) from its document. Runs that lie in paragraphs whose
+    own words stay elsewhere need no row.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owners, own in _some(batches):
-            at, key = own.anchors()
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(owners[own.owner(at)])], names=["key", "doc"])
+            at = np.unique(own.leasts()[1])
+            yield pa.record_batch([pa.array(own.keys(at)), pa.array(owners[own.owner(at)])], names=["key", "doc"])
 
-    rows = map_arrow(docs, anchors, "key long, doc long")
+    rows = cut(map_arrow(docs, anchors, "key long, doc long"), "substring-anchor-places")
     shared = cut(rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key")), "substring-anchors")
     wanted = rows.join(shared.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
     wanted = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys"))
@@ -261,25 +259,70 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         for batch in batches:
             lists, spans, row = batch.column(2), batch.column(3).to_pylist(), 0
             for owners, own in _some([batch]):
-                at, key = own.anchors()
-                edge = np.searchsorted(at, own.words)
-                hit = [np.isin(key[a:b].view(np.int64), lists[row + k].values.to_numpy()) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist()))]
-                change = np.zeros(len(own.hash) + 2, dtype=np.int64)
-                for k, word in enumerate(own.words[:-1].tolist()):
-                    for span in spans[row + k] or ():
-                        change[word + span["first"]] += 1
-                        change[word + span["last"]] -= 1
+                yield _runs(own, owners, [lists[row + k].values.to_numpy() for k in range(len(owners))], spans[row : row + len(owners)])
                 row += len(owners)
-                first = own.passages(at[np.concatenate(hit)])
-                taken = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-                clean = taken[first + PASSAGE] == taken[first]
-                text = own.owner(first)
-                start, end = own.starts[first], own.ends[first + PASSAGE - 1]
-                columns = shingles(own.hash, PASSAGE)[first].view(np.int64), owners[text], start - own.bytes[text], end - start, first - own.words[text]
-                yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in columns), pa.array(clean)], names=["key", "doc", "start", "size", "first", "clean"])
 
     rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys", "spans")
-    return cut(map_arrow(rows, around, "key long, doc long, start long, size long, first long, clean boolean"), "substring-passages")
+    rows = cut(map_arrow(rows, around, "anchor long, whole long, doc long, start long, size long, first long, words long, clean boolean, parted boolean, runs array<long>"), "substring-runs")
+    even = (F.min("whole") == F.max("whole")) & ~F.max("parted")
+    shared = rows.groupBy(F.col("anchor").alias("_anchor")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), even.alias("even")).where("low < high")
+    rows = rows.join(cut(shared.select("_anchor", "even"), "substring-even").hint("merge"), F.col("anchor") == F.col("_anchor"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = batch.filter(batch.column(9))
+            yield pa.record_batch([one.column(k) for k in (0, 1, 2, 3, 4, 5, 6)], names=SPREAD)
+            many = batch.filter(pc.invert(batch.column(9)))
+            pairs = many.column(8).flatten().to_numpy().reshape(-1, 2)
+            number = many.column(8).value_lengths().to_numpy() // 2
+            of = np.repeat(np.arange(many.num_rows), number)
+            place, step = pairs[:, 1], np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+            doc, start, first = (many.column(k).to_numpy()[of] for k in (1, 2, 4))
+            columns = pairs[:, 0], doc, start + (place >> 33), (place >> 2) & 0x7FFFFFFF, first + step, np.full(len(of), PASSAGE)
+            keep = place & 2 == 0
+            yield pa.record_batch([*(pa.array(c[keep].astype(np.int64)) for c in columns), pa.array((place & 1 == 1)[keep])], names=SPREAD)
+
+    rows = rows.select("whole", "doc", "start", "size", "first", "words", "clean", "anchor", "runs", "even")
+    return cut(map_arrow(rows, spread, "key long, doc long, start long, size long, first long, words long, clean boolean"), "substring-passages")
+
+
+SPREAD = ["key", "doc", "start", "size", "first", "words", "clean"]
+
+
+def _runs(own: Texts, owners: np.ndarray, keys: list[np.ndarray], spans: list[list[dict] | None]) -> pa.RecordBatch:
+    """The runs of PASSAGE words of each wanted anchor, side by side.
+
+    ``whole`` digests the words they cover; ``runs`` has each run's digest and its place: byte after
+    the first run's start, size, whether its words stay elsewhere (so it needs no row), and whether it is clean.
+    """
+    first, at = own.leasts()
+    text = own.owner(first)
+    edge, key = np.searchsorted(text, np.arange(len(owners) + 1)), own.keys(at)
+    wanted = np.zeros(len(first), dtype=bool)
+    gone, copied = np.zeros((2, len(own.hash) + 1), dtype=np.int64)
+    for k, (word, a, b) in enumerate(zip(own.words[:-1].tolist(), edge[:-1].tolist(), edge[1:].tolist())):
+        wanted[a:b] = np.isin(key[a:b], keys[k])
+        for span in spans[k] or ():
+            for change in (gone, copied)[: 1 + span["exact"]]:
+                change[word + span["first"]] += 1
+                change[word + span["last"]] -= 1
+    gone, copied = (np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)]) for change in (gone, copied))
+    needless = copied[first + PASSAGE] - copied[first] == PASSAGE
+    clean = gone[first + PASSAGE] == gone[first]
+    begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])) if len(first) else np.zeros(0, dtype=np.int64)
+    number = np.diff(np.append(begins, len(first)))
+    kept = wanted[begins] & (np.add.reduceat(~needless, begins) > 0) if len(first) else np.zeros(0, dtype=bool)
+    begins, number, some = begins[kept], number[kept], np.repeat(kept, number)
+    a, b = first[begins], first[begins] + number - 1 + PASSAGE
+    start, end, lost = own.starts[a], own.ends[b - 1], gone[b] - gone[a]
+    first, clean, needless = first[some], clean[some], needless[some]
+    place = own.starts[first] - np.repeat(start, number) << 33 | own.ends[first + PASSAGE - 1] - own.starts[first] << 2 | needless.astype(np.int64) << 1 | clean
+    runs = np.column_stack([shingles(own.hash, PASSAGE)[first].view(np.int64) if len(first) else first, place]).ravel()
+    held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * number)]).astype(np.int32)), pa.array(runs.astype(np.int64)))
+    text = own.owner(a)
+    columns = own.keys(a)[:0] if not len(a) else own.keys(at[begins]), sums(own.hash, a, b).view(np.int64), owners[text], start - own.bytes[text], end - start, a - own.words[text], b - a
+    columns = [pa.array(c.astype(np.int64)) for c in columns]
+    return pa.record_batch([*columns, pa.array(lost == 0), pa.array((lost > 0) & (lost < b - a)), held], names=["anchor", "whole", "doc", "start", "size", "first", "words", "clean", "parted", "runs"])
 
 
 def _decided(rows: DataFrame, owner: str) -> DataFrame:
@@ -290,7 +333,7 @@ def _decided(rows: DataFrame, owner: str) -> DataFrame:
     stays = F.when(F.col("doc") == F.col(owner), STAYS).otherwise(GOES)
     kind = F.when(F.col(owner).isNull(), F.when(F.col("doc") == F.col("low"), SAVED)).otherwise(F.when(F.col("clean"), stays))
     end, last = F.col("start") + F.col("size"), F.col("first") + F.col("words")
-    return rows.select("doc", "start", end.alias("end"), "first", last.alias("last"), F.coalesce(owner, "low").alias("low"), kind.alias("kind")).where("kind is not null")
+    return rows.select("doc", "start", end.alias("end"), "first", last.alias("last"), F.coalesce(owner, "low").alias("low"), kind.alias("kind"), "exact").where("kind is not null")
 
 
 def _parts(docs: DataFrame, least: float) -> DataFrame:
@@ -305,25 +348,29 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     contents = cut(_contents(docs, lines, members), "substring-contents")
     edges = _similar(tiles(members.join(contents, "key"), "bucket", "key", BLOCK), least)
     roots = components(edges, "substring-cc")
-    owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high", "top"), "substring-owner")
-    group = cut(owned.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high"), "substring-groups")
-    flagged = cut(owned.select("key", "root").join(group, "root"), "substring-flagged")
+    repeated = (F.col("low") < F.col("high")).alias("repeated")
+    owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high", "top", repeated), "substring-owner")
+    group = cut(owned.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high"), "substring-groups")
+    flagged = owned.select("key", "root", "repeated", F.col("top").alias("_own")).join(group, F.col("root") == F.col("_root"))
+    flagged = cut(flagged.select("key", "root", "low", "top", "repeated", F.coalesce(F.col("_own") == F.col("top"), F.lit(False)).alias("exact")), "substring-flagged")
 
     places = cut(_places(docs).join(flagged.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key")).drop("_key", "key"), "substring-places")
     whole = places.where("parent is null").withColumn("clean", F.lit(True))
-    above = flagged.select(F.col("key").alias("_key"), F.col("top").alias("_top"))
+    above = flagged.select(F.col("key").alias("_key"), F.col("top").alias("_top"), F.col("repeated").alias("_repeated"))
     inner = places.where("parent is not null").join(above.hint("merge"), F.col("parent") == F.col("_key"), "left")
-    inner = cut(inner.withColumn("clean", F.coalesce(F.col("_top") == F.col("doc"), F.lit(True))).drop("_key", "_top"), "substring-inner")
+    inner = inner.withColumn("clean", F.coalesce(F.col("_top") == F.col("doc"), F.lit(True)))
+    # A run that stays as the copy of others keeps its lines, but for those that stay elsewhere word for word.
+    inner = cut(inner.where("exact or not clean or not coalesce(_repeated, false)").drop("_key", "_top", "_repeated"), "substring-inner")
     owner = inner.where("top is null").groupBy(F.col("root").alias("_root")).agg(F.min(F.when(F.col("clean"), F.col("doc"))).alias("own"))
     inner = inner.join(owner, F.col("root") == F.col("_root"), "left").withColumn("own", F.coalesce("top", "own"))
     known = cut(_decided(whole, "top").unionAll(_decided(inner, "own")), "substring-known")
 
-    gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last", "exact")).alias("spans"))
     passages = _passages(docs, gone)
     short = passages.groupBy(F.col("key").alias("_key")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(F.col("clean"), F.col("doc"))).alias("own")).where("low < high")
     short = cut(short.drop("high"), "substring-shared")
-    rows = passages.join(short.hint("merge"), F.col("key") == F.col("_key")).withColumn("words", F.lit(PASSAGE))
-    rows = known.unionAll(_decided(rows, "own")).repartition("doc").sortWithinPartitions("doc", "first", "last")
+    rows = passages.join(short.hint("merge"), F.col("key") == F.col("_key")).withColumn("exact", F.lit(True))
+    rows = known.unionAll(_decided(rows, "own")).repartition("doc").drop("exact").sortWithinPartitions("doc", "first", "last")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in segments(batches, ["doc"]):
