@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # Tasks that write by themselves know nothing of the cluster's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,11 +40,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives executors."""
+def cut(df: DataFrame, name: str, pieces: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives executors.
+
+    ``pieces`` bounds the number of files, where a bound of the rows is known.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if pieces is None else df.coalesce(pieces)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,29 +86,59 @@ def remainder(column: str, n: int) -> F.Column:
 # --- connected components -------------------------------------------------------------------
 
 
+#: Edges that a task contracts at once, and rows of a table of a round that a file holds, about.
+CONTRACTED = 1 << 18
+ROWS_A_FILE = 50_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what the given ones (a, b) do, each to the smallest node of what a chunk connects."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(nodes))
+        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            forest.join(x, y)
+        root = np.array([forest.find(k) for k in range(len(nodes))], dtype=np.int64)
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        held.clear()
+        return pa.record_batch([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) >= CONTRACTED:
+            yield stars()
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    ``edges`` has columns a, b of one orderable type. Returns (node, root), root being the smallest
-    node reachable, for every node that has an edge. Each round is two partial aggregations and two
-    joins whose inputs are both scratch tables, so adaptive execution can split a hot node.
+    ``edges`` has columns a, b of long numbers. Returns (node, root), root being the smallest
+    node reachable, for every node that has an edge. Tasks first contract the edges of a file. Each
+    round is two partial aggregations and two joins whose inputs are both scratch tables, so adaptive
+    execution can split a hot node. It ends when all nodes have one edge, to a node that has none to a smaller.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut(edges, name)
-    seen = None
+    edges = cut(edges.where("a <> b").select("a", "b").distinct(), name)
+    pieces = 8 + edges.count() // ROWS_A_FILE  # rounds make no table of more than twice as many rows
+    edges = cut(map_arrow(edges, _contracted, "a long, b long", CONTRACTED).distinct(), name, pieces)
     while True:
+        low = edges.groupBy(F.col("a").alias("u")).agg(F.count("*").alias("n"))
+        deeper = edges.select(F.col("b").alias("u")).join(low, "u", "left_semi")
+        if not low.where("n > 1").select("u").unionAll(deeper).limit(1).count():
+            break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy(F.col("a").alias("u")).agg(F.least(F.first("a"), F.min("b")).alias("m")), name)
+        low = cut(both.groupBy(F.col("a").alias("u")).agg(F.least(F.first("a"), F.min("b")).alias("m")), name, pieces)
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct(), name)
-        low = cut(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name)
+        large = cut(large.where("a <> b").distinct(), name, pieces)
+        low = cut(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name, pieces)
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
-        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
-            break
-        seen = state
+        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, pieces)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -179,9 +179,9 @@ def _contents(docs: DataFrame, lines: DataFrame, members: DataFrame) -> DataFram
     Each is read from the first document that has it: keys and documents are joined by the document's
     id, at every size, so nothing that grows with the corpus is sent to all tasks.
     """
-    keys = cut(members.select(F.col("key").alias("_key")).distinct(), "substring-candidates")
+    keys = members.select(F.col("key").alias("_key")).distinct()
     wanted = lines.select("key", "low").join(keys, F.col("key") == F.col("_key"), "left_semi")
-    wanted = cut(wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list("key").alias("keys")), "substring-wanted")
+    wanted = wanted.groupBy(F.col("low").alias("_doc")).agg(F.collect_list("key").alias("keys"))
     rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,10 +250,10 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(own.keys(at)), pa.array(owners[own.owner(at)])], names=["key", "doc"])
 
     rows = cut(map_arrow(docs, anchors, "key long, doc long"), "substring-anchor-places")
-    shared = cut(rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key")), "substring-anchors")
+    shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key"))
     wanted = rows.join(shared.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
     wanted = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys"))
-    wanted = cut(wanted.join(gone, F.col("_doc") == F.col("_gone"), "left").select("_doc", "keys", "spans"), "substring-anchored")
+    wanted = wanted.join(gone, F.col("_doc") == F.col("_gone"), "left").select("_doc", "keys", "spans")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +266,7 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     rows = cut(map_arrow(rows, around, "anchor long, whole long, doc long, start long, size long, first long, words long, clean boolean, parted boolean, runs array<long>"), "substring-runs")
     even = (F.min("whole") == F.max("whole")) & ~F.max("parted")
     shared = rows.groupBy(F.col("anchor").alias("_anchor")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), even.alias("even")).where("low < high")
-    rows = rows.join(cut(shared.select("_anchor", "even"), "substring-even").hint("merge"), F.col("anchor") == F.col("_anchor"))
+    rows = rows.join(shared.select("_anchor", "even").hint("merge"), F.col("anchor") == F.col("_anchor"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,12 +345,11 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     lines = _paragraphs(docs).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("top").alias("top"), F.first("bands").alias("bands"))
     lines = cut(lines, "substring-lines")
     members = shared_buckets(lines.select(F.explode("bands").alias("bucket"), "key"), "bucket", "substring-buckets")
-    contents = cut(_contents(docs, lines, members), "substring-contents")
-    edges = _similar(tiles(members.join(contents, "key"), "bucket", "key", BLOCK), least)
+    edges = _similar(tiles(members.join(_contents(docs, lines, members), "key"), "bucket", "key", BLOCK), least)
     roots = components(edges, "substring-cc")
     repeated = (F.col("low") < F.col("high")).alias("repeated")
     owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high", "top", repeated), "substring-owner")
-    group = cut(owned.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high"), "substring-groups")
+    group = owned.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high")
     flagged = owned.select("key", "root", "repeated", F.col("top").alias("_own")).join(group, F.col("root") == F.col("_root"))
     flagged = cut(flagged.select("key", "root", "low", "top", "repeated", F.coalesce(F.col("_own") == F.col("top"), F.lit(False)).alias("exact")), "substring-flagged")
 
@@ -368,8 +367,7 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last", "exact")).alias("spans"))
     passages = _passages(docs, gone)
     short = passages.groupBy(F.col("key").alias("_key")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(F.col("clean"), F.col("doc"))).alias("own")).where("low < high")
-    short = cut(short.drop("high"), "substring-shared")
-    rows = passages.join(short.hint("merge"), F.col("key") == F.col("_key")).withColumn("exact", F.lit(True))
+    rows = passages.join(short.drop("high").hint("merge"), F.col("key") == F.col("_key")).withColumn("exact", F.lit(True))
     rows = known.unionAll(_decided(rows, "own")).repartition("doc").drop("exact").sortWithinPartitions("doc", "first", "last")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
