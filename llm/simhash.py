@@ -11,8 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from llm.common import components, cut, map_arrow, segments, shared_buckets, small_pairs, text_bytes, tiles
+from llm.words import mix
 
 BITS = 64
 #: Fingerprints looked at (not kept) when bits are grouped and candidates estimated.
@@ -147,7 +149,7 @@ def _signatures(distinct: DataFrame, plan: Plan) -> DataFrame:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for k, mask, flips in masks:
                 values = ((fps & np.uint64(mask))[:, None] ^ flips[None, :]).ravel()
-                bucket = _mix(values + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+                bucket = mix(values + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.record_batch(
                     [
                         pa.array(bucket.view(np.int64)),
@@ -160,13 +162,6 @@ def _signatures(distinct: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(distinct.select("fp"), run, "bucket long, fp long, own boolean", 10_000)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _verified(rows: DataFrame, differ: int) -> DataFrame:
     """Edges between fingerprints that share a bucket and differ in few bits. Buckets are bounded by DENSE."""
 
@@ -218,6 +213,16 @@ def link(distinct: DataFrame, differ: int = 2) -> tuple[DataFrame, Plan]:
     return sparse.unionAll(dense), chosen
 
 
+def _classes(docs: DataFrame, ident: str, text: str, differ: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, first, n) of each fingerprint: its class, smallest id and rows."""
+    fps = cut(fingerprints(docs, ident, text, words), "simhash-fps")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    edges, _ = link(distinct, differ)
+    roots = components(edges, "simhash-cc")
+    owner = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    return fps, cut(owner, "simhash-owner")
+
+
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", differ: int = 2, words: int = 3) -> DataFrame:
     """(ident, fingerprint, component_id, copies) for each row.
 
@@ -226,12 +231,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     component_id is null only if all ids of the component are. Repeated rows stay as they are. An
     empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, ident, text, words), "simhash-fps")
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
-    edges, _ = link(distinct, differ)
-    roots = components(edges, "simhash-cc")
-    owner = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
-    owner = cut(owner, "simhash-owner")
+    fps, owner = _classes(docs, ident, text, differ, words)
     group = cut(owner.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("copies")), "simhash-groups")
     known = cut(owner.select("fp", "root").join(group, "root"), "simhash-known")
     return fps.join(known, "fp").select(
@@ -239,28 +239,26 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its component_id.
+def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text", differ: int = 2, words: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, ids that are null last.
 
-    If that id repeats, one of its rows stays. A component whose ids are all null keeps one row too.
+    Ids may repeat: of the component's rows with that id the one of the smallest fingerprint stays,
+    and of rows alike in both the one of the smallest hash over all columns; rows of one id in other
+    components have no part in that.
     """
-    found = near_duplicates(docs, ident, text)
-    kept = cut(found.where(F.col(ident) == F.col("component_id")).groupBy(F.col(ident).alias("_kept")).agg(F.count("*").alias("_n")), "simhash-kept")
-    rows = docs.join(kept.hint("merge"), docs[ident] == kept["_kept"], "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        rows = rows.dropDuplicates([ident])
-    nameless = found.where("component_id is null").select("fingerprint", "class_fingerprint").distinct()
-    if nameless.limit(1).count():
-        marked = docs.where(F.col(ident).isNull())
-        names = marked.columns
-        marked = marked.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(0).field(text).to_pylist()
-                yield pa.record_batch([batch.column(0), pa.array([f"{fingerprint(t):016x}" for t in texts])], names=["row", "fingerprint"])
-
-        marked = map_arrow(marked, run, f"row {marked.schema['row'].dataType.simpleString()}, fingerprint string")
-        marked = marked.join(nameless, "fingerprint").dropDuplicates(["class_fingerprint"])
-        rows = rows.unionAll(marked.select("row.*"))
-    return rows
+    fps, owner = _classes(docs, ident, text, differ, words)
+    best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("id"), "fp"))
+    kept = cut(owner.groupBy("root").agg(best.alias("best")).select(F.col("best.id").alias("_id"), F.col("best.fp").alias("_fp")), "simhash-kept")
+    if not fps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        return docs.join(kept.hint("merge"), docs[ident] == kept["_id"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["row", "id", "fp"])
+
+    schema = StructType([rows.schema["row"], rows.schema["id"], StructField("fp", LongType())])
+    rows = map_arrow(rows, run, schema).join(kept.hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.groupBy("id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

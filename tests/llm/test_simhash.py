@@ -47,6 +47,15 @@ def test_against_brute_force(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "lang", "fp", "row"}
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    x, y, z = ("one text of a few words here", "quite another text that is unlike it", "a third one with nothing of the others")
+    rows = [(5, x), (5, y), (None, z), (None, z), (9, x), (5, x), (None, "a fourth that is alone and has no name"), (4, ""), (None, None)]
+    kept = simhash.keep_first(spark.createDataFrame([(i, t, "l", "clash", None) for i, t in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, x), (5, y), (None, z), rows[6], (4, "")], key=str)
+    fps = [f"{f:016x}" for f in brute([t for _, t in rows])]
+    assert len(kept) == len(set(fps))  # none of these are near
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).collect() == []
