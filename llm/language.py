@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import map_arrow
-from llm.sampling import labelled, trimmed
+from llm.sampling import labelled, share_of, trimmed
 
 UNKNOWN = "und"
 #: Documents of each language that are fitted, and of these the landmarks.
@@ -20,48 +21,66 @@ FIT = 300
 LANDMARKS = 24
 RIDGE = 0.1
 SHARPNESS = 6.0
-#: Letters told apart; 0 stands for all that is no letter, 1 for any other letter.
-LETTERS = 62
-SIDE = LETTERS + 2
-GRAMS = SIDE + SIDE**2 + SIDE**3
+#: Landmarks of all languages together, about.
+MOST_LANDMARKS = 1536
+#: N-grams are told apart by so many bits of a hash of their code points, whatever their script.
+BITS = 20
 ROWS = 128
+#: A text counts as of a learned language from this share of the margin that all but TAIL of the fitted documents
+#: have, and from this margin at least: text of another script has none.
+CLAIM, TAIL, LEAST_MARGIN = 0.25, 0.005, 0.02
 
 
 @dataclass
 class Model:
-    """Alphabet, the landmarks' n-grams and kernel weights."""
+    """The landmarks' n-grams and kernel weights, and the least margin at which a language claims a text."""
 
     languages: list[str]
-    symbols: np.ndarray
     vocabulary: np.ndarray
     landmarks: np.ndarray
     norms: np.ndarray
     weights: np.ndarray
-
-    def presence(self, text: str, seen: np.ndarray, out: np.ndarray) -> int:
-        """Marks in ``out`` the landmarks' n-grams (1 to 3 symbols) that the whole text has; the number of distinct n-grams."""
-        grams = _grams(text, self.symbols)
-        seen[grams] = True
-        out[:] = seen[self.vocabulary]
-        number = int(np.count_nonzero(seen))
-        seen[grams] = False
-        return number
+    floor: float = 0.0
 
     def kernels(self, texts: list[str]) -> np.ndarray:
-        """The normalised presence kernel of each text with each landmark, one matrix product a batch."""
-        seen = np.zeros(GRAMS, dtype=bool)
+        """The normalised presence kernel of each text with each landmark, one matrix product a batch.
+
+        Marked are the landmarks' n-grams (1 to 3 symbols) that the whole text has; its norm counts all it has.
+        """
+        seen = np.zeros(1 << BITS, dtype=bool)
         rows, sizes = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32), np.ones(len(texts))
         for k, text in enumerate(texts):
-            sizes[k] = max(1, self.presence(text, seen, rows[k]))
+            grams = _grams(text)
+            seen[grams] = True
+            rows[k] = seen[self.vocabulary]
+            sizes[k] = max(1, np.count_nonzero(seen))
+            seen[grams] = False
         return (rows @ self.landmarks) / np.sqrt(sizes)[:, None] / self.norms[None, :]
 
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """One-versus-rest margins of each text, about 1 for its own language and -1 for others."""
+        return self.kernels(texts) @ self.weights
+
+    def told(self, texts: list[str | None]) -> list[int]:
+        """The numbers of the texts that have a letter, if anything was learned."""
+        return [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+
+    def claimed(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a learned language claims each text: its margin, not its share among the languages, is ``floor`` or more."""
+        found = np.zeros(len(texts), dtype=bool)
+        at = self.told(texts)
+        for a in range(0, len(at), ROWS):
+            some = at[a : a + ROWS]
+            found[some] = self.margins([texts[k] for k in some]).max(axis=1) >= self.floor
+        return found
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` and 0 where there is no letter or nothing was learned."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        at = [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        at = self.told(texts)
         for a in range(0, len(at), ROWS):
             some = at[a : a + ROWS]
-            margin = SHARPNESS * (self.kernels([texts[k] for k in some]) @ self.weights)
+            margin = SHARPNESS * self.margins([texts[k] for k in some])
             p = np.exp(margin - margin.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
@@ -70,54 +89,60 @@ class Model:
         return names, scores
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+@functools.cache
+def _letters() -> np.ndarray:
+    """Each code point, if it is a letter, else 0."""
+    points = np.arange(0x110000, dtype=np.uint64)
+    points[[c for c in range(0x110000) if not chr(c).isalpha()]] = 0
+    return points
 
 
-def _grams(text: str, symbols: np.ndarray) -> np.ndarray:
-    """Numbers of all n-grams of one to three symbols, repeats included."""
-    one = symbols[_points(text)].astype(np.int32)
-    two = one[:-1] * SIDE + one[1:]
-    return np.concatenate([one, two + SIDE, two[:-1] * SIDE + one[2:] + SIDE + SIDE**2])
+def _grams(text: str) -> np.ndarray:
+    """Hashes of all n-grams of one to three symbols, repeats included; all that is no letter is one symbol."""
+    one = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] + np.uint64(1)
+    two = one[:-1] << np.uint64(21) | one[1:]
+    all_of = np.concatenate([one, two, two[:-1] << np.uint64(21) | one[2:]])
+    return (all_of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def fit(texts: list[str], languages: list[str]) -> Model:
     """One-versus-rest kernel ridge regression on Nyström features of the landmarks."""
     names = sorted(set(languages))
-    counts: Counter = Counter()
-    for text in texts:
-        counts.update(c for c in text.lower() if c.isalpha())
-    symbols = np.zeros(0x110000, dtype=np.uint8)
-    symbols[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
-    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
-        symbols[ord(c)] = k + 2
+    each = share_of(LANDMARKS, len(names), MOST_LANDMARKS)
     chosen, held = [], Counter()
     for text, name in zip(texts, languages):
-        if held[name] < LANDMARKS:
+        if held[name] < each:
             held[name] += 1
-            chosen.append(np.unique(_grams(text, symbols)))
+            chosen.append(np.unique(_grams(text)))
     vocabulary = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, dtype=np.int32)
     landmarks = np.zeros((len(vocabulary), len(chosen)), dtype=np.float32)
     for k, grams in enumerate(chosen):
         landmarks[np.searchsorted(vocabulary, grams), k] = 1.0
     norms = np.sqrt(np.maximum(1.0, np.array([len(g) for g in chosen], dtype=np.float64)))
-    model = Model(names, symbols, vocabulary, landmarks, norms, np.zeros((len(chosen), len(names))))
+    model = Model(names, vocabulary, landmarks, norms, np.zeros((len(chosen), len(names))))
     if not chosen:
         return model
     inner = (landmarks.T @ landmarks).astype(np.float64) / np.outer(norms, norms)
     values, vectors = np.linalg.eigh(inner)
     root = vectors @ np.diag(np.where(values > 1e-8, values, np.inf) ** -0.5) @ vectors.T
-    features = np.concatenate([model.kernels(texts[a : a + ROWS]) for a in range(0, len(texts), ROWS)]) @ root
+    kernels = np.concatenate([model.kernels(texts[a : a + ROWS]) for a in range(0, len(texts), ROWS)])
+    features = kernels @ root
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     model.weights = root @ np.linalg.solve(features.T @ features + RIDGE * np.eye(len(root)), features.T @ target)
+    best = (kernels @ model.weights).max(axis=1)[[any(map(str.isalpha, t)) for t in texts]]
+    model.floor = max(LEAST_MARGIN, CLAIM * float(np.quantile(best, TAIL))) if len(best) else LEAST_MARGIN
     return model
 
 
 def train(rows: DataFrame, label: str = "lang", text: str = "text", ident: str = "doc_id", quota: int = FIT) -> Model:
-    """Fit on about ``quota`` whole documents of each of the 64 most frequent labels; null labels and texts don't count."""
-    rows = rows.select(F.col(ident).alias("id"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
+    """Fit on about ``quota`` whole documents of each label, fewer where labels are many; every label is learned.
+
+    Null labels and texts don't count, rows that repeat count once, and a text of two labels counts
+    for each. Which rows are taken, and their order, only their ids and texts decide. An empty table makes a model that knows nothing.
+    """
+    rows = rows.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.where("label is not null and text is not null")
-    sample, _ = labelled(rows, "label", "id", quota)
+    sample, _, quota = labelled(rows, "label", ("id", "text"), quota)
     frame = trimmed(sample.select("label", "text").toPandas(), "label", quota)
     return fit(frame["text"].tolist(), frame["label"].tolist())
 
@@ -136,13 +161,12 @@ def identify(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "
     return found.withColumnRenamed("id", ident)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
-    """``docs`` without those that are ``und`` or whose best language scores under ``least``; all columns stay."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without those that no learned language claims: no letter, or margins under the model's floor; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.claimed(batch.column(batch.schema.get_field_index(text)).to_pylist())))
 
     return map_arrow(docs, run, docs.schema)

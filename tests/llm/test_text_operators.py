@@ -103,6 +103,94 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(frame(spark, test), none).collect()} == {"und"}
 
 
+def test_language_scripts_and_many_labels(spark):
+    """Scripts of thousands of letters, more than 64 labels, and a text of none of them."""
+    rng = random.Random(15)
+    letters = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)}
+    make = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(60))
+    learn = [(i, make(lang), lang) for i, lang in enumerate(sorted(letters) * 20)]
+    model = language.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(letters)
+    test = [make(lang) for lang in sorted(letters)]
+    names, scores = model.predict(test)
+    assert names == sorted(letters) and all(0 < s <= 1 for s in scores)
+    assert model.claimed(test + ["\u0434\u043e\u043c \u0438 \u0441\u0430\u0434", "123", None, ""]).tolist() == [True] * 70 + [False] * 4
+
+
+def brute_language(learn, test):
+    """Presence kernels of code points, one to three in a row, in plain sets; ridge regression on the same landmarks."""
+    import itertools
+
+    def grams(text):
+        s = ["*" if not c.isalpha() else c for c in text.lower()]
+        return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    names = sorted({lang for _, lang in learn})
+    marks = [grams(t) for t, _ in itertools.chain.from_iterable(itertools.islice(((t, lang) for t, lang in learn if lang == n), 24) for n in names)]
+    kernel = lambda a, b: len(a & b) / max(1, len(a) * len(b)) ** 0.5
+    rows = np.array([[kernel(grams(t), m) for m in marks] for t, _ in learn])
+    target = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in learn])
+    inner = np.array([[kernel(a, b) for a in marks] for b in marks])
+    weights = np.linalg.lstsq(rows.T @ rows + language.RIDGE * inner, rows.T @ target, rcond=1e-9)[0]
+    return [names[k] for k in (np.array([[kernel(grams(t), m) for m in marks] for t in test]) @ weights).argmax(axis=1)]
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(16)
+    words = {"aa": ["solana", "mira", "tolo"], "bb": ["solane", "mire", "tolu"], "cc": ["krast", "volm", "strupf"]}
+    make = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.randint(3, 20)))
+    learn = [(make(lang), lang) for lang in sorted(words) for _ in range(24)]
+    model = language.fit(*map(list, zip(*learn)))
+    test = [make(lang) for lang in sorted(words) for _ in range(30)] + ["solan", "krast mire", "xyz xyz"]
+    assert model.predict(test)[0] == brute_language(learn, test)
+
+
+def test_sampling_takes_every_label(spark):
+    from llm import sampling
+
+    rows = spark.createDataFrame([(i, f"label {i % 100}", f"text {i}") for i in range(400)] + [(None, "label 0", "hot")] * 3000, "id long, label string, text string")
+    sample, counts, quota = sampling.labelled(rows, "label", ("id", "text"), 300)
+    found = [r.label for r in sample.collect()]
+    assert len(counts) == 100 and counts["label 0"] == 3004 and set(found) >= {f"label {k}" for k in range(1, 100)} and quota == 240
+    assert len(found) <= 400 and sampling.share_of(300, 10**6) == sampling.LEAST
+
+
+def test_quality_odd_tables(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(40)) + "."
+    bad = lambda: " ".join(word().upper() + "!!" for _ in range(40))
+    rows = [(i, good() if i % 2 else bad(), "clash", "clash", i, 0.5) for i in range(200)] * 2
+    rows += [(3, bad(), "clash", "clash", 0, 0.5), (None, good(), None, None, None, None), (500, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, _id string, quality int, score double")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(200)] * 2 + [(None, 1, "x"), (4, 1, "x"), (6, 7, "x")], "doc_id long, quality int, text string")
+    model = quality.train(docs, labels)
+    found = quality.score(docs, model).collect()
+    assert len(found) == len(rows) and sum(r.predicted == r.doc_id % 2 for r in found if r.doc_id is not None and r.doc_id < 200) >= 380
+    assert quality.keep_good(docs, model).columns == docs.columns
+    empty = quality.train(docs, labels.limit(0))
+    assert not empty.learned and quality.keep_good(docs, empty).count() == len(rows)
+    assert quality.score(docs.limit(0), model).collect() == [] and quality.train(docs.limit(0), labels).learned is False
+
+
+def test_quality_against_brute_force():
+    """The measures and the logistic score, by hand."""
+    import zstandard
+
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abc \u00e9") for _ in range(rng.randint(0, 3000))) for _ in range(80)]
+    model = quality.fit(texts, [i % 2 for i in range(80)])
+    for text in [*texts[:10], "", None]:
+        data = (text or "").encode()
+        sizes = []
+        for held in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(held), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[a : a + quality.PIECE])) for a in range(0, max(1, len(data)), quality.PIECE)))
+        d, r = (sizes[1] - sizes[0]) / sum(sizes), sum(sizes) / 2 / (len(data) + 20)
+        z = (np.array([d, r, d * r, r * r]) - model.centre) / model.scale
+        assert abs(model.score([text])[0] - 1 / (1 + np.exp(-(z @ model.weights[:4] + model.weights[4])))) < 1e-9
+
+
 def test_quality(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 8)))
