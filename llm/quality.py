@@ -32,6 +32,7 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    learned: bool = True
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         return [_compressor(d) for d in (self.good, self.bad)]
@@ -81,6 +82,7 @@ def fit(texts: list[str], labels: list[int], total: dict[int, int] | None = None
     model = Model(_dictionary(by[1][: third[1]]), _dictionary(by[0][: third[0]]), np.zeros(4), np.ones(4), np.zeros(5))
     rest = {y: by[y][third[y] :] or by[y] for y in (0, 1)}
     if not by[0] or not by[1]:  # one class: its share is certain, as far as it was seen
+        model.learned = False
         model.weights = np.array([0, 0, 0, 0, 3.0 if by[1] else -3.0 if by[0] else 0.0])
         return model
     x = np.concatenate([model.measure(rest[y]) for y in (0, 1)])
@@ -103,11 +105,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str
     """Fit on about ``quota`` labelled documents of each class; ``labels`` must hold only rows that may be learned from.
 
     The sample of label rows is bounded by the quota, so it is sent to the documents, not they to it.
+    Equal texts of a label count once, and a text of both labels for each; labels other than 0
+    and 1, null ids and null texts don't count. The rows alone decide which are taken. Without documents
+    of both labels nothing can be told apart: the model says so (``learned``).
     """
-    rows = labels.select(F.col(ident).alias("_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
-    sample, total = labelled(rows, "label", "_id", quota)
-    joined = docs.join(F.broadcast(sample), docs[ident] == F.col("_id")).where(F.col(text).isNotNull())
-    frame = trimmed(joined.select(F.col(text).cast("string").alias("text"), "label").toPandas(), "label", quota)
+    rows = labels.select(F.col(f"`{ident}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).where("_label in (0, 1) and _id is not null")
+    sample, total, quota = labelled(rows, "_label", ("_id",), quota)
+    texts = docs.select(F.col(f"`{ident}`").alias("_own"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    frame = texts.join(F.broadcast(sample), F.col("_own") == F.col("_id")).select("text", F.col("_label").alias("label")).distinct()
+    frame = frame.orderBy(F.xxhash64("text"), "label").limit(4 * quota).toPandas()  # many texts may have one id
+    frame = trimmed(frame, "label", quota)
     return fit(frame["text"].tolist(), frame["label"].tolist(), {y: total.get(y, 0) for y in (0, 1)})
 
 
@@ -126,7 +133,9 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` without those predicted 0; all columns stay."""
+    """``docs`` without those predicted 0; all columns stay, and so do all rows where the model has learned nothing."""
+    if not model.learned:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
