@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from llm.common import Forest, components, cut, map_arrow, segments, shared_buckets, small_pairs, tiles
 
-#: Hash tables, and probes of each: a vector lies in the bucket of its nearest polytope vertices and of the next best.
-TABLES = 6
-PROBES = 2
+#: Recall at the threshold that the number of tables is chosen for, by pairs of vectors drawn at just that cosine.
+RECALL = 0.97
+PAIRS = 300
+#: Costs of a hash, of fetching a vector that shares a bucket and of comparing it with another, in units of a moved bucket number.
+HASH_COST, FETCH_COST, COMPARE_COST = 0.5, 8.0, 0.05
 #: Members of a block; a tile compares two blocks.
 BLOCK = 512
 SEED = 20240
@@ -72,91 +76,165 @@ def buckets(unit: np.ndarray, tables: int, vertices: int, probes: int, seed: int
     return found
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """Hashes of a bucket number, tables, and buckets of each table that a vector lies in."""
+
+    vertices: int
+    tables: int
+    probes: int
+
+
+def at_cosine(rng: np.random.Generator, n: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of random unit vectors at the given cosine."""
+    a, b = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.maximum(np.linalg.norm(b, axis=1), 1e-300)[:, None]
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine**2)) * b
+
+
+@functools.cache
+def scheme(dim: int, total: int, least: float, recall: float = RECALL, room: int = 44) -> Scheme:
+    """The cheapest scheme for ``total`` vectors that finds pairs at cosine ``least`` with the given recall.
+
+    More hashes make buckets smaller and pairs likelier to be parted, which more tables make good: the
+    chance that a table brings a pair together is measured on drawn pairs, for each choice. A bucket
+    number has ``room`` bits.
+    """
+    width = 1 << max(1, (dim - 1).bit_length())
+    bits = math.log2(2 * width)
+    a, b = at_cosine(np.random.default_rng(SEED + dim), PAIRS, dim, least)
+    best: tuple[float, Scheme] | None = None
+    for vertices in range(1, max(1, int(room / bits)) + 1):
+        wide = buckets(a, 4, vertices, vertices + 1), buckets(b, 4, vertices, vertices + 1)
+        for probes in range(1, vertices + 2):
+            x, y = (w[:, :, :probes] for w in wide)
+            met = float((x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean())
+            if met == 0:
+                continue
+            tables = 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+            others = total * probes / 2.0 ** (bits * vertices)
+            cost = tables * vertices * HASH_COST + tables * probes * (1 + FETCH_COST * -math.expm1(-others) + COMPARE_COST * others)
+            if tables <= 64 and (best is None or cost < best[0]):
+                best = cost, Scheme(vertices, tables, probes)
+        if total < 2.0 ** (bits * vertices - 6):
+            break
+    assert best is not None
+    return best[1]
+
+
 def _read(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(id, key, unit): a digest of each vector's own values and the unit vector; both null where it can't be compared."""
+    """(id, key, dim, vec): a digest of each vector's own values, its width and bytes; null where it can't be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = [], []
+            keys, dims, held = [], [], []
             for value in batch.column(1):
-                key = unit = None
+                key = dim = vec = None
                 if value.is_valid and not value.values.null_count and len(value.values):
-                    x = value.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                        y = x / top
-                        unit = (y / np.sqrt((y * y).sum())).astype("<f8").tobytes()
-                        key = hashlib.blake2b(x.astype("<f8").tobytes(), digest_size=16).digest()
+                    x = value.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+                    if np.isfinite(x).all() and x.any():
+                        with np.errstate(over="ignore"):
+                            short = x.astype("<f4")
+                        key, dim = hashlib.blake2b(x.tobytes(), digest_size=16).digest(), len(x)
+                        vec = short.tobytes() if (short == x).all() else x.tobytes()
                 keys.append(key)
-                units.append(unit)
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["id", "key", "unit"])
+                dims.append(dim)
+                held.append(vec)
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(held, pa.binary())], names=["id", "key", "dim", "vec"])
 
     kind = dict(vectors.dtypes)[ident]
-    return map_arrow(vectors.select(F.col(ident), F.col(vector).cast("array<double>")), run, f"id {kind}, key binary, unit binary", 10_000)
+    return map_arrow(vectors.select(F.col(f"`{ident}`"), F.col(f"`{vector}`").cast("array<double>")), run, f"id {kind}, key binary, dim int, vec binary", 10_000)
+
+
+def _units(vecs: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors of bytes in single or double precision."""
+    x = np.stack([np.frombuffer(v, dtype="<f4" if len(v) == 4 * dim else "<f8").astype(np.float64) for v in vecs])
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.take(pa.array(np.flatnonzero(dims == dim)))
 
 
-def _signatures(classes: DataFrame, tables: int, probes: int, total: int) -> DataFrame:
-    """(bucket, key, n, unit, all): a row for each bucket of each class."""
+def _signatures(classes: DataFrame, schemes: dict[int, Scheme], base: int) -> DataFrame:
+    """(bucket, num): the buckets of each class, of which each is named once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims: dict[int, list[int]] = {}
-            for k, unit in enumerate(batch.column(2)):
-                dims.setdefault(len(unit.as_buffer()) // 8, []).append(k)
-            for dim, rows in dims.items():
-                part = batch.take(pa.array(rows))
-                unit = np.stack([np.frombuffer(u.as_buffer(), dtype="<f8") for u in part.column(2)])
-                width = 2 << max(1, (dim - 1).bit_length())
-                vertices = max(1, min(round(math.log(max(total, 2), width)), int(45 / math.log2(width))))
-                found = buckets(unit, tables, vertices, probes)
-                held = [np.ascontiguousarray(row).tobytes() for row in found.reshape(len(rows), -1)]
-                for t in range(tables):
-                    for p in range(probes):
-                        fresh = np.ones(len(rows), dtype=bool)
-                        for q in range(p):
-                            fresh &= found[:, t, q] != found[:, t, p]
-                        at = np.flatnonzero(fresh)
-                        some = part.take(pa.array(at))
-                        bucket = (found[at, t, p] * np.uint64(4099) + np.uint64(dim)).view(np.int64)
-                        yield pa.record_batch([pa.array(bucket), some.column(0), some.column(1), some.column(2), pa.array([held[i] for i in at], pa.binary())], names=["bucket", "key", "n", "unit", "held"])
-
-    return map_arrow(classes.select("key", "n", "unit"), run, "bucket long, key binary, n long, unit binary, held binary", 2000)
-
-
-def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: int, dim: int) -> np.ndarray:
-    """Of pairs with hash lists (pairs, tables, probes): whether ``bucket`` is the first that both lie in."""
-    own = np.uint64((bucket - dim) // 4099)
-    first = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    done = np.zeros(len(a), dtype=bool)
+            for dim, part in _by_dim(batch):
+                if dim not in schemes:
+                    continue
+                found = np.sort(_buckets(part.column(2).to_pylist(), dim, schemes[dim], base).reshape(part.num_rows, -1), axis=1)
+                fresh = np.ones(found.shape, dtype=bool)
+                fresh[:, 1:] = found[:, 1:] != found[:, :-1]
+                num = np.broadcast_to(part.column(0).to_numpy()[:, None], found.shape)
+                yield pa.record_batch([pa.array(found[fresh].view(np.int64)), pa.array(num[fresh])], names=["bucket", "num"])
+
+    return map_arrow(classes.select("num", "dim", "vec"), run, "bucket long, num long", 2000)
+
+
+def _buckets(vecs: list[bytes], dim: int, own: Scheme, base: int) -> np.ndarray:
+    """(vectors, tables, probes): bucket numbers that vectors of other widths don't have."""
+    return buckets(_units(vecs, dim), own.tables, own.vertices, own.probes) * np.uint64(base) + np.uint64(dim)
+
+
+def _members(classes: DataFrame, shared: DataFrame, schemes: dict[int, Scheme], base: int) -> DataFrame:
+    """(bucket, members, num, n, dim, vec, held): the classes that share buckets, for each of these; held has all their buckets."""
+    wanted = cut(shared.groupBy(F.col("num").alias("_num")).agg(F.collect_list(F.struct("bucket", "members")).alias("places")), "embedding-wanted")
+    rows = classes.select("num", "n", "dim", "vec").join(wanted.hint("merge"), F.col("num") == F.col("_num")).select("num", "n", "dim", "vec", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in _by_dim(batch):
+                found = _buckets(part.column(3).to_pylist(), dim, schemes[dim], base)
+                held = [np.ascontiguousarray(row).tobytes() for row in found]
+                places = part.column(4)
+                at = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy())
+                some, flat = part.take(pa.array(at)), places.flatten()
+                columns = [flat.field("bucket"), flat.field("members"), *(some.column(k) for k in range(4)), pa.array([held[k] for k in at.tolist()], pa.binary())]
+                yield pa.record_batch(columns, names=["bucket", "members", "num", "n", "dim", "vec", "held"])
+
+    return map_arrow(rows, run, "bucket long, members long, num long, n long, dim int, vec binary, held binary", 500)
+
+
+def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Of pairs with bucket lists (pairs, tables, probes): whether ``bucket`` is the first that both lie in."""
+    none = np.iinfo(np.uint64).max
+    first = np.full(len(a), none, dtype=np.uint64)
     for t in range(a.shape[1]):
-        here = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
+        here = np.full(len(a), none, dtype=np.uint64)
         for p in range(a.shape[2]):
             for q in range(b.shape[2]):
                 same = a[:, t, p] == b[:, t, q]
                 here = np.where(same & (a[:, t, p] < here), a[:, t, p], here)
-        found = ~done & (here != np.iinfo(np.uint64).max)
-        first[found] = here[found]
-        done |= found
-    return first == own
+        first = np.where(first == none, here, first)
+    return first == np.uint64(bucket)
 
 
-def _linked(rows: DataFrame, least: float, tables: int, probes: int) -> DataFrame:
-    """(key, other, links): links of each class counted in the tiles, and edges that connect what they link.
+def _linked(rows: DataFrame, least: float, schemes: dict[int, Scheme]) -> DataFrame:
+    """(num, other, links): links of each class counted in the tiles, and edges that connect what they link.
 
     A pair is counted only in the first bucket that both lie in. Rows with ``other`` null carry counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in segments(batches, ["bucket", "tile_i", "tile_j"], 4000):
-            keys = table["key"].to_pylist()
-            n = table["n"].to_numpy()
-            unit = [np.frombuffer(u, dtype="<f8") for u in table["unit"].to_pylist()]
-            held = np.frombuffer(b"".join(table["held"].to_pylist()), dtype=np.uint64).reshape(-1, tables, probes)
-            bucket, block = table["bucket"].to_numpy(), table["block"].to_numpy()
+            num, n, dims = (table[c].to_numpy() for c in ("num", "n", "dim"))
+            vecs, lists = table["vec"].to_pylist(), table["held"].to_pylist()
+            bucket, block = table["bucket"].to_numpy().view(np.uint64), table["block"].to_numpy()
             i, j = table["tile_i"].to_numpy(), table["tile_j"].to_numpy()
             links: dict[int, int] = {}
             edges: list[tuple[int, int]] = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                x = np.stack(unit[a:b])
+                if b - a < 2:
+                    continue
+                dim = int(dims[a])
+                x = _units(vecs[a:b], dim)
                 if i[a] == j[a]:
                     left = right = np.arange(b - a)
                     close = np.triu(x @ x.T >= least - 1e-9, 1)
@@ -169,7 +247,9 @@ def _linked(rows: DataFrame, least: float, tables: int, probes: int) -> DataFram
                 p, q = left[p], right[q]
                 exact = np.einsum("ij,ij->i", x[p], x[q]) >= least
                 p, q = p[exact], q[exact]
-                new = _first_meeting(held[a + p], held[a + q], int(bucket[a]), x.shape[1])
+                own = schemes[dim]
+                held = np.frombuffer(b"".join(lists[a:b]), dtype=np.uint64).reshape(-1, own.tables, own.probes)
+                new = _first_meeting(held[p], held[q], int(bucket[a]))
                 p, q = p[new] + a, q[new] + a
                 counts = np.bincount(p - a, weights=n[q], minlength=b - a) + np.bincount(q - a, weights=n[p], minlength=b - a)
                 for k in np.flatnonzero(counts).tolist():
@@ -177,14 +257,14 @@ def _linked(rows: DataFrame, least: float, tables: int, probes: int) -> DataFram
                 edges += _forest(p, q)
             yield pa.record_batch(
                 [
-                    pa.array([keys[k] for k in links] + [keys[e] for e, _ in edges], pa.binary()),
-                    pa.array([None] * len(links) + [keys[e] for _, e in edges], pa.binary()),
+                    pa.array(num[[*links, *(e for e, _ in edges)]], pa.int64()),
+                    pa.array([None] * len(links) + [int(num[e]) for _, e in edges], pa.int64()),
                     pa.array(list(links.values()) + [0] * len(edges), pa.int64()),
                 ],
-                names=["key", "other", "links"],
+                names=["num", "other", "links"],
             )
 
-    return map_arrow(rows, run, "key binary, other binary, links long", 2000)
+    return map_arrow(rows, run, "num long, other long, links long", 2000)
 
 
 def _forest(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
@@ -194,24 +274,31 @@ def _forest(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
     return [(int(nodes[a]), int(nodes[b])) for a, b in zip(at[: len(p)].tolist(), at[len(p) :].tolist()) if forest.join(a, b)]
 
 
-def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.95, recall: float = RECALL) -> DataFrame:
     """(ident, n_links, component_id, kept) for each row.
 
-    Vectors whose cosine, in doubles, is at least ``least`` are linked if they share a bucket.
+    Vectors whose cosine, in doubles, is at least ``least`` are linked if they share a bucket; the
+    number of hashes, tables and probes is chosen for the number of vectors and their width, so that
+    pairs just at ``least`` meet with probability ``recall``, closer ones more often.
     Copies are one class from the start: they link with each other and count in full. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing and are kept; so do vectors
     of unlike widths. Rows may repeat; each counts. component_id is the smallest id reachable, null
     if all are null.
+
+    Bucket numbers are shuffled first; vectors are fetched only for classes that share a bucket.
     """
-    rows = cut(_read(vectors, ident, vector), "embedding-rows")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("unit").alias("unit"))
-    classes = cut(classes, "embedding-classes")
-    shared = shared_buckets(_signatures(classes, tables, probes, classes.count()), "bucket", "embedding-buckets")
-    found = cut(_linked(tiles(shared, "bucket", "key", BLOCK), least, tables, probes), "embedding-links")
-    roots = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "embedding-cc")
-    links = found.where("other is null").groupBy(F.col("key").alias("_k")).agg(F.sum("links").alias("links"))
-    owner = classes.select("key", "first", "n").join(links, F.col("key") == F.col("_k"), "left").drop("_k")
-    owner = owner.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    rows = cut(_read(vectors, ident, vector).select("id", "key"), "embedding-rows")
+    found = _read(vectors, ident, vector).where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    classes = cut(found.withColumn("num", F.monotonically_increasing_id()), "embedding-classes")
+    totals = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row for each width
+    base = max(totals, default=0) + 1
+    schemes = {dim: scheme(dim, 1 << (n - 1).bit_length(), least, recall, min(44, 57 - base.bit_length())) for dim, n in totals.items() if n > 1}
+    shared = shared_buckets(cut(_signatures(classes, schemes, base), "embedding-signatures"), "bucket", "embedding-buckets")
+    found = cut(_linked(tiles(_members(classes, shared, schemes, base), "bucket", "num", BLOCK), least, schemes), "embedding-links")
+    roots = components(found.where("other is not null").select(F.col("num").alias("a"), F.col("other").alias("b")), "embedding-cc")
+    links = found.where("other is null").groupBy(F.col("num").alias("_k")).agg(F.sum("links").alias("links"))
+    owner = classes.select("num", "key", "first", "n").join(links, F.col("num") == F.col("_k"), "left").drop("_k")
+    owner = owner.join(roots, F.col("num") == F.col("node"), "left").withColumn("root", F.coalesce("root", "num"))
     owner = cut(owner.select("key", "root", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "embedding-owner")
     group = cut(owner.groupBy("root").agg(F.min("first").alias("component_id")), "embedding-groups")
     known = cut(owner.join(group, "root").select(F.col("key").alias("_key"), "n_links", "component_id"), "embedding-known")
