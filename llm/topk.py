@@ -64,28 +64,40 @@ def _blobs(vectors: DataFrame, ident: str, vector: str, factor: int, most: int)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products, exact while they fit 64 bits; larger ones are held to that range."""
-    if x.shape[1] * float(np.abs(q).max()) * float(np.abs(x).max()) < EXACT:
+    """All inner products, exact: as float64 while they fit its 53 bits, then as int64, held to its range beyond."""
+    most = x.shape[1] * float(np.abs(q).max()) * float(np.abs(x).max())
+    if most < EXACT:
         return q @ x.T
-    exact = [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
-    return np.array([[float(max(-(1 << 62), min(1 << 62, s))) for s in row] for row in exact])
+    if most < 2.0**62:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    limit = (1 << 63) - 1
+    columns = [[int(a) for a in v] for v in x.tolist()]
+    return np.array([[max(-limit, min(limit, sum(int(a) * b for a, b in zip(u, v)))) for v in columns] for u in q.tolist()], dtype=np.int64)
+
+
+def _least(scores: np.ndarray) -> float | int:
+    """A score below all others, of an entry that is none."""
+    return -np.inf if scores.dtype.kind == "f" else np.iinfo(np.int64).min
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k entries of the best scores, ties to smaller ids, in each row; as row numbers and columns."""
+    bar = np.full(len(scores), _least(scores), dtype=scores.dtype)
     if scores.shape[1] > 4 * k:  # all above the k-th score, and all at it
-        bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows, columns = np.nonzero(scores >= np.where(np.isfinite(bar), bar, -np.finfo(float).max)[:, None])
-    else:
-        rows, columns = np.nonzero(np.isfinite(scores))
-    own = scores[rows, columns]
-    order = np.lexsort((ids[columns], -own, rows))
+        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    rows, columns = np.nonzero((scores >= bar[:, None]) & (scores > _least(scores)))
+    order = np.lexsort((ids[columns], _falling(scores[rows, columns]), rows))
     rows, columns = rows[order], columns[order]
     first = np.searchsorted(rows, rows)
     keep = np.arange(len(rows)) - first < k
     return rows[keep], columns[keep]
 
 
+def _falling(scores: np.ndarray) -> np.ndarray:
+    """Numbers that rise as the scores fall."""
+    return -scores if scores.dtype.kind == "f" else ~scores
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of ``vectors`` by integer inner product of floor(factor * x).
 
@@ -95,15 +107,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
     is answered once for each of its vectors.
 
     Queries are packed into blocks, vectors into shards; each tile's partial lists are kept by the
-    task, which hands on k entries a query, merged FAN_IN at a time.
+    task, which hands on k entries a query, merged FAN_IN at a time. Blocks are sent to all shards up to
+    SENT bytes; more are dealt into groups of about so many, and each group meets the shards of each part.
     """
     blocks = cut(_blobs(queries.select(ident, vector).dropDuplicates(), ident, vector, factor, BLOCK).withColumn("block", F.monotonically_increasing_id()), "topk-queries")
     size = blocks.agg(F.sum(F.length("matrix") + F.length("ids"))).first()[0] or 0
-    numbers = [r["block"] for r in blocks.select("block").collect()]  # one for each BLOCK queries
     shards = _blobs(vectors, ident, vector, factor, SHARD)
+    parts = shards.rdd.getNumPartitions()
     named = blocks.select("block", F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
-    named = F.broadcast(named) if size <= SENT else named
-    tiles = shards.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]) if numbers else F.array().cast("array<long>"))).join(named, "block").where("dim = qdim")
+    if size <= SENT:
+        tiles = shards.join(F.broadcast(named), F.col("dim") == F.col("qdim"))
+    else:
+        groups = -(-size // SENT)
+        named = named.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = shards.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(parts))).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        tiles = dealt.join(named, ["group", "slice"]).where("dim = qdim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[int, tuple[np.ndarray, ...]] = {}
@@ -111,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
 
         def rows(block: int) -> pa.RecordBatch:
             at, ids, scores, qids = lists.pop(block)
-            columns = [np.full(len(at), block), qids[at], at.astype(np.int32), ids, scores.astype(np.int64), np.full(len(at), part, dtype=np.int32)]
+            columns = [np.full(len(at), block), qids[at], at.astype(np.int32), ids, scores, np.full(len(at), part, dtype=np.int32)]
             return pa.record_batch([pa.array(c) for c in columns], names=["block", "query_id", "entry", "vec_id", "score", "part"])
 
         for batch in batches:
@@ -119,12 +137,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
                 q, x = (np.frombuffer(r[c], dtype="<f8").reshape(-1, r["dim"]) for c in ("qmatrix", "matrix"))
                 qids, ids = (np.frombuffer(r[c], dtype="<i8") for c in ("qids", "ids"))
                 scores = _products(q, x)
-                scores[qids[:, None] == ids[None, :]] = -np.inf
+                scores[qids[:, None] == ids[None, :]] = _least(scores)
                 at, columns = _best(ids, scores, k)
-                new = (at, ids[columns], scores[at, columns])
+                new = (at, ids[columns], scores[at, columns].astype(np.int64))
                 if r["block"] in lists:
                     new = tuple(np.concatenate(pair) for pair in zip(lists[r["block"]], new))
-                    order = np.lexsort((new[1], -new[2], new[0]))
+                    order = np.lexsort((new[1], _falling(new[2]), new[0]))
                     order = order[np.arange(len(order)) - np.searchsorted(new[0][order], new[0][order]) < k]
                     new = tuple(x[order] for x in new)
                 lists[r["block"]] = (*new, qids)
@@ -134,7 +152,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
             yield rows(block)
 
     found = map_arrow(tiles.select("block", "dim", "ids", "matrix", "qids", "qmatrix"), run, "block long, query_id long, entry int, vec_id long, score long, part int", 4)
-    parts = shards.rdd.getNumPartitions()
     while parts > FAN_IN:  # the tree: FAN_IN tasks' lists of a query at a time
         near = Window.partitionBy("block", "entry", F.floor(F.col("part") / FAN_IN)).orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank")
