@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,8 +20,12 @@ from llm.words import hashes, mix, spans
 
 #: Bytes of text that are taken apart together.
 CHUNK = 10 << 20
-#: Files of the vocabulary; a word's file is the top bits of its hash.
-WORD_BITS = 6
+#: Files of the vocabulary, as powers of two; a word's file is the top bits of its hash. More input has more files.
+WORD_BITS, MOST_WORD_BITS = 6, 12
+#: Input partitions whose counts a task merges at once, and whose texts are scored by one task of a shard.
+FAN_IN = 64
+#: Bytes of files that a worker keeps where the store can't be mapped.
+KEPT = 256 << 20
 #: Training tokens of a bigram file.
 SHARD_TOKENS = 8_000_000
 START, END = mix(np.array([1, 2], dtype=np.uint64))
@@ -52,9 +56,21 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return found
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and path of a qualified URI, for the schemes that Hadoop and Arrow name differently too."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"file:///dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        uri = f"file:///{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
+
+
 def put(uri: str, **arrays: np.ndarray) -> None:
     """Write arrays to a file of the shared folder; a task that runs twice writes the same again."""
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     head, at = {}, 0
     for name, values in arrays.items():
@@ -70,29 +86,26 @@ def put(uri: str, **arrays: np.ndarray) -> None:
     store.move(own, path)
 
 
-def stored(uri: str) -> bool:
-    """Whether the file is there; a shard that no training row fell into has none."""
-    store, path = fs.FileSystem.from_uri(uri)
-    return uri in _MAPPED or store.get_file_info(path).type != fs.FileType.NotFound
-
-
 _MAPPED: dict[str, dict[str, np.ndarray]] = {}
+_READ: dict[str, int] = {}
 
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped. A store that can't be mapped is copied to a local file without a name."""
+    """The arrays of a file, memory-mapped; from a store that can't be mapped they are read, and the oldest dropped beyond KEPT bytes."""
     if uri not in _MAPPED:
         if len(_MAPPED) > 512:
             _MAPPED.clear()
-        store, path = fs.FileSystem.from_uri(uri)
+            _READ.clear()
+        store, path = _store(uri)
         if isinstance(store, fs.LocalFileSystem):
             data = np.memmap(path, dtype=np.uint8, mode="r")
         else:
-            with tempfile.TemporaryFile() as local, store.open_input_stream(path) as source:
-                while block := source.read(8 << 20):
-                    local.write(block)
-                local.flush()
-                data = np.memmap(local, dtype=np.uint8, mode="r")
+            with store.open_input_stream(path) as source:
+                data = np.frombuffer(source.read(), dtype=np.uint8)
+            while _READ and sum(_READ.values()) + len(data) > KEPT:
+                oldest = next(iter(_READ))
+                del _READ[oldest], _MAPPED[oldest]
+            _READ[uri] = len(data)
         size = int(data[:8].view(np.uint64)[0])
         head = json.loads(data[8 : 8 + size].tobytes())
         at = 8 + size
@@ -179,6 +192,9 @@ class Model:
     types: int = 0
     lower_mass: float = 0.0
     tokens: int = 0
+    word_bits: int = WORD_BITS
+    #: Which bigram files were written; a shard that no training row fell into has none.
+    written: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
 
     @property
     def size(self) -> int:
@@ -193,7 +209,7 @@ class Model:
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of distinct sorted word hashes; the number of an unknown word is ``size``."""
         ids, counts = np.full(len(words), self.size, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        for v, a, b in _parts(words >> np.uint64(64 - WORD_BITS), 1 << WORD_BITS):
+        for v, a, b in _parts(words >> np.uint64(64 - self.word_bits), 1 << self.word_bits):
             if self.offsets[v] == self.offsets[v + 1]:
                 continue
             arrays = mapped(f"{self.folder}/words-{v}")
@@ -207,7 +223,7 @@ class Model:
         """Columns of the vocabulary for distinct sorted word numbers; an unknown word has zeros."""
         found = [np.zeros(len(ids), dtype=np.int64) for _ in names]
         known = ids[ids < self.size]
-        for v, a, b in _parts(np.searchsorted(self.offsets, known, side="right") - 1, 1 << WORD_BITS):
+        for v, a, b in _parts(np.searchsorted(self.offsets, known, side="right") - 1, 1 << self.word_bits):
             for column, name in zip(found, names):
                 kind = "words" if name == "count" else "stats"
                 column[a:b] = mapped(f"{self.folder}/{kind}-{v}")[name][known[a:b] - self.offsets[v]]
@@ -215,7 +231,7 @@ class Model:
 
     def bigram_counts(self, shard: int, keys: np.ndarray) -> np.ndarray:
         """Training counts of sorted bigram hashes, all of one shard."""
-        if not stored(f"{self.folder}/bigrams-{shard}"):
+        if not self.written[shard]:
             return np.zeros(len(keys), dtype=np.int64)
         arrays = mapped(f"{self.folder}/bigrams-{shard}")
         bucket, rest = _split(keys, self.bits)
@@ -272,33 +288,51 @@ def train(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Model:
 
     First the vocabulary, then bigrams by the words' numbers, then what each word has of contexts and
     continuations. Every task counts its own texts before anything is moved, as compressed arrays
-    keyed by shard; a frequent word or bigram is one entry a chunk. Null texts are empty.
+    keyed by shard; a frequent word or bigram is one entry a chunk. Null texts are empty; rows that
+    repeat count as often.
     """
     folder = scratch(docs.sparkSession, "lm")
-    docs = docs.select(F.col(ident), F.col(text).cast("string").alias("text"))
-    vocabulary = 1 << WORD_BITS
+    _store(folder)  # a scheme that workers can't write fails here
+    docs = docs.select(F.col(f"`{ident}`"), F.col(f"`{text}`").cast("string").alias("text"))
+    partitions = docs.rdd.getNumPartitions()
+    word_bits = min(MOST_WORD_BITS, max(WORD_BITS, math.ceil(math.log2(max(1, partitions) / FAN_IN)) + WORD_BITS))
+    vocabulary = 1 << word_bits
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for _, texts in chunks(batches, 1):
             words, counts = tokenised(texts)
             keys = np.concatenate([words, [START, END]])
             keys, n = _summed(keys, np.concatenate([np.ones(len(words), dtype=np.int64), [len(counts)] * 2]))
-            rows = [(v, packed(hash=keys[a:b], count=n[a:b].astype(np.uint32))) for v, a, b in _parts(keys >> np.uint64(64 - WORD_BITS), vocabulary)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+            rows = [(v, packed(hash=keys[a:b], count=n[a:b])) for v, a, b in _parts(keys >> np.uint64(64 - word_bits), vocabulary)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "part", "payload"])
+
+    def merged(table: pa.Table) -> tuple[np.ndarray, ...]:
+        parts = [unpacked(p) for p in table["payload"].to_pylist()]
+        return _summed(np.concatenate([p["hash"] for p in parts]), np.concatenate([p["count"] for p in parts]))
+
+    def merge_words(table: pa.Table) -> pa.Table:
+        keys, n = merged(table)
+        return table.slice(0, 1).set_column(2, "payload", pa.array([packed(hash=keys, count=n)], pa.binary()))
 
     def store_words(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        parts = [unpacked(p) for p in table["payload"].to_pylist()]
-        keys, n = _summed(np.concatenate([p["hash"] for p in parts]), np.concatenate([p["count"] for p in parts]).astype(np.int64))
+        keys, n = merged(table)
         put(f"{folder}/words-{shard}", hash=keys, count=n)
         return pa.table({"shard": [shard], "size": [len(keys)], "tokens": [int(n.sum())], "documents": [int(n[keys == START].sum())]}, schema=pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())]))
 
-    found = map_arrow(docs, words_of, "shard int, payload binary").groupBy("shard").applyInArrow(store_words, "shard int, size long, tokens long, documents long").collect()
+    counted = map_arrow(docs, words_of, "shard int, part int, payload binary")
+    while partitions > FAN_IN:  # a tree, so that no task holds the arrays of all partitions
+        counted = counted.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(merge_words, "shard int, part int, payload binary")
+        partitions = -(-partitions // FAN_IN)
+    found = counted.groupBy("shard").applyInArrow(store_words, "shard int, size long, tokens long, documents long").collect()
     sizes = np.zeros(vocabulary + 1, dtype=np.int64)
     for r in found:
         sizes[r["shard"] + 1] = r["size"]
     documents = sum(r["documents"] for r in found)
-    model = Model(folder, np.cumsum(sizes), documents, tokens=sum(r["tokens"] for r in found) - documents)
+    model = Model(folder, np.cumsum(sizes), documents, tokens=sum(r["tokens"] for r in found) - documents, word_bits=word_bits)
+    if model.size >= 1 << 32:
+        raise ValueError(f"{model.size} distinct words; word numbers have 32 bits")
     while model.tokens > SHARD_TOKENS << model.bits:
         model.bits += 1
     _count_bigrams(docs, model)
@@ -306,7 +340,7 @@ def train(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Model:
 
 
 def _count_bigrams(docs: DataFrame, model: Model) -> None:
-    vocabulary = 1 << WORD_BITS
+    vocabulary = 1 << model.word_bits
     shards = 1 << model.bits
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +380,14 @@ def _count_bigrams(docs: DataFrame, model: Model) -> None:
             for v, a, b in _parts(np.searchsorted(model.offsets, ids, side="right") - 1, vocabulary):
                 arrays = {"step": np.diff(ids[a:b], prepend=model.offsets[v]).astype(np.uint32)} | {f"c{k}": c[a:b].astype(np.uint32) for k, c in enumerate(columns)}
                 rows.append((v, name, packed(**arrays), None))
-        rows.append((-1, "types", None, [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]))
+        rows.append((-1, "types", None, [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), shard]))
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())))], names=["shard", "kind", "payload", "types"])
 
     def store_statistics(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         if shard < 0:
-            return pa.table({"kind": ["types"], "n": [np.sum(table["types"].to_pylist(), axis=0).tolist()]}, schema=SUMS)
+            rows = np.array(table["types"].to_pylist(), dtype=np.int64)
+            return pa.table({"kind": ["types", "written"], "n": [rows[:, :5].sum(axis=0).tolist(), rows[:, 5].tolist()]}, schema=SUMS)
         size = int(model.offsets[shard + 1] - model.offsets[shard])
         columns = {name: np.zeros(size, dtype=np.uint32) for name in ("ones", "twos", "more", "before")}
         for kind, p in zip(table["kind"].to_pylist(), table["payload"].to_pylist()):
@@ -366,8 +401,12 @@ def _count_bigrams(docs: DataFrame, model: Model) -> None:
 
     stored = map_arrow(docs, pairs_of, "shard int, payload binary").groupBy("shard").applyInArrow(store_bigrams, "shard int, kind string, payload binary, types array<long>")
     sums = {"types": np.zeros(5, dtype=np.int64), "lower": np.zeros(5, dtype=np.int64)}
+    model.written = np.zeros(1 << model.bits, dtype=bool)
     for r in stored.groupBy("shard").applyInArrow(store_statistics, "kind string, n array<long>").collect():
-        sums[r["kind"]] += r["n"]
+        if r["kind"] == "written":
+            model.written[r["n"]] = True
+        else:
+            sums[r["kind"]] += r["n"]
     model.discounts, model.lower_discounts = _discounts(sums["types"]), _discounts(sums["lower"])
     model.types = int(sums["types"][4])
     d, n = model.lower_discounts, sums["lower"]
@@ -385,7 +424,7 @@ def _sharded(model: Model, before: np.ndarray, word: np.ndarray) -> Iterator[tup
     """(shard, word numbers of its distinct bigrams in order, their counts)."""
     pair = before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
     pair, n = _summed(pair, np.ones(len(pair), dtype=np.int64))
-    shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint16)
+    shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint32)
     order = np.argsort(shard, kind="stable")
     for s, a, b in _parts(shard[order], 1 << model.bits):
         some = order[a:b]
@@ -397,14 +436,17 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
     A chunk of texts sends each shard its bigrams with the documents they stand in; the shard's task
     maps its arrays and returns one sum a document. So no task reads more of the bigrams than its
-    shard, and texts are not shuffled. A null text is empty: its only token is the end.
+    shard, nor the texts of more than FAN_IN partitions, and texts are not shuffled. A null text is
+    empty: its only token is the end. Ids may be null or repeat: each row is scored.
     """
     kind = dict(docs.dtypes)[ident]
     shards = 1 << model.bits
+    docs = docs.select(F.col(f"`{ident}`"), F.col(f"`{text}`").cast("string"))
     columns = f"ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        piece = part // FAN_IN
         key_type = None
 
         def typed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +462,7 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
             number_of = np.bincount(doc, minlength=len(keys)), np.bincount(doc, weights=seen > 0, minlength=len(keys)).astype(np.int64)
             pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
             order = np.argsort(pair, kind="stable")  # by both words, then by document, then by shard
-            shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint16)
+            shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint32)
             order = order[np.argsort(shard[order], kind="stable")]
             rows = []
             for s, a, b in _parts(shard[order], shards):
@@ -428,8 +470,8 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
                 rows.append((s, packed(step=np.diff(left[some], prepend=0).astype(np.uint32), word=right[some].astype(np.uint32), doc=doc[some].astype(np.uint32))))
             whose = [pa.array([v] + [None] * len(rows), pa.list_(t)) for v, t in ((keys, key_type), (number_of[0].tolist(), pa.int64()), (number_of[1].tolist(), pa.int64()), (base.tolist(), pa.float64()))]
             yield pa.record_batch(
-                [pa.array([chunk % shards] + [r[0] for r in rows], pa.int32()), pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([len(keys)] * (len(rows) + 1), pa.int32()), pa.array([None] + [r[1] for r in rows], pa.binary()), *whose],
-                names=["shard", "chunk", "docs", "payload", "ids", "n_tokens", "n_known", "base"],
+                [pa.array([chunk % shards] + [r[0] for r in rows], pa.int32()), pa.array([piece] * (len(rows) + 1), pa.int32()), pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([len(keys)] * (len(rows) + 1), pa.int32()), pa.array([None] + [r[1] for r in rows], pa.binary()), *whose],
+                names=["shard", "piece", "chunk", "docs", "payload", "ids", "n_tokens", "n_known", "base"],
             )
 
     def look(table: pa.Table) -> pa.Table:
@@ -467,7 +509,7 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
         ids, n_tokens, n_known, base = (head[c].combine_chunks().flatten() for c in ("ids", "n_tokens", "n_known", "base"))
         return pa.table([ids, n_tokens, n_known, base, pa.array(np.broadcast_to(total, len(ids)))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    sent = map_arrow(docs.select(F.col(ident), F.col(text).cast("string")), send, f"shard int, chunk long, docs int, payload binary, {columns}")
-    looked = sent.groupBy("shard").applyInArrow(look, f"chunk long, sums array<double>, {columns}")
+    sent = map_arrow(docs, send, f"shard int, piece int, chunk long, docs int, payload binary, {columns}")
+    looked = sent.groupBy("shard", "piece").applyInArrow(look, f"chunk long, sums array<double>, {columns}")
     scored = looked.groupBy("chunk").applyInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(ident), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
