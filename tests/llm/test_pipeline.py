@@ -30,8 +30,9 @@ def test_columns_and_order(stages):
 
 def test_each_stage_against_its_operator(spark, stages):
     docs = {n: {r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for n, d in stages.items() if n != "packing"}
-    predicted = {r.doc_id: r for r in queries.op2_language_id(spark, SF).collect()}
-    assert set(docs["language_id"]) == {i for i, r in predicted.items() if r.lang_pred != "und" and r.score >= 0.3}
+    model = queries.language_model(spark, SF)
+    ids, texts = zip(*docs["input"].items())
+    assert set(docs["language_id"]) == {i for i, claimed in zip(ids, model.claimed(list(texts))) if claimed}
     scored = {r.doc_id: r.predicted for r in queries.op5_quality(spark, SF).collect()}
     if set(docs["language_id"]) == set(docs["input"]):
         assert set(docs["quality_classifier"]) == {i for i, p in scored.items() if p}
