@@ -1,4 +1,8 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score."""
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped to score.
+
+The n-grams of a file are those of some words before the last (pivots), so that all a probability
+needs but what is known of single words lies in one file: n-grams, their contexts, pairs, pivots.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow, scratch, text_bytes
+from llm.common import cut, map_arrow, scratch, text_bytes
 from llm.words import hashes, mix, spans
 
 #: Bytes of text that are taken apart together.
@@ -26,8 +30,11 @@ WORD_BITS, MOST_WORD_BITS = 6, 12
 FAN_IN = 64
 #: Bytes of files that a worker keeps where the store can't be mapped.
 KEPT = 256 << 20
-#: Training tokens of a bigram file.
-SHARD_TOKENS = 8_000_000
+#: Words of an n-gram: 3 or 2.
+ORDER = 3
+#: Training tokens of a file of n-grams, and occurrences beyond which a word's n-grams are dealt over all files.
+SHARD_TOKENS = 6_000_000
+COMMON = 1_000_000
 START, END = mix(np.array([1, 2], dtype=np.uint64))
 
 
@@ -126,29 +133,33 @@ def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes(joined, starts, ends), np.diff(at, prepend=0)
 
 
-def bigrams(words: np.ndarray, counts: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word before, word) of each word and of the end of each document."""
+def ngrams(words: np.ndarray, counts: np.ndarray, start: int, end: int, order: int) -> tuple[np.ndarray, ...]:
+    """(document, the order - 1 words before, word) of each word and of the end of each document; starts stand before it."""
     doc = np.repeat(np.arange(len(counts)), counts + 1)
     last = np.cumsum(counts + 1) - 1
     word = np.empty(len(doc), dtype=words.dtype)
     inner = np.ones(len(doc), dtype=bool)
     inner[last] = False
     word[inner], word[last] = words, end
-    before = np.empty(len(doc), dtype=words.dtype)
-    before[1:] = word[:-1]
-    before[last - counts] = start
-    return doc, before, word
-
-
-def numbered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document, number of the word before, of the word, its training count, documents) of each bigram of the texts."""
+    place = np.arange(len(doc)) - np.repeat(last - counts, counts + 1)
+    before = []
+    for back in range(order - 1, 0, -1):
+        earlier = np.full(len(doc), start, dtype=words.dtype)
+        earlier[place >= back] = word[np.flatnonzero(place >= back) - back]
+        before.append(earlier)
+    return doc, *before, word
+
+
+def numbered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Of each n-gram of the texts: document; numbers of the word two before (0 in a bigram model), of the word before and of
+    the word; training counts of the latter two."""
     words, counts = tokenised(texts)
     distinct, at = np.unique(np.concatenate([words, [START, END]]), return_inverse=True)
     ids, seen = model.lookup(distinct)
     ids, seen = ids[at], seen[at]
-    doc, before, word = bigrams(ids[:-2], counts, ids[-2], ids[-1])
-    _, _, seen = bigrams(seen[:-2], counts, 0, seen[-1])
-    return doc, before, word, seen, len(counts)
+    doc, *before, word = ngrams(ids[:-2], counts, ids[-2], ids[-1], model.order)
+    _, pivot, own = ngrams(seen[:-2], counts, seen[-2], seen[-1], 2)
+    return doc, before[-2] if model.order > 2 else np.zeros(len(doc), dtype=np.int64), before[-1], word, pivot, own
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
@@ -176,6 +187,73 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns begin to differ from the row before."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _hash(*words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of word numbers in a row; of two numbers it is a bijection."""
+    key = words[0].astype(np.uint64)
+    for w in words[1:]:
+        key = mix(key << np.uint64(32) ^ key >> np.uint64(32)) + w.astype(np.uint64) if len(words) > 2 else key << np.uint64(32) | w.astype(np.uint64)
+    return mix(key)
+
+
+def _table(name: str, key: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of a table sorted by 64-bit hash: the first 16 bits as an index, the next 32, and columns of small counts.
+
+    Counts beyond 254 are kept apart, with their places. Entries of a table share their first bits with
+    chance only, so one unknown key in 2**48 over the entries is taken for a known one.
+    """
+    order = np.argsort(key)
+    key = key[order]
+    found = {f"{name}.index": np.searchsorted(key >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32), f"{name}.rest": (key >> np.uint64(16)).astype(np.uint32)}
+    for column, values in columns.items():
+        own = values[order]
+        large = np.flatnonzero(own >= 255)
+        found |= {f"{name}.{column}": np.minimum(own, 255).astype(np.uint8), f"{name}.{column}.at": large, f"{name}.{column}.large": own[large].astype(np.int64)}
+    return found
+
+
+def _find(arrays: dict[str, np.ndarray], name: str, key: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of a table for hashes; zeros where the table has none."""
+    index, rest = arrays[f"{name}.index"], arrays[f"{name}.rest"]
+    if not len(rest) or not len(key):
+        return [np.zeros(len(key), dtype=np.int64) for _ in columns]
+    bucket, sought = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(16)).astype(np.uint32)
+    low, high = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+    end = high.copy()
+    while (low < high).any():  # binary search of all keys at once
+        middle = (low + high) // 2
+        less = (low < high) & (rest[np.minimum(middle, len(rest) - 1)] < sought)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    at = np.minimum(low, len(rest) - 1)
+    hit = (low < end) & (rest[at] == sought)
+    found = []
+    for column in columns:
+        counts = np.where(hit, arrays[f"{name}.{column}"][at], 0).astype(np.int64)
+        large = counts == 255
+        counts[large] = arrays[f"{name}.{column}.large"][np.searchsorted(arrays[f"{name}.{column}.at"], at[large])]
+        found.append(counts)
+    return found
+
+
+def _tallied(group: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each group of sorted rows that begins at ``group``: the sum of counts, and how many are 1, 2 and more."""
+    columns = counts, counts == 1, counts == 2, counts > 2
+    return tuple(np.add.reduceat(c.astype(np.int64), group) if len(group) else np.zeros(0, dtype=np.int64) for c in columns)
+
+
+TALLY = ("total", "ones", "twos", "more")
+
+
 # --- the model ------------------------------------------------------------------------------
 
 
@@ -186,15 +264,18 @@ class Model:
     folder: str
     offsets: np.ndarray
     documents: int
+    order: int = ORDER
+    often: int = COMMON
     bits: int = 4
-    discounts: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.5, 1.0, 1.5]))
-    lower_discounts: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.5, 1.0, 1.5]))
+    #: Discounts by order: of words by what they follow, of pairs by what they follow (not in a bigram model), of n-grams.
+    discounts: list[np.ndarray] = field(default_factory=lambda: [np.array([0.0, 0.5, 1.0, 1.5])] * 3)
     types: int = 0
     lower_mass: float = 0.0
     tokens: int = 0
     word_bits: int = WORD_BITS
-    #: Which bigram files were written; a shard that no training row fell into has none.
+    #: Which files of n-grams, and of pairs after common words, were written; a shard that no row fell into has none.
     written: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
+    common_written: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
 
     @property
     def size(self) -> int:
@@ -229,33 +310,61 @@ class Model:
                 column[a:b] = mapped(f"{self.folder}/{kind}-{v}")[name][known[a:b] - self.offsets[v]]
         return found
 
-    def bigram_counts(self, shard: int, keys: np.ndarray) -> np.ndarray:
-        """Training counts of sorted bigram hashes, all of one shard."""
-        if not self.written[shard]:
-            return np.zeros(len(keys), dtype=np.int64)
-        arrays = mapped(f"{self.folder}/bigrams-{shard}")
-        bucket, rest = _split(keys, self.bits)
-        low, high = arrays["index"][bucket].astype(np.int64), arrays["index"][bucket + 1].astype(np.int64)
-        end = high.copy()
-        while len(low) and (low < high).any():  # binary search of all keys at once
-            middle = (low + high) // 2
-            less = (low < high) & (arrays["rest"][np.minimum(middle, len(arrays["rest"]) - 1)] < rest)
-            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-        at = np.minimum(low, max(0, len(arrays["rest"]) - 1))
-        hit = (low < end) & (arrays["rest"][at] == rest)
-        counts = np.where(hit, arrays["count"][at], 0).astype(np.int64)
-        large = counts == 255
-        counts[large] = arrays["large"][np.searchsorted(arrays["large_at"], at[large])]
-        return counts
+    def shard_of(self, before: np.ndarray, pivot: np.ndarray, word: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The shard of n-grams, by the word before the last, of which ``seen`` is the count; those of a common one are dealt over all."""
+        spread = _hash(before, pivot) if self.order > 2 else _hash(pivot, word)
+        own = np.where(self.common(seen), spread, pivot.astype(np.uint64))
+        return (mix(mix(own)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def common(self, seen: np.ndarray) -> np.ndarray:
+        """Whether words of so many occurrences are dealt over all shards."""
+        return seen > self.often
+
+    def pairs_after_common(self, pivot: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Distinct words before each pair that begins with a common word."""
+        key = _hash(pivot, word)
+        found = np.zeros(len(key), dtype=np.int64)
+        shard = (key >> np.uint64(64 - self.word_bits)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in _parts(shard[order], 1 << self.word_bits):
+            if self.common_written[s]:
+                some = order[a:b]
+                found[some] = _find(mapped(f"{self.folder}/common-{s}"), "pairs", mix(key[some]), ("n",))[0]
+        return found
 
-    def log10(self, counts: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of the interpolated probability: of the bigram, and of the word by the contexts it follows."""
-        lower = self.lower_mass / (self.distinct + 1) if self.types else 1.0 / (self.distinct + 1)
-        p = lower + np.maximum(before - self.lower_discounts[np.minimum(before, 3)], 0.0) / max(1, self.types)
-        share = np.maximum(total, 1)
-        d = self.discounts
-        mass = (d[1] * ones + d[2] * twos + d[3] * more) / share
-        return np.log10(np.where(total > 0, np.maximum(counts - d[np.minimum(counts, 3)], 0.0) / share + mass * p, p))
+    def log10(self, shard: int, before: np.ndarray, pivot: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 of the interpolated probabilities of distinct n-grams of one shard."""
+        zeros = np.zeros(len(word), dtype=np.int64)
+        arrays = mapped(f"{self.folder}/ngrams-{shard}") if self.written[shard] else None
+        look = lambda name, key, columns: _find(arrays, name, key, columns) if arrays else [zeros] * len(columns)
+        words, at = np.unique(word, return_inverse=True)
+        follows = self.statistics(words, ("before",))[0][at]
+        d = self.discounts[0]
+        p = self.lower_mass / (self.distinct + 1) if self.types else 1.0 / (self.distinct + 1)
+        p = p + np.maximum(follows - d[np.minimum(follows, 3)], 0.0) / max(1, self.types)
+        pivots, at = np.unique(pivot, return_inverse=True)
+        seen = self.statistics(pivots, ("count", *TALLY))
+        common = self.common(seen[0])[at]
+        if self.order > 2:
+            counts = look("pairs", _hash(pivot, word), ("n",))[0]
+            counts[common] = self.pairs_after_common(pivot[common], word[common])
+            tally = [np.where(common, after[at], own) for after, own in zip(seen[1:], look("pivots", mix(pivot.astype(np.uint64)), TALLY))]
+            p = _interpolated(counts, tally, self.discounts[1], p)
+        counts = look("ngrams", _hash(before, pivot, word), ("n",))[0]
+        unknown = (before >= self.size) | (pivot >= self.size) | (word >= self.size)
+        counts[unknown] = 0
+        tally = look("contexts", _hash(before, pivot), TALLY)
+        if self.order == 2:
+            tally = [np.where(common, after[at], own) for after, own in zip(seen[1:], tally)]
+        return np.log10(_interpolated(counts, tally, self.discounts[2], p))
+
+
+def _interpolated(counts: np.ndarray, tally: list[np.ndarray], d: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Discounted relative counts and the mass that is left for ``p``; where the context is unknown, ``p`` itself."""
+    total, ones, twos, more = tally
+    share = np.maximum(total, 1)
+    mass = (d[1] * ones + d[2] * twos + d[3] * more) / share
+    return np.where(total > 0, np.maximum(counts - d[np.minimum(counts, 3)], 0.0) / share + mass * p, p)
 
 
 def _parts(values: np.ndarray, number: int) -> Iterator[tuple[int, int, int]]:
@@ -266,12 +375,6 @@ def _parts(values: np.ndarray, number: int) -> Iterator[tuple[int, int, int]]:
             yield v, int(at[v]), int(at[v + 1])
 
 
-def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and rest of a hash, after the bits that name its shard."""
-    inner = keys << np.uint64(bits)
-    return (inner >> np.uint64(48)).astype(np.int64), ((inner >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more by the numbers of types with counts 1 to 4."""
     d = np.array([0.0, 0.5, 1.0, 1.5])
@@ -283,14 +386,16 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def train(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Model:
-    """Count ``docs`` into a model in the shared folder.
+def train(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int = ORDER) -> Model:
+    """Count ``docs`` into a model of n-grams of ``order`` 2 or 3 in the shared folder.
 
-    First the vocabulary, then bigrams by the words' numbers, then what each word has of contexts and
-    continuations. Every task counts its own texts before anything is moved, as compressed arrays
+    First the vocabulary, then n-grams by the words' numbers, then what each word has of
+    continuations. Lower orders count distinct words before. Every task counts its own texts before anything is moved, as compressed arrays
     keyed by shard; a frequent word or bigram is one entry a chunk. Null texts are empty; rows that
     repeat count as often.
     """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     folder = scratch(docs.sparkSession, "lm")
     _store(folder)  # a scheme that workers can't write fails here
     docs = docs.select(F.col(f"`{ident}`"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -330,112 +435,159 @@ def train(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Model:
     for r in found:
         sizes[r["shard"] + 1] = r["size"]
     documents = sum(r["documents"] for r in found)
-    model = Model(folder, np.cumsum(sizes), documents, tokens=sum(r["tokens"] for r in found) - documents, word_bits=word_bits)
+    model = Model(folder, np.cumsum(sizes), documents, order, COMMON, tokens=sum(r["tokens"] for r in found) - documents, word_bits=word_bits)
     if model.size >= 1 << 32:
         raise ValueError(f"{model.size} distinct words; word numbers have 32 bits")
     while model.tokens > SHARD_TOKENS << model.bits:
         model.bits += 1
-    _count_bigrams(docs, model)
+    _count(docs, model)
     return model
 
 
-def _count_bigrams(docs: DataFrame, model: Model) -> None:
+COUNTED = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("payload", pa.binary()), ("types", pa.list_(pa.int64()))])
+COUNTED_DDL = "kind string, shard int, payload binary, types array<long>"
+SUMS = pa.schema([("kind", pa.string()), ("n", pa.list_(pa.int64()))])
+
+
+def _sorted_by(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by their columns of 32-bit numbers, the first first, two at a time."""
+    keys = [columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1].astype(np.uint64) for k in range(0, len(columns), 2)]
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def _count(docs: DataFrame, model: Model) -> None:
+    """Count n-grams into files by pivots, pairs after common words into files by pairs, continuations by words."""
     vocabulary = 1 << model.word_bits
-    shards = 1 << model.bits
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, 1):
-            _, before, word, _, _ = numbered(model, texts)
+            _, before, pivot, word, seen, _ = numbered(model, texts)
+            shard = model.shard_of(before, pivot, word, seen)
+            order = _sorted_by(shard, pivot, before, word)
+            shard, pivot, before, word = (x[order] for x in (shard, pivot, before, word))
+            at = _runs(shard, pivot, before, word)
+            n = np.diff(np.append(at, len(shard)))
+            shard, pivot, before, word = (x[at] for x in (shard, pivot, before, word))
             rows = []
-            for shard, (a, b), n in _sharded(model, before, word):
-                rows.append((shard, packed(step=np.diff(a, prepend=0).astype(np.uint32), word=b.astype(np.uint32), count=n.astype(np.uint32))))
+            for v, a, b in _parts(shard, 1 << model.bits):
+                some = {"step": np.diff(pivot[a:b], prepend=0), "word": word[a:b], "count": n[a:b]} | ({"before": before[a:b]} if model.order > 2 else {})
+                rows.append((v, packed(**{k: x.astype(np.uint32) for k, x in some.items()})))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
 
-    def store_bigrams(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        pairs, counts = [], []
-        for p in table["payload"].to_pylist():
-            p = unpacked(p)
-            pairs.append(np.cumsum(p["step"].astype(np.uint64)) << np.uint64(32) | p["word"].astype(np.uint64))
-            counts.append(p["count"].astype(np.int64))
-        pair, n = _summed(np.concatenate(pairs), np.concatenate(counts))
-        del pairs, counts
-        key = mix(pair)
-        order = np.argsort(key)
-        bucket, rest = _split(key[order], model.bits)
-        own = n[order]
-        large = np.flatnonzero(own >= 255)
-        put(
-            f"{model.folder}/bigrams-{shard}",
-            index=np.searchsorted(bucket, np.arange((1 << 16) + 1)).astype(np.uint32),
-            rest=rest,
-            count=np.minimum(own, 255).astype(np.uint8),
-            large_at=large,
-            large=own[large],
-        )
+    def deltas(kind: str, ids: np.ndarray, **columns: np.ndarray) -> list[tuple]:
+        """Rows of columns of sorted distinct words, for the files of the vocabulary."""
         rows = []
-        left, right = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        one, two, more = (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)
-        for name, ids, columns in (("context", *_rest(_summed(left, one, two, more))), ("before", *_rest(_summed(right, np.ones(len(n), dtype=np.int64))))):
-            for v, a, b in _parts(np.searchsorted(model.offsets, ids, side="right") - 1, vocabulary):
-                arrays = {"step": np.diff(ids[a:b], prepend=model.offsets[v]).astype(np.uint32)} | {f"c{k}": c[a:b].astype(np.uint32) for k, c in enumerate(columns)}
-                rows.append((v, name, packed(**arrays), None))
-        rows.append((-1, "types", None, [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), shard]))
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())))], names=["shard", "kind", "payload", "types"])
+        for v, a, b in _parts(np.searchsorted(model.offsets, ids, side="right") - 1, vocabulary):
+            arrays = {"step": np.diff(ids[a:b], prepend=model.offsets[v])} | {c: x[a:b] for c, x in columns.items()}
+            rows.append((kind, v, packed(**arrays), None))
+        return rows
+
+    def pair_rows(pivot: np.ndarray, word: np.ndarray, n: np.ndarray, group: np.ndarray, tally: bool) -> list[tuple]:
+        """What whole pairs, sorted, add to their words: one before each, and the tally of common pivots."""
+        words, follows = np.unique(word, return_counts=True)
+        rows = deltas("before", words, before=follows)
+        return rows + (deltas("tally", pivot[group], **dict(zip(TALLY, _tallied(group, n)))) if tally else [])
+
+    def types(level: int, n: np.ndarray, shard: int) -> tuple:
+        return "types", -1, None, [level, *(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), shard]
+
+    def store(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        parts = [unpacked(p) for p in table["payload"].to_pylist()]
+        pivot = np.concatenate([np.cumsum(p["step"].astype(np.int64)).astype(np.uint32) for p in parts])
+        word, n = (np.concatenate([p[c] for p in parts]) for c in ("word", "count"))
+        before = np.concatenate([p["before"] for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
+        del parts
+        order = _sorted_by(pivot, before, word, np.zeros_like(word)) if model.order > 2 else _sorted_by(pivot, word)
+        pivot, before, word, n = (x[order] for x in (pivot, before, word, n))
+        at = _runs(pivot, before, word)
+        n = np.add.reduceat(n.astype(np.int64), at)
+        pivot, before, word = (x[at].astype(np.int64) for x in (pivot, before, word))
+        pivots, of = np.unique(pivot, return_inverse=True)
+        common = model.common(model.statistics(pivots, ("count",))[0])[of]
+        contexts = _runs(pivot, before)
+        arrays = _table("ngrams", _hash(before, pivot, word), n=n)
+        arrays |= _table("contexts", _hash(before[contexts], pivot[contexts]), **dict(zip(TALLY, _tallied(contexts, n))))
+        rows = [types(3, n, shard)]
+        if model.order == 2:
+            rows += pair_rows(pivot, word, n, contexts, False)
+            rows += [r for r in pair_rows(*(x[common] for x in (pivot, word, n)), _runs(pivot[common]), True) if r[0] == "tally"]
+        else:
+            order = _sorted_by(pivot, word)
+            pivot, word, common = pivot[order], word[order], common[order]
+            at = _runs(pivot, word)
+            n = np.diff(np.append(at, len(pivot)))
+            pivot, word, common = pivot[at], word[at], common[at]
+            some = ~common
+            own = pivot[some], word[some], n[some]
+            group = _runs(own[0])
+            arrays |= _table("pairs", _hash(own[0], own[1]), n=own[2])
+            arrays |= _table("pivots", mix(own[0][group].astype(np.uint64)), **dict(zip(TALLY, _tallied(group, own[2]))))
+            rows += [types(2, own[2], -1), *pair_rows(*own, group, False)]
+            pivot, word, n = pivot[common], word[common], n[common]
+            spread = (_hash(pivot, word) >> np.uint64(64 - model.word_bits)).astype(np.int64)
+            order = np.argsort(spread, kind="stable")
+            for v, a, b in _parts(spread[order], vocabulary):
+                k = order[a:b]
+                rows.append(("common", v, packed(step=np.diff(pivot[k], prepend=0).astype(np.uint32), word=word[k].astype(np.uint32), count=n[k].astype(np.uint32)), None))
+        put(f"{model.folder}/ngrams-{shard}", **arrays)
+        return pa.table([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(COUNTED)], schema=COUNTED)
+
+    def store_common(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        parts = [unpacked(p) for p in table["payload"].to_pylist()]
+        pair = np.concatenate([np.cumsum(p["step"].astype(np.uint64)) << np.uint64(32) | p["word"].astype(np.uint64) for p in parts])
+        pair, n = _summed(pair, np.concatenate([p["count"].astype(np.int64) for p in parts]))
+        pivot, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        put(f"{model.folder}/common-{shard}", **_table("pairs", mix(_hash(pivot, word)), n=n))
+        rows = [types(2, n, shard), *pair_rows(pivot, word, n, _runs(pivot), True)]
+        return pa.table([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(COUNTED)], schema=COUNTED)
 
     def store_statistics(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         if shard < 0:
-            rows = np.array(table["types"].to_pylist(), dtype=np.int64)
-            return pa.table({"kind": ["types", "written"], "n": [rows[:, :5].sum(axis=0).tolist(), rows[:, 5].tolist()]}, schema=SUMS)
+            found = np.array(table["types"].to_pylist(), dtype=np.int64)
+            levels = [(f"types{k}", found[found[:, 0] == k][:, 1:6].sum(axis=0)) for k in (2, 3)]
+            files = [(name, found[(found[:, 0] == k) & (found[:, 6] >= 0)][:, 6]) for name, k in (("common", 2), ("ngrams", 3))]
+            return pa.table({"kind": [k for k, _ in levels + files], "n": [v.tolist() for _, v in levels + files]}, schema=SUMS)
         size = int(model.offsets[shard + 1] - model.offsets[shard])
-        columns = {name: np.zeros(size, dtype=np.uint32) for name in ("ones", "twos", "more", "before")}
-        for kind, p in zip(table["kind"].to_pylist(), table["payload"].to_pylist()):
-            p = unpacked(p)
-            at = np.cumsum(p["step"].astype(np.int64))
-            for k, name in enumerate(("ones", "twos", "more") if kind == "context" else ("before",)):
-                columns[name][at] += p[f"c{k}"]
+        columns = {name: np.zeros(size, dtype=np.int64 if name == "total" else np.uint32) for name in ("before", *TALLY)}
+        for payload in table["payload"].to_pylist():
+            p = unpacked(payload)
+            at = np.cumsum(p.pop("step").astype(np.int64))
+            for name, values in p.items():
+                columns[name][at] += values.astype(columns[name].dtype)
         put(f"{model.folder}/stats-{shard}", **columns)
         before = columns["before"]
         return pa.table({"kind": ["lower"], "n": [[int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum())]]}, schema=SUMS)
 
-    stored = map_arrow(docs, pairs_of, "shard int, payload binary").groupBy("shard").applyInArrow(store_bigrams, "shard int, kind string, payload binary, types array<long>")
-    sums = {"types": np.zeros(5, dtype=np.int64), "lower": np.zeros(5, dtype=np.int64)}
-    model.written = np.zeros(1 << model.bits, dtype=bool)
-    for r in stored.groupBy("shard").applyInArrow(store_statistics, "kind string, n array<long>").collect():
-        if r["kind"] == "written":
+    counted = map_arrow(docs, count, "shard int, payload binary").groupBy("shard").applyInArrow(store, COUNTED_DDL)
+    counted = cut(counted, "lm-counted")
+    common = counted.where("kind = 'common'").groupBy("shard").applyInArrow(store_common, COUNTED_DDL)
+    none = np.zeros(0, dtype=np.uint32)  # a file for words that follow nothing, as the start
+    files = [("before", v, packed(step=none, before=none), None) for v in range(vocabulary) if model.offsets[v] < model.offsets[v + 1]]
+    common = common.unionAll(docs.sparkSession.createDataFrame(files, COUNTED_DDL))
+    sums = {k: np.zeros(5, dtype=np.int64) for k in ("types2", "types3", "lower")}
+    model.written, model.common_written = np.zeros(1 << model.bits, dtype=bool), np.zeros(vocabulary, dtype=bool)
+    for r in counted.where("kind <> 'common'").unionAll(common).groupBy("shard").applyInArrow(store_statistics, "kind string, n array<long>").collect():
+        if r["kind"] == "ngrams":
             model.written[r["n"]] = True
+        elif r["kind"] == "common":
+            model.common_written[r["n"]] = True
         else:
             sums[r["kind"]] += r["n"]
-    model.discounts, model.lower_discounts = _discounts(sums["types"]), _discounts(sums["lower"])
-    model.types = int(sums["types"][4])
-    d, n = model.lower_discounts, sums["lower"]
+    pairs = sums["types2" if model.order > 2 else "types3"]
+    model.discounts = [_discounts(sums[k]) for k in ("lower", "types2", "types3")]
+    model.types = int(pairs[4])
+    d, n = model.discounts[0], sums["lower"]
     model.lower_mass = float(d[1] * n[0] + d[2] * n[1] + d[3] * n[4]) / max(1, model.types)
 
 
-SUMS = pa.schema([("kind", pa.string()), ("n", pa.list_(pa.int64()))])
-
-
-def _rest(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    return columns[0], columns[1:]
-
-
-def _sharded(model: Model, before: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]]:
-    """(shard, word numbers of its distinct bigrams in order, their counts)."""
-    pair = before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
-    pair, n = _summed(pair, np.ones(len(pair), dtype=np.int64))
-    shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint32)
-    order = np.argsort(shard, kind="stable")
-    for s, a, b in _parts(shard[order], 1 << model.bits):
-        some = order[a:b]
-        yield s, ((pair[some] >> np.uint64(32)).astype(np.int64), (pair[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)), n[some]
-
-
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    A chunk of texts sends each shard its bigrams with the documents they stand in; the shard's task
-    maps its arrays and returns one sum a document. So no task reads more of the bigrams than its
+    A chunk of texts sends each shard its n-grams with the documents they stand in; the shard's task
+    maps its arrays and returns one sum a document. So no task reads more of the n-grams than its
     shard, nor the texts of more than FAN_IN partitions, and texts are not shuffled. A null text is
     empty: its only token is the end. Ids may be null or repeat: each row is scored.
     """
@@ -457,17 +609,16 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
         for number, (keys, texts) in enumerate(chunks(typed(batches), 1)):
             chunk = part << 32 | number
-            doc, left, right, seen, _ = numbered(model, texts)
+            doc, before, pivot, word, common, seen = numbered(model, texts)
             base = np.bincount(doc, weights=np.log10((seen + 1.0) / (model.tokens + model.distinct + 1.0)), minlength=len(keys))
             number_of = np.bincount(doc, minlength=len(keys)), np.bincount(doc, weights=seen > 0, minlength=len(keys)).astype(np.int64)
-            pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-            order = np.argsort(pair, kind="stable")  # by both words, then by document, then by shard
-            shard = (mix(pair) >> np.uint64(64 - model.bits)).astype(np.uint32)
-            order = order[np.argsort(shard[order], kind="stable")]
+            shard = model.shard_of(before, pivot, word, common)
+            order = _sorted_by(shard, pivot, before, word)  # by n-gram, then by document
             rows = []
             for s, a, b in _parts(shard[order], shards):
                 some = order[a:b]
-                rows.append((s, packed(step=np.diff(left[some], prepend=0).astype(np.uint32), word=right[some].astype(np.uint32), doc=doc[some].astype(np.uint32))))
+                arrays = {"step": np.diff(pivot[some], prepend=0), "word": word[some], "doc": doc[some]} | ({"before": before[some]} if model.order > 2 else {})
+                rows.append((s, packed(**{k: x.astype(np.uint32) for k, x in arrays.items()})))
             whose = [pa.array([v] + [None] * len(rows), pa.list_(t)) for v, t in ((keys, key_type), (number_of[0].tolist(), pa.int64()), (number_of[1].tolist(), pa.int64()), (base.tolist(), pa.float64()))]
             yield pa.record_batch(
                 [pa.array([chunk % shards] + [r[0] for r in rows], pa.int32()), pa.array([piece] * (len(rows) + 1), pa.int32()), pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([len(keys)] * (len(rows) + 1), pa.int32()), pa.array([None] + [r[1] for r in rows], pa.binary()), *whose],
@@ -482,21 +633,11 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
                 sums.append(None)
                 continue
             p = unpacked(payload)
-            left, right = np.cumsum(p["step"].astype(np.int64)), p["word"].astype(np.int64)
-            pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-            first = np.concatenate([[True], pair[1:] != pair[:-1]])  # sorted by both words
-            at = np.cumsum(first) - 1
-            left, right, pair = left[first], right[first], pair[first]
-            key = mix(pair)
-            order = np.argsort(key)
-            counts = np.empty(len(pair), dtype=np.int64)
-            counts[order] = model.bigram_counts(shard, key[order])
-            counts[(left >= model.size) | (right >= model.size)] = 0
-            a, into = np.unique(left, return_inverse=True)
-            context = [c[into] for c in model.statistics(a, ("count", "ones", "twos", "more"))]
-            b, into = np.unique(right, return_inverse=True)
-            before = model.statistics(b, ("before",))[0][into]
-            logs = model.log10(counts, *context, before)
+            pivot, word = np.cumsum(p["step"].astype(np.int64)), p["word"].astype(np.int64)
+            before = p["before"].astype(np.int64) if model.order > 2 else np.zeros(len(word), dtype=np.int64)
+            first = _runs(pivot, before, word)
+            at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+            logs = model.log10(shard, before[first], pivot[first], word[first])
             sums.append(np.bincount(p["doc"], weights=logs[at], minlength=n).tolist())
         return pa.table([table["chunk"], pa.array(sums, pa.list_(pa.float64())), *(table[c] for c in ("ids", "n_tokens", "n_known", "base"))], names=["chunk", "sums", "ids", "n_tokens", "n_known", "base"])
 
