@@ -202,7 +202,7 @@ def _members(classes: DataFrame, shared: DataFrame, schemes: dict[int, Scheme],
     return map_arrow(rows, run, "bucket long, members long, num long, n long, dim int, vec binary, held binary", 500)
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Of pairs with bucket lists (pairs, tables, probes): whether ``bucket`` is the first that both lie in."""
     none = np.iinfo(np.uint64).max
     first = np.full(len(a), none, dtype=np.uint64)
@@ -213,7 +213,42 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
                 same = a[:, t, p] == b[:, t, q]
                 here = np.where(same & (a[:, t, p] < here), a[:, t, p], here)
         first = np.where(first == none, here, first)
-    return first == np.uint64(bucket)
+    return first == bucket
+
+
+#: Rows of a bucket up to which its pairs are taken with those of other buckets, and pairs that are compared at once.
+SMALL, AT_ONCE = 48, 1 << 13
+
+
+def _close_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, cross: np.ndarray, block: np.ndarray, tile: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs inside groups [start, end) of rows x whose products reach ``least``.
+
+    Of a group that is ``cross`` only pairs of its two blocks count, the first of which is ``tile``.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    few = ends - starts <= SMALL
+    a, b = small_pairs(starts[few], ends[few])
+    group = np.repeat(np.flatnonzero(few), (ends - starts)[few] * (ends - starts - 1)[few] // 2)
+    some = ~cross[group] | (block[a] != block[b])
+    a, b = a[some], b[some]
+    for k in range(0, len(a), AT_ONCE):
+        p, q = a[k : k + AT_ONCE], b[k : k + AT_ONCE]
+        close = np.einsum("ij,ij->i", x[p], x[q]) >= least
+        found.append((p[close], q[close]))
+    for g in np.flatnonzero(~few).tolist():
+        own = np.arange(starts[g], ends[g])
+        if cross[g]:
+            left, right = own[block[own] == tile[g]], own[block[own] != tile[g]]
+            close = x[left] @ x[right].T >= least - 1e-9
+        else:
+            left = right = own
+            close = np.triu(x[own] @ x[own].T >= least - 1e-9, 1)
+        p, q = np.nonzero(close)
+        p, q = left[p], right[q]
+        for k in range(0, len(p), AT_ONCE):
+            exact = np.einsum("ij,ij->i", x[p[k : k + AT_ONCE]], x[q[k : k + AT_ONCE]]) >= least
+            found.append((p[k : k + AT_ONCE][exact], q[k : k + AT_ONCE][exact]))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
 
 
 def _linked(rows: DataFrame, least: float, schemes: dict[int, Scheme]) -> DataFrame:
@@ -224,42 +259,40 @@ def _linked(rows: DataFrame, least: float, schemes: dict[int, Scheme]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in segments(batches, ["bucket", "tile_i", "tile_j"], 4000):
-            num, n, dims = (table[c].to_numpy() for c in ("num", "n", "dim"))
+            num, n, dims, block = (table[c].to_numpy() for c in ("num", "n", "dim", "block"))
+            bucket, i, j = table["bucket"].to_numpy().view(np.uint64), table["tile_i"].to_numpy(), table["tile_j"].to_numpy()
             vecs, lists = table["vec"].to_pylist(), table["held"].to_pylist()
-            bucket, block = table["bucket"].to_numpy().view(np.uint64), table["block"].to_numpy()
-            i, j = table["tile_i"].to_numpy(), table["tile_j"].to_numpy()
-            links: dict[int, int] = {}
+            links = np.zeros(table.num_rows, dtype=np.int64)
             edges: list[tuple[int, int]] = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                if b - a < 2:
+            starts, ends = at[:-1], at[1:]
+            for dim in np.unique(dims).tolist():  # buckets are of one width
+                mine = (dims[starts] == dim) & (ends - starts > 1)
+                if not mine.any():
                     continue
-                dim = int(dims[a])
-                x = _units(vecs[a:b], dim)
-                if i[a] == j[a]:
-                    left = right = np.arange(b - a)
-                    close = np.triu(x @ x.T >= least - 1e-9, 1)
+                where = np.flatnonzero(dims == dim)
+                x = np.zeros((table.num_rows, dim)) if len(where) < table.num_rows else None
+                if x is None:
+                    x = _units(vecs, dim)
                 else:
-                    left, right = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
-                    close = x[left] @ x[right].T >= least - 1e-9
-                p, q = np.nonzero(close)
+                    x[where] = _units([vecs[k] for k in where.tolist()], dim)
+                a, b = starts[mine], ends[mine]
+                p, q = _close_pairs(x, a, b, i[a] != j[a], block, i[a], least)
                 if not len(p):
                     continue
-                p, q = left[p], right[q]
-                exact = np.einsum("ij,ij->i", x[p], x[q]) >= least
-                p, q = p[exact], q[exact]
                 own = schemes[dim]
-                held = np.frombuffer(b"".join(lists[a:b]), dtype=np.uint64).reshape(-1, own.tables, own.probes)
-                new = _first_meeting(held[p], held[q], int(bucket[a]))
-                p, q = p[new] + a, q[new] + a
-                counts = np.bincount(p - a, weights=n[q], minlength=b - a) + np.bincount(q - a, weights=n[p], minlength=b - a)
-                for k in np.flatnonzero(counts).tolist():
-                    links[a + k] = links.get(a + k, 0) + int(counts[k])
+                some = np.unique(np.concatenate([p, q]))
+                held = np.frombuffer(b"".join(lists[k] for k in some.tolist()), dtype=np.uint64).reshape(-1, own.tables, own.probes)
+                new = np.concatenate([_first_meeting(held[np.searchsorted(some, p[k : k + AT_ONCE])], held[np.searchsorted(some, q[k : k + AT_ONCE])], bucket[p[k : k + AT_ONCE]]) for k in range(0, len(p), AT_ONCE)])
+                p, q = p[new], q[new]
+                np.add.at(links, p, n[q])
+                np.add.at(links, q, n[p])
                 edges += _forest(p, q)
+            counted = np.flatnonzero(links)
             yield pa.record_batch(
                 [
-                    pa.array(num[[*links, *(e for e, _ in edges)]], pa.int64()),
-                    pa.array([None] * len(links) + [int(num[e]) for _, e in edges], pa.int64()),
-                    pa.array(list(links.values()) + [0] * len(edges), pa.int64()),
+                    pa.array(num[np.concatenate([counted, np.array([e for e, _ in edges], dtype=np.int64)])], pa.int64()),
+                    pa.array([None] * len(counted) + [int(num[e]) for _, e in edges], pa.int64()),
+                    pa.array(np.concatenate([links[counted], np.zeros(len(edges), dtype=np.int64)]), pa.int64()),
                 ],
                 names=["num", "other", "links"],
             )
