@@ -251,6 +251,8 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     rows = cut(map_arrow(docs, anchors, "key long, doc long"), "substring-anchor-places")
     shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key"))
+    # Joins by a passage's words are between scratch tables: adaptive execution can then split a common one.
+    shared = cut(shared, "substring-anchors")
     wanted = rows.join(shared.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
     wanted = wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("keys"))
     wanted = wanted.join(gone, F.col("_doc") == F.col("_gone"), "left").select("_doc", "keys", "spans")
@@ -266,7 +268,7 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     rows = cut(map_arrow(rows, around, "anchor long, whole long, doc long, start long, size long, first long, words long, clean boolean, parted boolean, runs array<long>"), "substring-runs")
     even = (F.min("whole") == F.max("whole")) & ~F.max("parted")
     shared = rows.groupBy(F.col("anchor").alias("_anchor")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), even.alias("even")).where("low < high")
-    rows = rows.join(shared.select("_anchor", "even").hint("merge"), F.col("anchor") == F.col("_anchor"))
+    rows = rows.join(cut(shared.select("_anchor", "even"), "substring-even").hint("merge"), F.col("anchor") == F.col("_anchor"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +369,7 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last", "exact")).alias("spans"))
     passages = _passages(docs, gone)
     short = passages.groupBy(F.col("key").alias("_key")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(F.col("clean"), F.col("doc"))).alias("own")).where("low < high")
-    rows = passages.join(short.drop("high").hint("merge"), F.col("key") == F.col("_key")).withColumn("exact", F.lit(True))
+    rows = passages.join(cut(short.drop("high"), "substring-shared").hint("merge"), F.col("key") == F.col("_key")).withColumn("exact", F.lit(True))
     rows = known.unionAll(_decided(rows, "own")).repartition("doc").drop("exact").sortWithinPartitions("doc", "first", "last")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
