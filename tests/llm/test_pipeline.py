@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -60,3 +61,38 @@ def test_each_stage_against_its_operator(spark, stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").distinct().count() == stages["packing"].count()
+
+
+def write(spark, folder, documents, labels):
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, label string, row string"
+    spark.createDataFrame(documents, kinds).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls anywhere, empty and long texts, repeated rows and ids, columns of clashing names; checked by hand."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    row = lambda i, t, lang="xx": (i, t, lang, None, None, "clash", "clash")
+    passage, copy = prose(60), prose(80)
+    rows = [row(i, prose(rng.randint(30, 60))) for i in range(120)]
+    rows += [row(200, copy), row(201, copy), row(201, copy), row(None, copy), row(202, f"{prose(40)} {passage}"), row(203, f"{passage} {prose(50)}"), row(203, prose(45)), row(None, prose(33)), row(300, " ".join([prose(50)] + [word() for _ in range(20000)]))]
+    rows += [row(400, None), row(401, ""), row(402, "  \n"), row(403, "123 456"), row(None, None, None)]
+    write(spark, tmp_path, rows, [])  # without labels nothing can be told apart, and all stays
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] if "text" in docs.columns else docs.collect()
+    assert {i for i, _ in kept["language_id"]} >= {*range(120), 200, 201, 202, 203, 300} and not {i for i, _ in kept["language_id"]} & {400, 401, 402, 403}
+    assert sorted(kept["quality_classifier"], key=str) == sorted(kept["language_id"], key=str)
+    left = kept["simhash_dedup"]
+    assert sum(t == copy for _, t in left) == 1 and (200, copy) in left and len([i for i, _ in left if i == 203]) == 2 and len(left) == 120 + 1 + 3 + 1 + 1
+    texts = [t for _, t in kept["substring_dedup"]]
+    assert sum(passage in t for t in texts) == 1 and len(texts) == len(left)
+    assert {r.doc_id for r in kept["packing"]} == {i for i, _ in kept["substring_dedup"]}
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -171,3 +171,70 @@ def test_every_repeated_passage_stays_somewhere(spark):
     assert sum(len(t.split()) for _, t in kept) < 0.7 * sum(len(t.split()) for _, t in rows)
     found = substring.repeats(frame(spark, rows)).select("doc_id", "n_words", "removed").collect()
     assert sum(r.n_words for r in found if r.removed) == sum(len(t.split()) for _, t in rows) - sum(len(t.split()) for _, t in kept)
+
+
+def brute(rows):
+    """(row, word) places that are repeated: in 25 words that two rows share, or in lines or runs of short lines whose class is in two rows."""
+    places, units = set(), []
+    seen = {}
+    for r, (_, t) in enumerate(rows):
+        own = t.split()
+        for k in range(len(own) - 24):
+            seen.setdefault(tuple(own[k : k + 25]), []).append((r, k))
+        lines, at = [], 0
+        for line in t.split("\n"):
+            lines.append((at, at + len(line.split())))
+            at = lines[-1][1]
+        runs, run = [], []
+        for a, b in [*lines, (0, 99)]:
+            if 0 < b - a < substring.LINE:
+                run.append((a, b))
+                continue
+            if len(run) > 1:
+                runs.append((run[0][0], run[-1][1]))
+            run = []
+        units += [(r, a, b, frozenset(tuple(own[k : k + 5]) for k in range(a, b - 4))) for a, b in lines + runs if b - a >= 5]
+    for found in seen.values():
+        if len({r for r, _ in found}) > 1:
+            places |= {(r, k + j) for r, k in found for j in range(25)}
+    up = list(range(len(units)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(units)):
+        for j in range(i):
+            both = len(units[i][3] & units[j][3])
+            if both >= 0.8 * (len(units[i][3]) + len(units[j][3]) - both):
+                up[find(i)] = find(j)
+    classes = {}
+    for k, u in enumerate(units):
+        classes.setdefault(find(k), []).append(u)
+    for some in classes.values():
+        if len({u[0] for u in some}) > 1:
+            places |= {(u[0], w) for u in some for w in range(u[1], u[2])}
+    return places, seen
+
+
+def test_against_brute_force(spark):
+    """What is reported is repeated, and of every 25 words that rows share one copy at least is reported."""
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randint(25, 50)) for _ in range(6)] + [prose(rng, rng.randint(5, 19)) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = [rng.choice([prose(rng, rng.randint(3, 40)), rng.choice(pool), " ".join(w if rng.random() > 0.02 else "other" for w in rng.choice(pool).split())]) for _ in range(rng.randint(1, 5))]
+        rows.append((i, rng.choice(["\n", "\n\n", " "]).join(parts)))
+    expected, seen = brute(rows)
+    covered = set()
+    for r in substring.repeats(frame(spark, rows)).collect():
+        data = rows[r.doc_id][1].encode()
+        first = len(data[: r.start].split())
+        assert len(data[r.start : r.end].split()) == r.n_words
+        covered |= {(r.doc_id, first + k) for k in range(r.n_words)}
+    assert covered <= expected
+    for words, found in seen.items():
+        if len({r for r, _ in found}) > 1:
+            assert any((r, k + j) in covered for r, k in found for j in range(25)), words
+    assert len(covered) > 0.9 * len(expected)
