@@ -9,7 +9,7 @@ from tickframe.functions import scalars, sessions
 from tickframe.operators import arrays as a
 from tickframe.operators import recurrences as r
 from tickframe.operators import windows as w
-from tickframe.plans import metrics, timeframes
+from tickframe.plans import metrics, reports, timeframes
 from tickframe.streaming import ticks as live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -43,7 +43,8 @@ def test_events(spark):
     df = bars(spark, [1.0, 3.0, 2.0, 2.0, 5.0, 4.0, 6.0])
     up = x > F.lag("close").over(s.slots())
     assert column(df, w.bars_since(s, up)) == [None, 0, 1, 2, 0, 1, 0]
-    assert column(df, w.value_when(s, up, x, 1)) == [None, None, None, None, 3.0, 3.0, 5.0]
+    latest = [[z.v for z in w.value_when(df, s, up, x, k, "v").orderBy("ts").collect()] for k in (0, 1)]
+    assert latest == [[None, 3.0, 3.0, 3.0, 5.0, 5.0, 6.0], [None, None, None, None, 3.0, 3.0, 5.0]]
     assert column(df, w.rising(s, x, 2))[4] == 1.0 and column(df, w.falling(s, x, 1))[5] == 1.0
     assert column(df, w.mode(s, x, 3))[3] == 2.0 and column(df, a.highest_bars(s, x, 3))[3] == -2
 
@@ -77,14 +78,35 @@ def test_timeframes(spark):
     assert [x.tf for x in timeframes.detect(quarter).collect()] == ["15"]
     off = timeframes.security(quarter, "60", "15", {"v": F.col("close")}).orderBy("ts").collect()
     assert [x.v for x in off] == [None, None, None, 40.0, 40.0]
-    on = timeframes.security(quarter, "60", "15", {"v": F.col("close")}, lookahead=True).orderBy("ts").collect()
-    assert [x.v for x in on] == [40.0] * 4 + [50.0]
+    on = timeframes.security(quarter, "60", "15", {"v": F.col("close"), "h": F.col("high"), "o": F.col("open")}, lookahead=True).orderBy("ts").collect()
+    assert [(x.v, x.h, x.o) for x in on] == [(10.0, 10.0, 10.0), (20.0, 20.0, 10.0), (30.0, 30.0, 10.0), (40.0, 40.0, 10.0), (50.0, 50.0, 50.0)]
+    whole = timeframes.security(quarter, "60", "15", {"v": F.col("close")}, projected=True).orderBy("ts").collect()
+    assert [x.v for x in whole] == [40.0] * 4 + [50.0]
+    gone = quarter.where("close <> 40")  # the bucket's last bar is missing: the next bucket's first bar completes it
+    assert [x.v for x in timeframes.security(gone, "60", "15", {"v": F.col("close")}, gaps=True).orderBy("ts").collect()] == [None, None, None, 30.0]
+    assert [x.v for x in timeframes.security(gone, "60", "15", {"v": F.col("close")}, lookahead=True).orderBy("ts").collect()] == [10.0, 20.0, 30.0, 30.0]
+    assert [x.bars for x in timeframes.expected_bars(quarter, "60", "15").collect()] == [1]
+    done = timeframes.completions(quarter, "15", "15")
+    assert timeframes.published(done, "15", "60").count() == 1
+    assert [timeframes.lower_ratio(*x) for x in (("15", "5"), ("15", "30S"), ("15", "4"), ("D", "60"), ("5", "15"))] == [3, 30, None, None, None]
+    assert [timeframes.check_security(*x) for x in (("15", "15", "60"), ("15", "15", "15"), ("1", "15", "5", True), ("15", "15", "5", True))] == ["higher", "same", "real", "synthetic"]
+    for wrong in (("15", "15", "40"), ("15", "15", "7", True), ("15", "15", "5", True, True)):
+        with pytest.raises(ValueError):
+            timeframes.check_security(*wrong)
     with pytest.raises(ValueError):
         timeframes.security(quarter, "5", "15", {})
-    path = [x.price for x in timeframes.sampled(bars(spark, [(100.0, 110.0, 90.0, 105.0)]), 2).collect()]
+    one = bars(spark, [(100.0, 110.0, 90.0, 105.0)])
+    path = [x.price for x in timeframes.sampled(one, 2).collect()]
     assert path == [100.0, 105.0]
-    low = timeframes.synthesised(bars(spark, [(100.0, 110.0, 90.0, 105.0)]), 4, 3600).collect()
-    assert sum(x.volume for x in low) == 10.0 and low[0].open == 100.0 and low[-1].close == 105.0
+    assert [x.price for x in timeframes.sampled(one, 4, "endpoints").orderBy("step").collect()] == pytest.approx([100.0, 90.0, 110.0, 105.0])
+    low = timeframes.synthesised(one, 3, 3600).orderBy("part").collect()
+    assert sum(x.volume for x in low) == 10.0 and [x.close for x in low] == pytest.approx([90.0, 110.0, 105.0]) and low[0].open == 100.0 and min(x.low for x in low) == 90.0
+    still = bars(spark, [(5.0, 5.0, 5.0, 5.0)])
+    for spread in ("uniform", "cosine", "triangle", "endpoints", "front", "back"):
+        assert [x.price for x in timeframes.sampled(still, 5, spread).collect()] == [5.0] * 5
+        found = [x.price for x in timeframes.sampled(one, 9, spread).orderBy("step").collect()]
+        assert found[0] == 100.0 and found[-1] == 105.0 and len(found) == 9
+    assert timeframes.sampled_by_volume(bars(spark, [1.0, 2.0]), 4, 2, 8).count() == 8
 
 
 def test_sessions(spark):
@@ -107,7 +129,7 @@ def test_market_orders_fill_at_the_next_open(spark):
 
     (t,) = trades(spark, [(10.0, 11.0, 9.0, 10.0), (12.0, 13.0, 11.0, 12.0), (13.0, 15.0, 12.0, 14.0), (16.0, 17.0, 15.0, 16.0)], run, fee_value=1.0)
     assert (t.entry_price, t.exit_price, t.qty, t.is_long) == (12.0, 16.0, 2.0, True)
-    assert t.pnl == pytest.approx(8 - 0.24 - 0.32) and t.pnl_pct == pytest.approx(t.pnl / 24 * 100) and t.max_run_up == pytest.approx(6.0)
+    assert t.pnl == pytest.approx(8 - 0.24 - 0.32) and t.pnl_pct == pytest.approx(t.pnl / 24 * 100) and t.max_run_up == pytest.approx(8.0 - 0.24)
 
 
 def test_brackets_follow_the_path(spark):
@@ -169,7 +191,10 @@ def test_scalars(spark):
         scalars.matrix_is(m, "identity").alias("id"), scalars.number_text(F.col("x"), "volume").alias("text"), scalars.text_match(F.col("t"), "-(\\d+)").alias("match"), scalars.channel(F.lit(scalars.argb(1, 2, 3)), "g").alias("g"),
     ).first()
     assert row.det == pytest.approx(5.0) and row.inv[0][0] == pytest.approx(0.6) and row.eig[0] > row.eig[1]
-    assert row.sorted == [[1.0, 3.0], [2.0, 1.0]] and row.sym and not row.id and (row.text, row.match, row.g) == ("1.235M", "12", 2)
+    assert row.sorted == [[1.0, 3.0], [2.0, 1.0]] and row.sym and not row.id and (row.text, row.match, row.g) == ("1.23M", "12", 2)
+    texts = [(12.3456, "mintick"), (0.1234, "percent"), (-1234.5, "volume"), (0.5, "volume"), (1.5, ""), (None, "percent")]
+    shown = [spark.range(1).select(scalars.number_text(F.lit(x).cast("double"), m, 0.05)).first()[0] for x, m in texts]
+    assert shown == ["12.35", "12.34%", "-1.23K", "0.50", "1.500000", "NaN"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -190,6 +215,76 @@ def test_stream_equals_batch(spark, tmp_path):
         assert (x.high, x.low, x.close, x.volume) == (y.high, y.low, y.close, y.volume)
 
 
+def test_bar_builder():
+    own, rows = live.Builder(), []
+    for t, price, number in ((60, 10.0, 1), (70, 12.0, 2), (65, 99.0, 3), (80, 9.0, 2), (400, 11.0, 9)):
+        rows += own.push(t, price, 1.0, 60, sequence=number)
+    assert [(r[0].timestamp(), *r[1:5], r[6]) for r in rows] == [(60.0, 10.0, 12.0, 10.0, 12.0, 2), *[(float(t), 12.0, 12.0, 12.0, 12.0, 0) for t in (120, 180, 240, 300)]]
+    assert [r[5] for r in rows] == [2.0, 0.0, 0.0, 0.0, 0.0] and list(own.end(False)) == []
+    assert [(r[0].timestamp(), r[1]) for r in own.end(True)] == [(360.0, 11.0)]
+    assert [r[0].timestamp() for r in own.advance(500, 60)] == [360.0, 420.0]  # the clock closes bars without ticks
+    night, found = live.Builder(), []
+    for t in (9 * 3600, 9 * 3600 + 3 * 86400):
+        found += night.push(t, 5.0, 1.0, 3600, "0900-1100")
+    assert [r[0].hour for r in found] == [9, 10] * 3 and len({r[0] for r in found}) == 6
+
+
+def test_a_quiet_stream_closes_its_bars(spark, tmp_path):
+    schema = "symbol string, ts timestamp, price double, quantity double"
+    at = lambda m, s: (s, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m), 100.0 + m, 1.0)
+    for k, rows in enumerate(([at(0, "a"), at(1, "b")], [at(200, "b")], [at(201, "b")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "ticks"))
+        query = live.continuous(stream, 3600, late="0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = [(r.symbol, r.ts.hour) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("symbol", "ts").collect()]
+    assert ("a", 0) in found and ("b", 0) in found  # no tick of a came after its first
+
+
+def test_finished_bars_and_sessions(spark):
+    rows = [("s", dt.datetime(2024, 1, 1, 10), 1.0, 1.0), ("s", dt.datetime(2024, 1, 1, 12, 30), 2.0, 1.0)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, price double, quantity double")
+    assert live.finished(ticks, 3600).count() == 2 and live.finished(ticks, 3600, partial=True).count() == 3
+    assert sessions.zone_id("UTC+2") == "+02:00" and sessions.zone_id("GMT-0530") == "-05:30" and sessions.zone_id("UTC+0") == "UTC" and sessions.zone_id("Asia/Tokyo") == "Asia/Tokyo"
+    noon = int(dt.datetime(2024, 1, 1, 12, tzinfo=dt.timezone.utc).timestamp())
+    assert sessions.holds("1200-1300:2", noon) and not sessions.holds("1200-1300:3", noon) and sessions.holds("2200-1300", noon) and not sessions.holds("0900-0900", noon) and sessions.holds("1400-1500", noon, "UTC+2")
+
+
+def test_reports(spark):
+    def run(own, bar, memory):
+        if own.bar % 4 == 0:
+            own.entry("a", own.bar % 8 == 0, 1.0)
+
+    df = bars(spark, [100.0 + (i % 5) for i in range(40)])
+    found, curve = broker.backtest(df, run), broker.backtest(df, run, equity=True)
+    row = reports.report(found, curve, 1e5).first()
+    assert len(row.trades) == found.count() == row.summary.total_trades and len(row.equity_curve) == 40 and set(row.metrics) == {"all", "long", "short"}
+    assert row.equity.net_profit == pytest.approx(row.summary.net_pnl) and row.equity.points == 40
+    one, two = reports.fingerprint({"b": 1, "a": [0.5, "x"]}), reports.fingerprint({"a": [0.5, "x"], "b": 1})
+    assert one["digest"] == two["digest"] and one["token"] == two["token"] and one["digest"] != reports.fingerprint({"a": 1})["digest"]
+    with pytest.raises(ValueError):
+        reports.fingerprint({"a": float("nan")})
+    digest = lambda d: reports.feed_digest(d).first().digest
+    assert digest(df) == digest(df.repartition(5)) != digest(df.where("close > 100"))
+
+
+def test_equity_extremes_are_of_their_points(spark):
+    values = [100.0, 90.0, 95.0, 120.0, 100.0, 110.0, 130.0, 118.0]  # the first point, not the capital, begins the peaks
+    df = spark.createDataFrame([("x", T0 + dt.timedelta(days=40 * i), v) for i, v in enumerate(values)], "symbol string, ts timestamp_ntz, equity double")
+    row = metrics.equity_stats(df, 200.0).first()
+    assert (row.max_drawdown, row.max_drawdown_pct) == (20.0, pytest.approx(100 / 6)) and (row.max_run_up, row.max_run_up_pct, row.final_equity) == (10.0, 10.0, 118.0)
+
+
+def test_curves_of_currency(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, d, h), 10.0) for d, h in ((1, 0), (2, 1), (2, 23), (9, 5))], "ts timestamp_ntz, v double")
+    curve = sources.fx_points(spark.createDataFrame([(dt.datetime(2024, 1, 2), 2.0), (dt.datetime(2024, 1, 2, 12), 3.0)], "ts timestamp_ntz, rate double"))
+    found = [x.v for x in timeframes.converted(rows, curve, ("v",)).orderBy("ts").collect()]
+    assert found == [10.0, 20.0, 30.0, 30.0]
+    for wrong in ([(dt.datetime(2024, 1, 2), 2.0), (dt.datetime(2024, 1, 2), 3.0)], [(dt.datetime(2024, 1, 2), -1.0)]):
+        with pytest.raises(Exception):
+            sources.fx_points(spark.createDataFrame(wrong, "ts timestamp_ntz, rate double")).collect()
+
+
 def test_matrix_structure(spark):
     rows = [(1, [[2.0, 1.0], [1.0, 2.0]]), (2, [[1.0, 2.0, 3.0]]), (3, []), (4, None), (5, [[float("nan"), 1.0], [1.0, 1.0]])]
     m = F.col("m")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickframe.functions import sessions
+
 
 # --- text -----------------------------------------------------------------------------------
 
@@ -30,20 +35,50 @@ def text_split(x: Column, separator: str) -> Column:
 
 
 def number_text(x: Column, mode: str = "", mintick: float = 0.01) -> Column:
-    """A number as text: by ticks, in percent, as a volume (K, M, B), or with up to six decimals."""
-    if mode == "mintick":
-        return text_plain(F.round(x / mintick) * mintick)
-    if mode == "percent":
-        return F.concat(F.format_number(x, 2), F.lit("%"))
-    if mode == "volume":
-        large = lambda n, unit: F.concat(text_plain(F.round(x / n, 3)), F.lit(unit))
-        return F.when(x.isNull(), "NaN").when(x >= 1e9, large(1e9, "B")).when(x >= 1e6, large(1e6, "M")).when(x >= 1e3, large(1e3, "K")).otherwise(text_plain(x))
-    return F.when(x.isNull(), "NaN").otherwise(text_plain(x))
+    """A number as text: by ticks, in percent, as a volume (K, M, B), or with six decimals; NaN if it is missing.
+
+    Digits are those of the number's exact binary value, which the JVM's formats don't give.
+    """
+    places = tick_decimals(mintick)
+
+    def one(v: float) -> str:
+        if v != v:
+            return "NaN"
+        if mode == "mintick" and mintick > 0:
+            return f"{math.copysign(math.floor(abs(v / mintick) + 0.5), v) * mintick:.{places}f}"
+        if mode == "percent":
+            return f"{v * 100:.2f}%"
+        if mode == "volume":
+            size, unit = next(((n, u) for n, u in ((1e9, "B"), (1e6, "M"), (1e3, "K")) if abs(v) >= n), (1.0, ""))
+            return f"{'-' if v < 0 else ''}{abs(v) / size:.2f}{unit}"
+        return f"{v:.6f}"
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series([one(v) for v in values.astype(float).tolist()], dtype=object)
+
+    return shown(x.cast("double"))
 
 
-def text_plain(x: Column) -> Column:
-    fixed = F.format_string("%.6f", x.cast("double"))
-    return F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "\\.$", "")
+def tick_decimals(mintick: float) -> int:
+    """Decimals that show a tick; 15 at most."""
+    places, scaled = 0, mintick
+    while scaled < 1 - 1e-10 and places < 15:
+        scaled, places = scaled * 10, places + 1
+    return places
+
+
+def half_away(x: Column) -> Column:
+    """The nearest whole number, halves away from zero."""
+    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+
+
+def format_time(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss", zone: str = "UTC") -> Column:
+    """``ts`` in a zone, by the marks yyyy MM dd HH mm ss; all else stays as it is."""
+    marks = {"yyyy", "MM", "dd", "HH", "mm", "ss"}
+    pieces = re.split("(yyyy|MM|dd|HH|mm|ss)", pattern)
+    wall = sessions.local(ts, zone)
+    return F.concat(*[F.date_format(wall, x) if x in marks else F.lit(x) for x in pieces if x])
 
 
 # --- numbers and colours --------------------------------------------------------------------
@@ -83,38 +118,103 @@ def channel(color: Column, name: str) -> Column:
     return 100 * (1 - byte(24) / 255) if name == "t" else byte({"r": 16, "g": 8, "b": 0}[name])
 
 
-def pivot_levels(method: str, h: Column, low: Column, c: Column, o: Column | None = None) -> Column:
-    """struct(p, r1, s1, r2, s2, r3, s3) of the range before."""
+LEVELS = ("p", "r1", "s1", "r2", "s2", "r3", "s3", "r4", "s4", "r5", "s5")
+
+
+def pivot_levels(method: str, h: Column, low: Column, c: Column) -> Column:
+    """struct(p, r1, s1, … r5, s5) of the range before, NULL where the method has no such level.
+
+    Methods are Traditional, Fibonacci, Woodie, Classic, DM and Camarilla; of another name only p is known.
+    """
     p, wide = (h + low + c) / 3, h - low
-    if method == "fibonacci":
+    steps: list[tuple[Column, Column]] = []
+    if method == "Traditional":
+        steps = [(2 * p - low, 2 * p - h), (p + wide, p - wide), (h + 2 * (p - low), low - 2 * (h - p)), (p + 3 * wide, p - 3 * wide), (p + 4 * wide, p - 4 * wide)]
+    elif method == "Fibonacci":
         steps = [(p + k * wide, p - k * wide) for k in (0.382, 0.618, 1.0)]
-    elif method == "woodie":
-        p = (h + low + 2 * (c if o is None else o)) / 4
-        steps = [(2 * p - low, 2 * p - h), (p + wide, p - wide), (h + 2 * (p - low), low - 2 * (h - p))]
-    elif method == "camarilla":
-        steps = [(c + wide * 1.1 / k, c - wide * 1.1 / k) for k in (12, 6, 4)]
-    elif method == "classic":
-        steps = [(2 * p - low, 2 * p - h), (p + wide, p - wide), (p + 2 * wide, p - 2 * wide)]
-    else:
-        steps = [(2 * p - low, 2 * p - h), (p + wide, p - wide), (2 * p + h - 2 * low, 2 * p - (2 * h - low))]
-    return F.struct(p.alias("p"), *[x.alias(f"{s}{k + 1}") for k, pair in enumerate(steps) for s, x in zip("rs", pair)])
+    elif method in ("Woodie", "Classic"):
+        p = (h + low + 2 * c) / 4 if method == "Woodie" else p
+        steps = [(2 * p - low, 2 * p - h), *((p + k * wide, p - k * wide) for k in (1, 2, 3))]
+    elif method == "DM":
+        x = F.when(c == h, h + 2 * low + c).when(c == low, 2 * h + low + c).otherwise(h + low + 2 * c)
+        p, steps = x / 4, [(x / 2 - low, x / 2 - h)]
+    elif method == "Camarilla":
+        top = F.try_divide(h, F.nullif(low, F.lit(0.0))) * c
+        steps = [*((c + wide * 1.1 / k, c - wide * 1.1 / k) for k in (12, 6, 4, 2)), (top, c - (top - c))]
+    found = [p, *(x for pair in steps for x in pair)]
+    known = h.isNotNull() & low.isNotNull() & c.isNotNull()
+    return F.struct(*[(F.when(known, found[k]) if k < len(found) else F.lit(None).cast("double")).alias(name) for k, name in enumerate(LEVELS)])
 
 
 # --- maps -----------------------------------------------------------------------------------
 
 
+MAP_CAP = 50_000
+
+
+def _capped(m: Column) -> Column:
+    return F.when(F.size(m) > MAP_CAP, F.raise_error(F.lit(f"a map holds at most {MAP_CAP} pairs"))).otherwise(m)
+
+
 def map_put(m: Column, k: Column, v: Column) -> Column:
-    return F.map_concat(F.map_filter(m, lambda a, _: a != k), F.create_map(k, v))
+    """``m`` with k: v; a key that is there keeps its place, a new one comes last. ``map_get`` before it tells the previous value."""
+    fresh = F.map_concat(m, F.create_map(k, v))
+    return F.when(F.map_contains_key(m, k), F.transform_values(m, lambda a, b: F.when(a == k, v).otherwise(b))).otherwise(_capped(fresh))
 
 
 def map_put_all(m: Column, more: Column) -> Column:
-    return F.map_concat(F.map_filter(m, lambda a, _: ~F.map_contains_key(more, a)), more)
+    """All pairs of ``more`` put one after another; nothing is put if the map would grow too large."""
+    kept = F.transform_values(m, lambda a, b: F.when(F.map_contains_key(more, a), F.try_element_at(more, a)).otherwise(b))
+    return _capped(F.map_concat(kept, F.map_filter(more, lambda a, _: ~F.map_contains_key(m, a))))
+
+
+def map_get(m: Column, k: Column) -> Column:
+    """The value of a key, NULL if it isn't there."""
+    return F.try_element_at(m, k)
 
 
 def map_remove(m: Column, k: Column) -> Column:
+    """``m`` without a key; ``map_get`` before it tells what goes."""
     return F.map_filter(m, lambda a, _: a != k)
 
 
+def map_contains(m: Column, k: Column) -> Column:
+    return F.map_contains_key(m, k)
+
+
+def map_keys(m: Column) -> Column:
+    """Keys in the order in which they were first put."""
+    return F.map_keys(m)
+
+
+def map_values(m: Column) -> Column:
+    return F.map_values(m)
+
+
+def map_clear(m: Column) -> Column:
+    return F.map_filter(m, lambda _, __: F.lit(False))
+
+
+# --- colours, names and errors --------------------------------------------------------------
+
+
+def enum_text(names: list[str], index: Column) -> Column:
+    """The name at an index, held within the list; empty if there is none."""
+    if not names:
+        return F.lit("")
+    return F.element_at(F.array(*map(F.lit, names)), F.greatest(F.least(index, F.lit(len(names) - 1)), F.lit(0)) + 1)
+
+
+def runtime_error(condition: Column, message: str, value: Column) -> Column:
+    """``value``, but an error that stops the query where ``condition`` holds."""
+    return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)
+
+
+def with_transparency(color: Column, percent: float) -> Column:
+    """A packed colour at another transparency."""
+    return color.bitwiseAND(F.lit(0xFFFFFF)).bitwiseOR(F.lit(round(255 * (1 - percent / 100)) << 24))
+
+
 # --- matrices -------------------------------------------------------------------------------
 
 
@@ -262,40 +362,72 @@ def matrix_is(m: Column, what: str) -> Column:
 
 
 def _linear(fn, kind: T.DataType):  # noqa: ANN001, ANN202
-    """A pandas UDF that applies ``fn`` to each matrix as a NumPy array, NULL where it can't."""
+    """A pandas UDF that applies ``fn`` to stacks of matrices of one shape, NULL where it can't or a matrix is none."""
 
     @F.pandas_udf(kind)
     def run(matrices: pd.Series) -> pd.Series:
-        def one(m):  # noqa: ANN001, ANN202
-            try:
-                return None if m is None else fn(np.array([list(r) for r in m], dtype=float))
-            except (np.linalg.LinAlgError, ValueError):
-                return None
-
-        return matrices.map(one)
+        shapes: dict[tuple[int, ...], list[int]] = {}
+        arrays: dict[int, np.ndarray] = {}
+        for k, m in enumerate(matrices):
+            if m is not None and len({len(r) for r in m}) <= 1:
+                arrays[k] = np.array([list(r) for r in m], dtype=float).reshape(len(m), -1 if len(m) else 0)
+                shapes.setdefault(arrays[k].shape, []).append(k)
+        out: list = [None] * len(matrices)
+        for rows in shapes.values():
+            for k, value in zip(rows, _stacked(fn, np.stack([arrays[k] for k in rows]))):
+                out[k] = value
+        return pd.Series(out, dtype=object)
 
     return run
 
 
-matrix_det = _linear(lambda m: float(np.linalg.det(m)), T.DoubleType())
-matrix_rank = _linear(lambda m: int(np.linalg.matrix_rank(m)), T.IntegerType())
-matrix_inv = _linear(lambda m: np.linalg.inv(m).tolist(), T.ArrayType(T.ArrayType(T.DoubleType())))
-matrix_pinv = _linear(lambda m: np.linalg.pinv(m).tolist(), T.ArrayType(T.ArrayType(T.DoubleType())))
-matrix_eigenvalues = _linear(lambda m: sorted(np.linalg.eigvals(m).real.tolist(), reverse=True), T.ArrayType(T.DoubleType()))
+def _stacked(fn, stack: np.ndarray) -> list:  # noqa: ANN001
+    """``fn`` of a whole stack; one by one if some matrix in it has no result."""
+    try:
+        return list(fn(stack))
+    except (np.linalg.LinAlgError, ValueError):
+        if len(stack) == 1:
+            return [None]
+        return [x for m in stack for x in _stacked(fn, m[None])]
 
 
 def _square(m: np.ndarray) -> bool:
-    return m.ndim == 2 and m.shape[0] == m.shape[1] and bool(np.isfinite(m).all())
+    return m.shape[-1] == m.shape[-2] and bool(np.isfinite(m).all())
+
+
+def _powers(m: np.ndarray, n: int) -> list:
+    if m.shape[-1] != m.shape[-2]:
+        return [[]] * len(m)
+    fine = np.isfinite(m).all(axis=(1, 2))
+    found = np.linalg.matrix_power(np.where(fine[:, None, None], m, 0.0), max(0, n))
+    return [x if ok else [] for x, ok in zip(found.tolist(), fine)]
+
+
+def _vectors(m: np.ndarray) -> list:
+    """Real parts of unit eigenvectors, as columns."""
+    return [[] if not _square(x) else (np.linalg.eigh(x)[1] if np.allclose(x, x.T, rtol=0, atol=1e-10) else np.linalg.eig(x)[1].real).tolist() for x in m]
+
+
+_MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
+matrix_det = _linear(lambda m: [None] * len(m) if m.shape[-1] != m.shape[-2] else np.linalg.det(m).tolist(), T.DoubleType())
+matrix_rank = _linear(lambda m: np.linalg.matrix_rank(m).astype(int).tolist(), T.IntegerType())
+matrix_inv = _linear(lambda m: np.linalg.inv(m).tolist(), _MATRIX)
+matrix_pinv = _linear(lambda m: np.linalg.pinv(m).tolist(), _MATRIX)
+matrix_eigenvalues = _linear(lambda m: np.sort(np.linalg.eigvals(m).real, axis=-1)[:, ::-1].tolist(), T.ArrayType(T.DoubleType()))
 
 
 def matrix_pow(m: Column, n: int) -> Column:
     """``m`` multiplied by itself; the identity for n < 1, no rows unless it is square and finite."""
-    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
-    return _linear(lambda x: np.linalg.matrix_power(x, max(0, n)).tolist() if _square(x) else [], kind)(m)
+    return _linear(lambda x: _powers(x, n), _MATRIX)(m)
 
 
 #: Unit eigenvectors as columns (real parts), ascending for symmetric matrices; no rows unless the matrix is square and finite.
-matrix_eigenvectors = _linear(
-    lambda m: [] if not _square(m) else (np.linalg.eigh(m)[1] if np.allclose(m, m.T, rtol=0, atol=1e-10) else np.linalg.eig(m)[1].real).tolist(),
-    T.ArrayType(T.ArrayType(T.DoubleType())),
-)
+matrix_eigenvectors = _linear(_vectors, _MATRIX)
+
+
+def matrix_rows(m: Column) -> Column:
+    return F.size(m)
+
+
+def matrix_columns(m: Column) -> Column:
+    return F.when(F.size(m) == 0, 0).otherwise(F.size(F.try_element_at(m, F.lit(1))))

@@ -89,9 +89,10 @@ def linreg(s: Series, x: Column, n: int, offset: int = 0) -> Column:
 
 
 def percent_rank(s: Series, x: Column, n: int) -> Column:
-    """Percent of the n values before that don't exceed this one."""
+    """Percent of the n slots before that hold a value which doesn't exceed this one; NULL if none holds a value."""
     before = F.collect_list(x).over(s.slots().rowsBetween(-n, -1))
-    return s.ripe(n + 1, F.when(x.isNotNull(), 100.0 * F.size(F.filter(before, lambda v: v <= x + 1e-10)) / n))
+    share = 100.0 * F.size(F.filter(before, lambda v: v <= x + 1e-10)) / n
+    return s.ripe(n + 1, F.when(x.isNotNull() & (F.size(before) > 0), share))
 
 
 def percentile_nearest(s: Series, x: Column, n: int, percent: float) -> Column:

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -217,19 +218,29 @@ def heikin_ashi(out: str) -> Spec:
 
 
 def recur(df: DataFrame, specs: list[Spec], keys: tuple[str, ...] = ("symbol",), time: str = "ts") -> DataFrame:
-    """``df`` with the outputs of all specs, by one shuffle on the series' keys and one pass over each."""
+    """``df`` with the outputs of all specs, by one shuffle on the series' keys and one pass over each.
+
+    Other columns pass through as they came; outputs are arrays of numbers with a mask of what is missing.
+    """
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for s in specs for o in s.outputs]])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(time, kind="stable").reset_index(drop=True)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(time)
+        found: dict[str, np.ndarray] = {}
         for spec in specs:
-            columns = [rows[c].to_numpy(dtype=np.float64) for c in spec.inputs]
+            columns = [found[c] if c in found else _floats(table[c]) for c in spec.inputs]
             there = ~np.isnan(np.stack(columns)).any(axis=0)
             results = spec.run(*[c[there] for c in columns]) if there.any() else [np.zeros(0)] * len(spec.outputs)
             for name, values in zip(spec.outputs, results):
-                whole = np.full(len(rows), NAN)
-                whole[there] = values
-                rows[name] = pd.Series(whole).astype(object).where(~np.isnan(whole), None)
-        return rows
+                found[name] = np.full(table.num_rows, NAN)
+                found[name][there] = values
+        for name, values in found.items():
+            table = table.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return table
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers, NaN where they are missing."""
+    return pc.fill_null(column.cast(pa.float64()), NAN).to_numpy()

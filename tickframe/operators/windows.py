@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -300,10 +300,16 @@ def bars_since(s: Series, condition: Column) -> Column:
     return n - F.last(F.when(condition, n), ignorenulls=True).over(s.running())
 
 
-def value_when(s: Series, condition: Column, x: Column, occurrence: int = 0) -> Column:
-    """x at the latest true condition but ``occurrence``."""
-    hits = F.collect_list(F.when(condition, F.struct(x.alias("v")))).over(s.running())
-    return F.try_element_at(hits, F.lit(-1 - occurrence))["v"]
+def value_when(df: DataFrame, s: Series, condition: Column, x: Column, occurrence: int, out: str) -> DataFrame:
+    """``df`` with x at the latest true condition but ``occurrence``.
+
+    Each true row looks back ``occurrence`` true rows; the others take what the last true row has.
+    """
+    hit = F.coalesce(condition, F.lit(False))
+    hits = Window.partitionBy(*s.keys, "_hit").orderBy(s.time)
+    rows = df.withColumns({"_hit": hit, "_x": x})
+    rows = rows.withColumn("_at", F.when(F.col("_hit"), F.struct(F.lag("_x", occurrence).over(hits).alias("v"))))
+    return rows.withColumn(out, F.last("_at", ignorenulls=True).over(s.running())["v"]).drop("_hit", "_x", "_at")
 
 
 def correlation(s: Series, x: Column, y: Column, n: int) -> Column:

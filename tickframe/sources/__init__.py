@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -58,13 +58,32 @@ def valid_ticks(ticks: DataFrame, price: str = "price", quantity: str = "quantit
 
 
 def fx_daily(closes: DataFrame, day: str = "day", rate: str = "rate") -> DataFrame:
-    """(ts, rate): the close of a day holds from the next midnight; rates that aren't positive raise an error."""
-    checked = F.when(F.col(rate) > 0, F.col(rate)).otherwise(F.raise_error(F.lit("a rate must be positive")))
-    return closes.select(F.date_add(F.col(day).cast("date"), 1).cast("timestamp_ntz").alias("ts"), checked.cast("double").alias("rate"))
+    """(ts, rate): the close of a day holds from the next midnight; a day that repeats, or a rate that isn't positive, raises an error."""
+    ts = F.date_add(F.col(day).cast("date"), 1).cast("timestamp_ntz")
+    return fx_points(closes.select(ts.alias("ts"), F.col(rate).cast("double").alias("rate")))
 
 
 def fx_points(points: DataFrame, ts: str = "ts", rate: str = "rate") -> DataFrame:
-    """(ts, rate) as given; times that don't rise or rates that aren't positive raise an error. A curve is small."""
-    before = F.lag(ts).over(Window.orderBy(F.monotonically_increasing_id()))
-    bad = (F.col(rate) <= 0) | F.col(rate).isNull() | (F.col(ts) <= before)
-    return points.select(ts, F.when(bad, F.raise_error(F.lit("points must rise in time and be positive"))).otherwise(F.col(rate)).alias("rate"))
+    """(ts, rate) in the order of time; a time that repeats, or a rate that isn't positive and finite, raises an error."""
+    found = points.groupBy(F.col(ts).alias("ts")).agg(F.first(rate).alias("rate"), F.count("*").alias("_n"))
+    bad = (F.col("_n") > 1) | F.col("ts").isNull() | F.col("rate").isNull() | F.isnan("rate") | (F.col("rate") <= 0) | (F.col("rate") == float("inf"))
+    return found.select("ts", F.when(bad, F.raise_error(F.lit("times must not repeat and rates must be positive"))).otherwise(F.col("rate")).cast("double").alias("rate"))
+
+
+def read_fx(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, rate) from JSON: one object of days and closes, or an object with lists timestamps_ms and rates, or points of t and rate."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    listed = F.from_json("value", "timestamps_ms array<long>, rates array<double>, points array<struct<t: long, rate: double>>")
+    rows = whole.select(listed.alias("j"), F.from_json("value", "map<string, double>").alias("m"))
+    lists = rows.select(F.explode(F.arrays_zip("j.timestamps_ms", "j.rates")).alias("p")).select(F.timestamp_millis("p.timestamps_ms").cast("timestamp_ntz").alias("ts"), F.col("p.rates").alias("rate"))
+    points = rows.select(F.explode("j.points").alias("p")).select(F.timestamp_millis("p.t").cast("timestamp_ntz").alias("ts"), F.col("p.rate").alias("rate"))
+    days = rows.where("j.timestamps_ms is null and j.points is null").select(F.explode("m").alias("day", "rate")).select(F.date_add(F.col("day").cast("date"), 1).cast("timestamp_ntz").alias("ts"), "rate")
+    return fx_points(lists.unionAll(points).unionAll(days))
+
+
+def account_rates(curve: DataFrame, most: int = 100_000) -> tuple[tuple[object, float], ...]:
+    """A curve as what an account holds; more than ``most`` points raise an error."""
+    rows = curve.orderBy("ts").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a curve has at most {most} points")
+    return tuple((r["ts"], r["rate"]) for r in rows)
