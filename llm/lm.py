@@ -187,6 +187,14 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
+#: Classes of words by the binary logarithm of their counts: commoner words have smaller numbers, which are shorter.
+CLASSES = 48
+
+
+def _classes(counts: np.ndarray) -> np.ndarray:
+    return CLASSES - 1 - np.minimum(np.log2(counts).astype(np.int64), CLASSES - 1)
+
+
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Where rows of sorted columns begin to differ from the row before."""
     if not len(columns[0]):
@@ -207,42 +215,67 @@ def _hash(*words: np.ndarray) -> np.ndarray:
 
 
 def _table(name: str, key: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a table sorted by 64-bit hash: the first 16 bits as an index, the next 32, and columns of small counts.
+    """Arrays of a table sorted by 64-bit hash: the first 16 bits as an index, the next 32, and a byte for the columns.
 
-    Counts beyond 254 are kept apart, with their places. Entries of a table share their first bits with
-    chance only, so one unknown key in 2**48 over the entries is taken for a known one.
+    The byte names one of the 255 commonest rows of columns; other rows are kept apart, with their places.
+    An unknown key is taken for a known one once in 2**48 over the number of entries.
     """
     order = np.argsort(key)
     key = key[order]
-    found = {f"{name}.index": np.searchsorted(key >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32), f"{name}.rest": (key >> np.uint64(16)).astype(np.uint32)}
-    for column, values in columns.items():
-        own = values[order]
-        large = np.flatnonzero(own >= 255)
-        found |= {f"{name}.{column}": np.minimum(own, 255).astype(np.uint8), f"{name}.{column}.at": large, f"{name}.{column}.large": own[large].astype(np.int64)}
-    return found
-
-
-def _find(arrays: dict[str, np.ndarray], name: str, key: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
+    values = np.column_stack([c[order] for c in columns.values()]).astype(np.int64)
+    small = (values < 1 << 16).all(axis=1)
+    joined = np.zeros(len(values), dtype=np.uint64)
+    for c in values.T:
+        joined = joined << np.uint64(16) | (c & 0xFFFF).astype(np.uint64)
+    kinds, first, at, often = np.unique(joined[small], return_index=True, return_inverse=True, return_counts=True)
+    chosen = np.argsort(-often, kind="stable")[:255]
+    code_of = np.full(len(kinds), 255, dtype=np.uint8)
+    code_of[chosen] = np.arange(len(chosen))
+    code = np.full(len(values), 255, dtype=np.uint8)
+    code[small] = code_of[at]
+    apart = np.flatnonzero(code == 255)
+    rest = values[apart]
+    return {
+        f"{name}.index": np.searchsorted(key >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32),
+        f"{name}.rest": (key >> np.uint64(16)).astype(np.uint32),
+        f"{name}.code": code,
+        f"{name}.rows": values[np.flatnonzero(small)[first[chosen]]].ravel(),
+        f"{name}.at": apart.astype(np.uint32),
+        f"{name}.apart": rest.astype(np.uint32 if not rest.size or rest.max() < 1 << 32 else np.int64).ravel(),
+    }
+
+
+_KEYS: dict[tuple[int, str], tuple[object, np.ndarray]] = {}
+
+
+def _keys(arrays: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """The 48-bit keys of a table, made of index and rest; those of the last few tables are kept."""
+    own = id(arrays), name
+    if own not in _KEYS or _KEYS[own][0] is not arrays:
+        while len(_KEYS) >= 4:
+            del _KEYS[next(iter(_KEYS))]
+        index = arrays[f"{name}.index"].astype(np.int64)
+        _KEYS[own] = arrays, np.repeat(np.arange(1 << 16, dtype=np.uint64) << np.uint64(32), np.diff(index)) | arrays[f"{name}.rest"]
+    return _KEYS[own][1]
+
+
+def _find(arrays: dict[str, np.ndarray], name: str, key: np.ndarray, columns: int) -> list[np.ndarray]:
     """Columns of a table for hashes; zeros where the table has none."""
-    index, rest = arrays[f"{name}.index"], arrays[f"{name}.rest"]
-    if not len(rest) or not len(key):
-        return [np.zeros(len(key), dtype=np.int64) for _ in columns]
-    bucket, sought = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(16)).astype(np.uint32)
-    low, high = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
-    end = high.copy()
-    while (low < high).any():  # binary search of all keys at once
-        middle = (low + high) // 2
-        less = (low < high) & (rest[np.minimum(middle, len(rest) - 1)] < sought)
-        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-    at = np.minimum(low, len(rest) - 1)
-    hit = (low < end) & (rest[at] == sought)
-    found = []
-    for column in columns:
-        counts = np.where(hit, arrays[f"{name}.{column}"][at], 0).astype(np.int64)
-        large = counts == 255
-        counts[large] = arrays[f"{name}.{column}.large"][np.searchsorted(arrays[f"{name}.{column}.at"], at[large])]
-        found.append(counts)
-    return found
+    found = np.zeros((len(key), columns), dtype=np.int64)
+    if len(arrays[f"{name}.rest"]) and len(key):
+        known = _keys(arrays, name)
+        order = np.argsort(key)  # sorted keys are searched along the table, not across it
+        sought = key[order] >> np.uint64(16)
+        at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+        hit = known[at] == sought
+        at, order = at[hit], order[hit]
+        code = arrays[f"{name}.code"][at]
+        rows = arrays[f"{name}.rows"].reshape(-1, columns)
+        if len(rows):
+            found[order] = rows[np.minimum(code, len(rows) - 1)]
+        large = code == 255
+        found[order[large]] = arrays[f"{name}.apart"].reshape(-1, columns)[np.searchsorted(arrays[f"{name}.at"], at[large])]
+    return list(found.T)
 
 
 def _tallied(group: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -262,7 +295,8 @@ class Model:
     """Where the arrays lie, and the numbers that all of it share."""
 
     folder: str
-    offsets: np.ndarray
+    #: Words of each vocabulary file and class of frequency, and their first numbers, class by class.
+    sizes: np.ndarray
     documents: int
     order: int = ORDER
     often: int = COMMON
@@ -277,6 +311,10 @@ class Model:
     written: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
     common_written: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
 
+    def __post_init__(self) -> None:
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes.T.ravel())])
+        self.places = np.cumsum(self.sizes, axis=1) - self.sizes
+
     @property
     def size(self) -> int:
         """Words of the vocabulary, the start among them."""
@@ -290,24 +328,35 @@ class Model:
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of distinct sorted word hashes; the number of an unknown word is ``size``."""
         ids, counts = np.full(len(words), self.size, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        for v, a, b in _parts(words >> np.uint64(64 - self.word_bits), 1 << self.word_bits):
-            if self.offsets[v] == self.offsets[v + 1]:
+        files = len(self.sizes)
+        for v, a, b in _parts(words >> np.uint64(64 - self.word_bits), files):
+            if not self.sizes[v].any():
                 continue
             arrays = mapped(f"{self.folder}/words-{v}")
             at = np.minimum(np.searchsorted(arrays["hash"], words[a:b]), len(arrays["hash"]) - 1)
-            hit = arrays["hash"][at] == words[a:b]
-            ids[a:b] = np.where(hit, self.offsets[v] + at, self.size)
-            counts[a:b] = np.where(hit, arrays["count"][at], 0)
+            hit = np.flatnonzero(arrays["hash"][at] == words[a:b])
+            place = arrays["place"][at[hit]].astype(np.int64)
+            n = arrays["count"][place]
+            kind = _classes(n)
+            ids[a + hit], counts[a + hit] = self.offsets[kind * files + v] + place - self.places[v, kind], n
         return ids, counts
 
+    def located(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(file, which of the sorted known word numbers lie in it, their places there)."""
+        files = len(self.sizes)
+        slot = np.searchsorted(self.offsets, ids, side="right") - 1
+        file, kind = slot % files, slot // files
+        place = self.places[file, kind] + ids - self.offsets[slot]
+        order = np.argsort(file, kind="stable")
+        for v, a, b in _parts(file[order], files):
+            yield v, order[a:b], place[order[a:b]]
+
     def statistics(self, ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Columns of the vocabulary for distinct sorted word numbers; an unknown word has zeros."""
         found = [np.zeros(len(ids), dtype=np.int64) for _ in names]
-        known = ids[ids < self.size]
-        for v, a, b in _parts(np.searchsorted(self.offsets, known, side="right") - 1, 1 << self.word_bits):
+        for v, some, place in self.located(ids[ids < self.size]):
             for column, name in zip(found, names):
-                kind = "words" if name == "count" else "stats"
-                column[a:b] = mapped(f"{self.folder}/{kind}-{v}")[name][known[a:b] - self.offsets[v]]
+                column[some] = mapped(f"{self.folder}/{'words' if name == 'count' else 'stats'}-{v}")[name][place]
         return found
 
     def shard_of(self, before: np.ndarray, pivot: np.ndarray, word: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -329,31 +378,33 @@ class Model:
         for s, a, b in _parts(shard[order], 1 << self.word_bits):
             if self.common_written[s]:
                 some = order[a:b]
-                found[some] = _find(mapped(f"{self.folder}/common-{s}"), "pairs", mix(key[some]), ("n",))[0]
+                found[some] = _find(mapped(f"{self.folder}/common-{s}"), "pairs", mix(key[some]), 1)[0]
         return found
 
     def log10(self, shard: int, before: np.ndarray, pivot: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of the interpolated probabilities of distinct n-grams of one shard."""
-        zeros = np.zeros(len(word), dtype=np.int64)
+        """log10 of the interpolated probabilities of distinct n-grams of one shard, sorted by pivot and the word before."""
         arrays = mapped(f"{self.folder}/ngrams-{shard}") if self.written[shard] else None
-        look = lambda name, key, columns: _find(arrays, name, key, columns) if arrays else [zeros] * len(columns)
+        look = lambda name, key, columns: _find(arrays, name, key, columns) if arrays else [np.zeros(len(key), dtype=np.int64)] * columns
         words, at = np.unique(word, return_inverse=True)
         follows = self.statistics(words, ("before",))[0][at]
         d = self.discounts[0]
         p = self.lower_mass / (self.distinct + 1) if self.types else 1.0 / (self.distinct + 1)
         p = p + np.maximum(follows - d[np.minimum(follows, 3)], 0.0) / max(1, self.types)
-        pivots, at = np.unique(pivot, return_inverse=True)
+        first = _runs(pivot)
+        pivots, at = pivot[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pivot))))
         seen = self.statistics(pivots, ("count", *TALLY))
-        common = self.common(seen[0])[at]
+        often = self.common(seen[0])
+        common = often[at]
         if self.order > 2:
-            counts = look("pairs", _hash(pivot, word), ("n",))[0]
+            counts = np.array(look("pairs", _hash(pivot, word), 1)[0])
             counts[common] = self.pairs_after_common(pivot[common], word[common])
-            tally = [np.where(common, after[at], own) for after, own in zip(seen[1:], look("pivots", mix(pivot.astype(np.uint64)), TALLY))]
+            tally = [np.where(often, after, own)[at] for after, own in zip(seen[1:], look("pivots", mix(pivots.astype(np.uint64)), 4))]
             p = _interpolated(counts, tally, self.discounts[1], p)
-        counts = look("ngrams", _hash(before, pivot, word), ("n",))[0]
-        unknown = (before >= self.size) | (pivot >= self.size) | (word >= self.size)
-        counts[unknown] = 0
-        tally = look("contexts", _hash(before, pivot), TALLY)
+        counts = np.array(look("ngrams", _hash(before, pivot, word), 1)[0])
+        counts[(before >= self.size) | (pivot >= self.size) | (word >= self.size)] = 0
+        first = _runs(pivot, before)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pivot))))
+        tally = [c[of] for c in look("contexts", _hash(before[first], pivot[first]), 4)]
         if self.order == 2:
             tally = [np.where(common, after[at], own) for after, own in zip(seen[1:], tally)]
         return np.log10(_interpolated(counts, tally, self.discounts[2], p))
@@ -423,19 +474,24 @@ def train(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     def store_words(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, n = merged(table)
-        put(f"{folder}/words-{shard}", hash=keys, count=n)
-        return pa.table({"shard": [shard], "size": [len(keys)], "tokens": [int(n.sum())], "documents": [int(n[keys == START].sum())]}, schema=pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())]))
+        kind = _classes(n)
+        order = np.argsort(kind, kind="stable")
+        place = np.empty(len(keys), dtype=np.uint32)
+        place[order] = np.arange(len(keys))
+        put(f"{folder}/words-{shard}", hash=keys, place=place, count=n[order])
+        sizes = np.bincount(kind, minlength=CLASSES).tolist()
+        return pa.table({"shard": [shard], "sizes": [sizes], "tokens": [int(n.sum())], "documents": [int(n[keys == START].sum())]}, schema=pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("tokens", pa.int64()), ("documents", pa.int64())]))
 
     counted = map_arrow(docs, words_of, "shard int, part int, payload binary")
     while partitions > FAN_IN:  # a tree, so that no task holds the arrays of all partitions
         counted = counted.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(merge_words, "shard int, part int, payload binary")
         partitions = -(-partitions // FAN_IN)
-    found = counted.groupBy("shard").applyInArrow(store_words, "shard int, size long, tokens long, documents long").collect()
-    sizes = np.zeros(vocabulary + 1, dtype=np.int64)
+    found = counted.groupBy("shard").applyInArrow(store_words, "shard int, sizes array<long>, tokens long, documents long").collect()
+    sizes = np.zeros((vocabulary, CLASSES), dtype=np.int64)
     for r in found:
-        sizes[r["shard"] + 1] = r["size"]
+        sizes[r["shard"]] = r["sizes"]
     documents = sum(r["documents"] for r in found)
-    model = Model(folder, np.cumsum(sizes), documents, order, COMMON, tokens=sum(r["tokens"] for r in found) - documents, word_bits=word_bits)
+    model = Model(folder, sizes, documents, order, COMMON, tokens=sum(r["tokens"] for r in found) - documents, word_bits=word_bits)
     if model.size >= 1 << 32:
         raise ValueError(f"{model.size} distinct words; word numbers have 32 bits")
     while model.tokens > SHARD_TOKENS << model.bits:
@@ -470,15 +526,15 @@ def _count(docs: DataFrame, model: Model) -> None:
             shard, pivot, before, word = (x[at] for x in (shard, pivot, before, word))
             rows = []
             for v, a, b in _parts(shard, 1 << model.bits):
-                some = {"step": np.diff(pivot[a:b], prepend=0), "word": word[a:b], "count": n[a:b]} | ({"before": before[a:b]} if model.order > 2 else {})
+                some = {"step": np.diff(pivot[a:b], prepend=0), "word": word[a:b], "count": n[a:b]} | ({"before": np.diff(before[a:b], prepend=0)} if model.order > 2 else {})
                 rows.append((v, packed(**{k: x.astype(np.uint32) for k, x in some.items()})))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
 
     def deltas(kind: str, ids: np.ndarray, **columns: np.ndarray) -> list[tuple]:
         """Rows of columns of sorted distinct words, for the files of the vocabulary."""
         rows = []
-        for v, a, b in _parts(np.searchsorted(model.offsets, ids, side="right") - 1, vocabulary):
-            arrays = {"step": np.diff(ids[a:b], prepend=model.offsets[v])} | {c: x[a:b] for c, x in columns.items()}
+        for v, some, place in model.located(ids):
+            arrays = {"step": np.diff(place, prepend=0).astype(np.uint32)} | {c: x[some] for c, x in columns.items()}
             rows.append((kind, v, packed(**arrays), None))
         return rows
 
@@ -496,7 +552,7 @@ def _count(docs: DataFrame, model: Model) -> None:
         parts = [unpacked(p) for p in table["payload"].to_pylist()]
         pivot = np.concatenate([np.cumsum(p["step"].astype(np.int64)).astype(np.uint32) for p in parts])
         word, n = (np.concatenate([p[c] for p in parts]) for c in ("word", "count"))
-        before = np.concatenate([p["before"] for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
+        before = np.concatenate([np.cumsum(p["before"], dtype=np.uint32) for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
         del parts
         order = _sorted_by(pivot, before, word, np.zeros_like(word)) if model.order > 2 else _sorted_by(pivot, word)
         pivot, before, word, n = (x[order] for x in (pivot, before, word, n))
@@ -550,7 +606,7 @@ def _count(docs: DataFrame, model: Model) -> None:
             levels = [(f"types{k}", found[found[:, 0] == k][:, 1:6].sum(axis=0)) for k in (2, 3)]
             files = [(name, found[(found[:, 0] == k) & (found[:, 6] >= 0)][:, 6]) for name, k in (("common", 2), ("ngrams", 3))]
             return pa.table({"kind": [k for k, _ in levels + files], "n": [v.tolist() for _, v in levels + files]}, schema=SUMS)
-        size = int(model.offsets[shard + 1] - model.offsets[shard])
+        size = int(model.sizes[shard].sum())
         columns = {name: np.zeros(size, dtype=np.int64 if name == "total" else np.uint32) for name in ("before", *TALLY)}
         for payload in table["payload"].to_pylist():
             p = unpacked(payload)
@@ -565,7 +621,7 @@ def _count(docs: DataFrame, model: Model) -> None:
     counted = cut(counted, "lm-counted")
     common = counted.where("kind = 'common'").groupBy("shard").applyInArrow(store_common, COUNTED_DDL)
     none = np.zeros(0, dtype=np.uint32)  # a file for words that follow nothing, as the start
-    files = [("before", v, packed(step=none, before=none), None) for v in range(vocabulary) if model.offsets[v] < model.offsets[v + 1]]
+    files = [("before", v, packed(step=none, before=none), None) for v in range(vocabulary) if model.sizes[v].any()]
     common = common.unionAll(docs.sparkSession.createDataFrame(files, COUNTED_DDL))
     sums = {k: np.zeros(5, dtype=np.int64) for k in ("types2", "types3", "lower")}
     model.written, model.common_written = np.zeros(1 << model.bits, dtype=bool), np.zeros(vocabulary, dtype=bool)
@@ -617,7 +673,7 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
             rows = []
             for s, a, b in _parts(shard[order], shards):
                 some = order[a:b]
-                arrays = {"step": np.diff(pivot[some], prepend=0), "word": word[some], "doc": doc[some]} | ({"before": before[some]} if model.order > 2 else {})
+                arrays = {"step": np.diff(pivot[some], prepend=0), "word": word[some], "doc": doc[some]} | ({"before": np.diff(before[some], prepend=0)} if model.order > 2 else {})
                 rows.append((s, packed(**{k: x.astype(np.uint32) for k, x in arrays.items()})))
             whose = [pa.array([v] + [None] * len(rows), pa.list_(t)) for v, t in ((keys, key_type), (number_of[0].tolist(), pa.int64()), (number_of[1].tolist(), pa.int64()), (base.tolist(), pa.float64()))]
             yield pa.record_batch(
@@ -634,7 +690,7 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
                 continue
             p = unpacked(payload)
             pivot, word = np.cumsum(p["step"].astype(np.int64)), p["word"].astype(np.int64)
-            before = p["before"].astype(np.int64) if model.order > 2 else np.zeros(len(word), dtype=np.int64)
+            before = np.cumsum(p["before"], dtype=np.uint32).astype(np.int64) if model.order > 2 else np.zeros(len(word), dtype=np.int64)
             first = _runs(pivot, before, word)
             at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
             logs = model.log10(shard, before[first], pivot[first], word[first])
