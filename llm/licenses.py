@@ -260,9 +260,10 @@ def scan(
         places, blocks = [], []
         joined = b" " + b" ".join(own) + b" "
         for phrase, label in named:
-            at = joined.find(phrase)
+            at, before, word = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append({"label": label, "word": joined.count(b" ", 0, at)})
+                word, before = word + joined.count(b" ", before, at), at
+                places.append({"label": label, "word": word})
                 at = joined.find(phrase, at + 1)
         if not known.opens.keys().isdisjoint(own):
             blocks = [{"label": label, "block": first, "containment": c} for label, first, c in known.matches(own)]
