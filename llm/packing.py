@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ END = 0
 
 #: Texts with an unbroken run of so many characters are encoded by ``llm.bpe``, whose merging is not quadratic.
 RUN = 4096
+_BLANK = re.compile(rf"\s{{{RUN}}}")
 
 
 @functools.cache
@@ -38,7 +40,9 @@ def _library(path: str) -> tiktoken.Encoding:
 def tokens(path: str, text: str | None) -> np.ndarray:
     """Ids of a whole text, and id 0; strings of special tokens are ordinary text."""
     text = text or ""
-    if max(map(len, text.split()), default=0) >= RUN or " " * RUN in text or "\n" * RUN in text:
+    length = [len(w) for w in text.split()]
+    # White space of one kind or several is a piece too, where a text has so much of it.
+    if max(length, default=0) >= RUN or len(text) - sum(length) >= RUN and _BLANK.search(text):
         ids = next(encoder(path).encode_batch([text]))[0]
     else:
         ids = _library(path).encode_ordinary(text)
