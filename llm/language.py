@@ -63,10 +63,15 @@ class Model:
 
     def told(self, texts: list[str | None]) -> list[int]:
         """The numbers of the texts that have a letter, if anything was learned."""
-        return [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        return [k for k, t in enumerate(texts) if self.languages and _lettered(t)]
 
     def claimed(self, texts: list[str | None]) -> np.ndarray:
-        """Whether a learned language claims each text: its margin, not its share among the languages, is ``floor`` or more."""
+        """Whether a learned language claims each text: its margin, not its share among the languages, is ``floor`` or more.
+
+        Where no language was learned, none can be told from another, and a letter is enough.
+        """
+        if not self.languages:
+            return np.array([_lettered(t) for t in texts], dtype=bool)
         found = np.zeros(len(texts), dtype=bool)
         at = self.told(texts)
         for a in range(0, len(at), ROWS):
@@ -89,6 +94,10 @@ class Model:
         return names, scores
 
 
+def _lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 @functools.cache
 def _letters() -> np.ndarray:
     """Each code point, if it is a letter, else 0."""
@@ -129,7 +138,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     features = kernels @ root
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     model.weights = root @ np.linalg.solve(features.T @ features + RIDGE * np.eye(len(root)), features.T @ target)
-    best = (kernels @ model.weights).max(axis=1)[[any(map(str.isalpha, t)) for t in texts]]
+    best = (kernels @ model.weights).max(axis=1)[[_lettered(t) for t in texts]]
     model.floor = max(LEAST_MARGIN, CLAIM * float(np.quantile(best, TAIL))) if len(best) else LEAST_MARGIN
     return model
 
@@ -162,7 +171,10 @@ def identify(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without those that no learned language claims: no letter, or margins under the model's floor; all columns stay."""
+    """``docs`` without those that no learned language claims: no letter, or margins under the model's floor; all columns stay.
+
+    A model that has learned nothing claims all that have a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from llm.queries import VOCABULARY
 
 ODD = [
     None, "", " ", "a  b", "a \n b", " 's't'stop 're''ve'll", "'s", "''s'd", "x's!'t", " 　 a", "a\u0085b", "ß1²½Ⅷ漢字", "\x1c\x1d a", "\t\t x", "a" * 6000 + " " * 5000 + "!" * 700,
-    "\n\n\na", "a   ", "𝒳😀 😀😀'm", "<|endoftext|> text", "word " * 20000,
+    "\t" * 9000 + "a", " \t\u3000\n" * 3000, "\n\n\na", "a   ", "𝒳😀 😀😀'm", "<|endoftext|> text", "word " * 20000,
 ]
 SCHEMA = "doc_id long, text string, id string, score string, ids string"
 
@@ -101,6 +101,7 @@ def test_language(spark):
     assert language.keep_identified(frame(spark, test), model).count() == 41
     none = language.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in language.identify(frame(spark, test), none).collect()} == {"und"}
+    assert language.keep_identified(frame(spark, test), none).count() == 41 and language.identify(frame(spark, []), model).collect() == []
 
 
 def test_language_scripts_and_many_labels(spark):
@@ -213,7 +214,7 @@ def test_licenses_against_brute_force(spark):
     template = "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"
     nearly = " ".join(template.split()[:-2])
     texts = [
-        None, "", "Released under the MIT License.", "x under\nthe, mit-license under the mit license", "Licensed under CC BY-NC 4.0. cc by nc", "Apache License, Version 2", "the the license software",
+        None, "", "Released under the MIT License.", "x under\nthe, mit-license under the mit license", "Licensed under CC BY-NC 4.0. cc by nc", "Apache License, Version 2", "the the license software", "cc by nc " * 20000,
         f"before\n{nearly}\nafter", f"{' '.join(template.split()[:8])}", template * 300, "É" + "under the mit license", "under the mit licenseé",
     ]
     rows = {r.doc_id: r for r in licenses.digest(licenses.scan(frame(spark, texts))).collect()}
@@ -228,7 +229,7 @@ def test_licenses_against_brute_force(spark):
         assert (r.n_words, r.n_base) == (len(words), len(at))
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
         assert r.base_labels == ",".join(sorted({label for _, label in at})) and r.labels == ",".join(sorted({label for _, label in at} | blocks))
-    assert rows[7].labels == "isc" and rows[8].labels == ""
+    assert rows[8].labels == "isc" and rows[9].labels == ""
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
