@@ -150,16 +150,43 @@ def ngrams(words: np.ndarray, counts: np.ndarray, start: int, end: int, order: i
     return doc, *before, word
 
 
-def numbered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of each n-gram of the texts: document; numbers of the word two before (0 in a bigram model), of the word before and of
-    the word; training counts of the latter two."""
+@dataclass
+class Numbered:
+    """The n-grams of some texts: document, numbers of the word two before (0 in a bigram model), of the word before and of the
+    word, its training count, and the shard; their order by shard and n-gram, and where in it new ones begin."""
+
+    doc: np.ndarray
+    before: np.ndarray
+    pivot: np.ndarray
+    word: np.ndarray
+    seen: np.ndarray
+    shard: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+
+
+def numbered(model: Model, texts: list[str | None]) -> Numbered:
     words, counts = tokenised(texts)
     distinct, at = np.unique(np.concatenate([words, [START, END]]), return_inverse=True)
     ids, seen = model.lookup(distinct)
-    ids, seen = ids[at], seen[at]
-    doc, *before, word = ngrams(ids[:-2], counts, ids[-2], ids[-1], model.order)
-    _, pivot, own = ngrams(seen[:-2], counts, seen[-2], seen[-1], 2)
-    return doc, before[-2] if model.order > 2 else np.zeros(len(doc), dtype=np.int64), before[-1], word, pivot, own
+    by = np.argsort(ids, kind="stable")  # words of these texts are few: by their ranks an n-gram is one number
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.arange(len(by))
+    ids, seen, at = ids[by], seen[by], rank[at]
+    doc, *context, word = ngrams(at[:-2], counts, at[-2], at[-1], model.order)
+    pivot = context[-1]
+    before = context[-2] if model.order > 2 else np.zeros(len(doc), dtype=np.int64)
+    numbers = (ids[before] if model.order > 2 else before), ids[pivot], ids[word]
+    shard = model.shard_of(*numbers, seen[pivot])
+    bits = len(ids).bit_length()
+    if 3 * bits + model.bits < 64:
+        key = ((shard << bits | pivot) << bits | before) << bits | word
+        order = np.argsort(key)
+        first = _runs(key[order])
+    else:
+        order = _sorted_by(shard, pivot, before, word)
+        first = _runs(*(x[order] for x in (shard, pivot, before, word)))
+    return Numbered(doc, *numbers, seen[word], shard, order, first)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
@@ -245,17 +272,20 @@ def _table(name: str, key: np.ndarray, **columns: np.ndarray) -> dict[str, np.nd
     }
 
 
+#: Bytes of keys that a worker keeps.
+KEYS = 96 << 20
 _KEYS: dict[tuple[int, str], tuple[object, np.ndarray]] = {}
 
 
 def _keys(arrays: dict[str, np.ndarray], name: str) -> np.ndarray:
-    """The 48-bit keys of a table, made of index and rest; those of the last few tables are kept."""
+    """The 48-bit keys of a table, made of index and rest; those of the tables looked at last are kept."""
     own = id(arrays), name
     if own not in _KEYS or _KEYS[own][0] is not arrays:
-        while len(_KEYS) >= 4:
-            del _KEYS[next(iter(_KEYS))]
         index = arrays[f"{name}.index"].astype(np.int64)
-        _KEYS[own] = arrays, np.repeat(np.arange(1 << 16, dtype=np.uint64) << np.uint64(32), np.diff(index)) | arrays[f"{name}.rest"]
+        key = np.repeat(np.arange(1 << 16, dtype=np.uint64) << np.uint64(32), np.diff(index)) | arrays[f"{name}.rest"]
+        while _KEYS and sum(k.nbytes for _, k in _KEYS.values()) + key.nbytes > KEYS:
+            del _KEYS[next(iter(_KEYS))]
+        _KEYS[own] = arrays, key
     return _KEYS[own][1]
 
 
@@ -507,7 +537,8 @@ SUMS = pa.schema([("kind", pa.string()), ("n", pa.list_(pa.int64()))])
 
 def _sorted_by(*columns: np.ndarray) -> np.ndarray:
     """The order of rows by their columns of 32-bit numbers, the first first, two at a time."""
-    keys = [columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1].astype(np.uint64) for k in range(0, len(columns), 2)]
+    keys = [columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1].astype(np.uint64) for k in range(0, len(columns) - 1, 2)]
+    keys += [columns[-1]] * (len(columns) % 2)
     return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
@@ -517,13 +548,10 @@ def _count(docs: DataFrame, model: Model) -> None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, 1):
-            _, before, pivot, word, seen, _ = numbered(model, texts)
-            shard = model.shard_of(before, pivot, word, seen)
-            order = _sorted_by(shard, pivot, before, word)
-            shard, pivot, before, word = (x[order] for x in (shard, pivot, before, word))
-            at = _runs(shard, pivot, before, word)
-            n = np.diff(np.append(at, len(shard)))
-            shard, pivot, before, word = (x[at] for x in (shard, pivot, before, word))
+            found = numbered(model, texts)
+            n = np.diff(np.append(found.first, len(found.order)))
+            at = found.order[found.first]
+            shard, pivot, before, word = (x[at] for x in (found.shard, found.pivot, found.before, found.word))
             rows = []
             for v, a, b in _parts(shard, 1 << model.bits):
                 some = {"step": np.diff(pivot[a:b], prepend=0), "word": word[a:b], "count": n[a:b]} | ({"before": np.diff(before[a:b], prepend=0)} if model.order > 2 else {})
@@ -554,7 +582,7 @@ def _count(docs: DataFrame, model: Model) -> None:
         word, n = (np.concatenate([p[c] for p in parts]) for c in ("word", "count"))
         before = np.concatenate([np.cumsum(p["before"], dtype=np.uint32) for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
         del parts
-        order = _sorted_by(pivot, before, word, np.zeros_like(word)) if model.order > 2 else _sorted_by(pivot, word)
+        order = _sorted_by(pivot, before, word) if model.order > 2 else _sorted_by(pivot, word)
         pivot, before, word, n = (x[order] for x in (pivot, before, word, n))
         at = _runs(pivot, before, word)
         n = np.add.reduceat(n.astype(np.int64), at)
@@ -665,11 +693,11 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
 
         for number, (keys, texts) in enumerate(chunks(typed(batches), 1)):
             chunk = part << 32 | number
-            doc, before, pivot, word, common, seen = numbered(model, texts)
+            found = numbered(model, texts)
+            doc, before, pivot, word, seen = found.doc, found.before, found.pivot, found.word, found.seen
             base = np.bincount(doc, weights=np.log10((seen + 1.0) / (model.tokens + model.distinct + 1.0)), minlength=len(keys))
             number_of = np.bincount(doc, minlength=len(keys)), np.bincount(doc, weights=seen > 0, minlength=len(keys)).astype(np.int64)
-            shard = model.shard_of(before, pivot, word, common)
-            order = _sorted_by(shard, pivot, before, word)  # by n-gram, then by document
+            shard, order = found.shard, found.order
             rows = []
             for s, a, b in _parts(shard[order], shards):
                 some = order[a:b]
