@@ -48,13 +48,30 @@ def cut(df: DataFrame, name: str, pieces: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     (df if pieces is None else df.coalesce(pieces)).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more, and let go of the shuffles that made them.
+
+    Spark deletes a shuffle's files when the driver's collector finds that nothing refers to it,
+    which in a long row of queries may be late.
+    """
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
+    tables[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, once their results have been read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}")
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType, rows: int = TEXT_ROWS) -> DataFrame:
@@ -138,7 +155,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low = cut(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name, pieces)
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
-        edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, pieces)
+        before, edges = edges, cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, pieces)
+        drop(before, low, large)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -149,7 +167,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 def shared_buckets(rows: DataFrame, key: str, name: str) -> DataFrame:
     """``rows`` of buckets with two members or more, with their number as ``members``; a scratch table."""
     counts = cut(rows.groupBy(key).agg(F.count("*").alias("members")).where("members > 1"), name)
-    return cut(rows.join(counts, key), name)
+    found = cut(rows.join(counts, key), name)
+    drop(counts)
+    return found
 
 
 def tiles(rows: DataFrame, key: str, ident: str, block: int) -> DataFrame:

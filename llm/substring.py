@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Forest, components, cut, map_arrow, segments, shared_buckets, text_bytes, tiles
+from llm.common import Forest, components, cut, drop, map_arrow, segments, shared_buckets, text_bytes, tiles
 from llm.words import hashes, mix, shingles, spans, sums
 
 SHINGLE = 5
@@ -249,7 +249,7 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
             at = np.unique(own.leasts()[1])
             yield pa.record_batch([pa.array(own.keys(at)), pa.array(owners[own.owner(at)])], names=["key", "doc"])
 
-    rows = cut(map_arrow(docs, anchors, "key long, doc long"), "substring-anchor-places")
+    rows = anchored = cut(map_arrow(docs, anchors, "key long, doc long"), "substring-anchor-places")
     shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("key").alias("_key"))
     # Joins by a passage's words are between scratch tables: adaptive execution can then split a common one.
     shared = cut(shared, "substring-anchors")
@@ -266,6 +266,8 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     rows = docs.join(wanted.hint("merge"), F.col("doc") == F.col("_doc")).select("doc", "text", "keys", "spans")
     rows = cut(map_arrow(rows, around, "anchor long, whole long, doc long, start long, size long, first long, words long, clean boolean, parted boolean, runs array<long>"), "substring-runs")
+    drop(anchored, shared)
+    runs = rows
     even = (F.min("whole") == F.max("whole")) & ~F.max("parted")
     shared = rows.groupBy(F.col("anchor").alias("_anchor")).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), even.alias("even")).where("low < high")
     rows = rows.join(cut(shared.select("_anchor", "even"), "substring-even").hint("merge"), F.col("anchor") == F.col("_anchor"))
@@ -285,7 +287,9 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.record_batch([*(pa.array(c[keep].astype(np.int64)) for c in columns), pa.array((place & 1 == 1)[keep])], names=SPREAD)
 
     rows = rows.select("whole", "doc", "start", "size", "first", "words", "clean", "anchor", "runs", "even")
-    return cut(map_arrow(rows, spread, "key long, doc long, start long, size long, first long, words long, clean boolean"), "substring-passages")
+    found = cut(map_arrow(rows, spread, "key long, doc long, start long, size long, first long, words long, clean boolean"), "substring-passages")
+    drop(runs)
+    return found
 
 
 SPREAD = ["key", "doc", "start", "size", "first", "words", "clean"]
@@ -349,9 +353,11 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     members = shared_buckets(lines.select(F.explode("bands").alias("bucket"), "key"), "bucket", "substring-buckets")
     edges = _similar(tiles(members.join(_contents(docs, lines, members), "key"), "bucket", "key", BLOCK), least)
     roots = components(edges, "substring-cc")
+    drop(members)
     repeated = (F.col("low") < F.col("high")).alias("repeated")
     owned = cut(lines.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low", "high", "top", repeated), "substring-owner")
     group = owned.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("top").alias("top")).where("low < high").drop("high")
+    drop(lines)
     flagged = owned.select("key", "root", "repeated", F.col("top").alias("_own")).join(group, F.col("root") == F.col("_root"))
     flagged = cut(flagged.select("key", "root", "low", "top", "repeated", F.coalesce(F.col("_own") == F.col("top"), F.lit(False)).alias("exact")), "substring-flagged")
 
@@ -363,8 +369,9 @@ def _parts(docs: DataFrame, least: float) -> DataFrame:
     # A run that stays as the copy of others keeps its lines, but for those that stay elsewhere word for word.
     inner = cut(inner.where("exact or not clean or not coalesce(_repeated, false)").drop("_key", "_top", "_repeated"), "substring-inner")
     owner = inner.where("top is null").groupBy(F.col("root").alias("_root")).agg(F.min(F.when(F.col("clean"), F.col("doc"))).alias("own"))
-    inner = inner.join(owner, F.col("root") == F.col("_root"), "left").withColumn("own", F.coalesce("top", "own"))
-    known = cut(_decided(whole, "top").unionAll(_decided(inner, "own")), "substring-known")
+    lines_of_runs = inner.join(owner, F.col("root") == F.col("_root"), "left").withColumn("own", F.coalesce("top", "own"))
+    known = cut(_decided(whole, "top").unionAll(_decided(lines_of_runs, "own")), "substring-known")
+    drop(owned, flagged, places, inner)
 
     gone = known.where(F.col("kind") == GOES).groupBy(F.col("doc").alias("_gone")).agg(F.collect_list(F.struct("first", "last", "exact")).alias("spans"))
     passages = _passages(docs, gone)
