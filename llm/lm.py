@@ -254,19 +254,19 @@ def _table(name: str, key: np.ndarray, **columns: np.ndarray) -> dict[str, np.nd
     joined = np.zeros(len(values), dtype=np.uint64)
     for c in values.T:
         joined = joined << np.uint64(16) | (c & 0xFFFF).astype(np.uint64)
-    kinds, first, at, often = np.unique(joined[small], return_index=True, return_inverse=True, return_counts=True)
-    chosen = np.argsort(-often, kind="stable")[:255]
-    code_of = np.full(len(kinds), 255, dtype=np.uint8)
-    code_of[chosen] = np.arange(len(chosen))
-    code = np.full(len(values), 255, dtype=np.uint8)
-    code[small] = code_of[at]
+    kinds, often = np.unique(joined[small], return_counts=True)
+    chosen = np.sort(kinds[np.argsort(-often, kind="stable")[:255]])
+    at = np.searchsorted(chosen, joined)
+    named = small & (at < len(chosen))
+    named[named] = chosen[at[named]] == joined[named]
+    code = np.where(named, at, 255).astype(np.uint8)
     apart = np.flatnonzero(code == 255)
     rest = values[apart]
     return {
         f"{name}.index": np.searchsorted(key >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32),
         f"{name}.rest": (key >> np.uint64(16)).astype(np.uint32),
         f"{name}.code": code,
-        f"{name}.rows": values[np.flatnonzero(small)[first[chosen]]].ravel(),
+        f"{name}.rows": np.column_stack([(chosen >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) for k in range(len(columns) - 1, -1, -1)]).ravel(),
         f"{name}.at": apart.astype(np.uint32),
         f"{name}.apart": rest.astype(np.uint32 if not rest.size or rest.max() < 1 << 32 else np.int64).ravel(),
     }
@@ -582,13 +582,18 @@ def _count(docs: DataFrame, model: Model) -> None:
         word, n = (np.concatenate([p[c] for p in parts]) for c in ("word", "count"))
         before = np.concatenate([np.cumsum(p["before"], dtype=np.uint32) for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
         del parts
-        order = _sorted_by(pivot, before, word) if model.order > 2 else _sorted_by(pivot, word)
+        pivots, bits = np.unique(pivot), model.size.bit_length()
+        if len(pivots).bit_length() + 2 * bits < 64:
+            rank = np.searchsorted(pivots, pivot).astype(np.uint64)
+            order = np.argsort((rank << np.uint64(bits) | before) << np.uint64(bits) | word)
+        else:
+            order = _sorted_by(pivot, before, word)
         pivot, before, word, n = (x[order] for x in (pivot, before, word, n))
         at = _runs(pivot, before, word)
         n = np.add.reduceat(n.astype(np.int64), at)
         pivot, before, word = (x[at].astype(np.int64) for x in (pivot, before, word))
-        pivots, of = np.unique(pivot, return_inverse=True)
-        common = model.common(model.statistics(pivots, ("count",))[0])[of]
+        common = model.common(model.statistics(pivots.astype(np.int64), ("count",))[0])
+        common = np.repeat(common, np.diff(np.append(_runs(pivot), len(pivot))))
         contexts = _runs(pivot, before)
         arrays = _table("ngrams", _hash(before, pivot, word), n=n)
         arrays |= _table("contexts", _hash(before[contexts], pivot[contexts]), **dict(zip(TALLY, _tallied(contexts, n))))
