@@ -33,7 +33,7 @@ KEPT = 256 << 20
 #: Words of an n-gram: 3 or 2.
 ORDER = 3
 #: Training tokens of a file of n-grams, and occurrences beyond which a word's n-grams are dealt over all files.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 3_000_000
 COMMON = 1_000_000
 START, END = mix(np.array([1, 2], dtype=np.uint64))
 
@@ -135,7 +135,7 @@ def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(words: np.ndarray, counts: np.ndarray, start: int, end: int, order: int) -> tuple[np.ndarray, ...]:
     """(document, the order - 1 words before, word) of each word and of the end of each document; starts stand before it."""
-    doc = np.repeat(np.arange(len(counts)), counts + 1)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
     last = np.cumsum(counts + 1) - 1
     word = np.empty(len(doc), dtype=words.dtype)
     inner = np.ones(len(doc), dtype=bool)
@@ -172,21 +172,24 @@ def numbered(model: Model, texts: list[str | None]) -> Numbered:
     by = np.argsort(ids, kind="stable")  # words of these texts are few: by their ranks an n-gram is one number
     rank = np.empty(len(by), dtype=np.int64)
     rank[by] = np.arange(len(by))
-    ids, seen, at = ids[by], seen[by], rank[at]
+    ids, seen, at = ids[by].astype(np.uint32), seen[by], rank.astype(np.int32)[at]
     doc, *context, word = ngrams(at[:-2], counts, at[-2], at[-1], model.order)
     pivot = context[-1]
-    before = context[-2] if model.order > 2 else np.zeros(len(doc), dtype=np.int64)
+    before = context[-2] if model.order > 2 else np.zeros(len(doc), dtype=np.int32)
     numbers = (ids[before] if model.order > 2 else before), ids[pivot], ids[word]
     shard = model.shard_of(*numbers, seen[pivot])
     bits = len(ids).bit_length()
     if 3 * bits + model.bits < 64:
-        key = ((shard << bits | pivot) << bits | before) << bits | word
+        key = shard << bits
+        for column in (pivot, before, word):
+            key |= column
+            key <<= bits * (column is not word)
         order = np.argsort(key)
         first = _runs(key[order])
     else:
         order = _sorted_by(shard, pivot, before, word)
         first = _runs(*(x[order] for x in (shard, pivot, before, word)))
-    return Numbered(doc, *numbers, seen[word], shard, order, first)
+    return Numbered(doc, *numbers, seen[word], shard.astype(np.int32), order, first)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list]]:
@@ -273,7 +276,7 @@ def _table(name: str, key: np.ndarray, **columns: np.ndarray) -> dict[str, np.nd
 
 
 #: Bytes of keys that a worker keeps.
-KEYS = 96 << 20
+KEYS = 64 << 20
 _KEYS: dict[tuple[int, str], tuple[object, np.ndarray]] = {}
 
 
