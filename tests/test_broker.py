@@ -110,6 +110,18 @@ def test_tiers_share_the_position():
     assert [t["exit_price"] for t in found] == [96.0] * 3 and sum(t["qty"] for t in found) == pytest.approx(10.0)
 
 
+def test_a_bracket_takes_the_additions_of_its_bar_along():
+    def run(own, bar, memory):
+        if own.bar == 0:
+            own.entry("L", True, 2.0)
+        if own.bar == 1:
+            own.exit("x", "L", limit=104.0, qty=2.0)
+            own.entry("L", True, 1.0)  # fills at the next open, before the bracket
+
+    own, _ = play([STILL, STILL, (101, 105, 100, 103)], run, pyramiding=5)
+    assert own.position == 0 and [(t["qty"], t["entry_price"], t["exit_price"]) for t in own.trades] == [(2.0, 100.0, 104.0), (1.0, 101.0, 104.0)]
+
+
 def test_partial_exits_are_done_once():
     def again(own, bar, memory):
         if own.bar == 0:

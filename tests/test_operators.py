@@ -298,3 +298,51 @@ def test_matrix_structure(spark):
     assert flat.cube == [] and flat.vectors == [] and flat.mode == 1.0 and flat.kron == [[1.0, 10.0, 2.0, 20.0, 3.0, 30.0]]
     assert empty.avg is None and empty.mode == 0.0 and empty.kron == [] and empty.cube == []
     assert none.cube is None and none.avg is None and bad.cube == [] and bad.vectors == []
+
+
+def test_sources_by_name_and_derived_feeds(spark):
+    df = bars(spark, [(1.0, 4.0, 0.5, 3.0)])
+    assert [column(df, w.source(n))[0] for n in ("close", "hl2", "ohlc4")] == [3.0, 2.25, 2.125]
+    rows = [("x", T0, 5.0, 5.0, 5.0, 5.0, 0.0), ("x", T0 + dt.timedelta(minutes=1), 7.0, 8.0, 6.0, 7.5, 0.1), ("x", T0 + dt.timedelta(minutes=2), 7.5, 7.5, 7.5, 7.5, 0.2)]
+    (row,) = timeframes.resample(spark.createDataFrame(rows, sources.BAR), "15", first_traded=True).collect()
+    assert (row.open, row.high, row.low, row.close, row.volume) == (7.0, 8.0, 5.0, 7.5, 0.3)
+
+
+def test_matrices_of_text(spark):
+    df = spark.createDataFrame([([["b", "x"], ["a", "y"]],)], "m array<array<string>>")
+    m = F.col("m")
+    row = df.select(scalars.matrix_transpose(m).alias("t"), scalars.matrix_sort(m, 0).alias("s"), scalars.matrix_set(m, 0, 1, F.lit("z")).alias("z"), scalars.matrix_concat(m, m, False).alias("c"), scalars.matrix_reverse(m).alias("r")).first()
+    assert row.t == [["b", "a"], ["x", "y"]] and row.s == [["a", "y"], ["b", "x"]] and row.z[0] == ["b", "z"] and len(row.c) == 4 and row.r == [["y", "a"], ["x", "b"]]
+
+
+def test_live_report(spark, tmp_path):
+    """Each batch hands on the trades of all bars so far."""
+    df = bars(spark, [100.0 + (i % 5) for i in range(30)])
+    ordered = sorted(df.collect(), key=lambda r: r.ts)
+    seen = {}
+
+    def run(own, bar, memory):
+        if own.bar % 4 == 0:
+            own.entry("a", own.bar % 8 == 0, 1.0)
+
+    for k in range(2):
+        spark.createDataFrame(ordered[15 * k : 15 * k + 15], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "bars"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+    query = live.live(stream, run, broker.Account(), lambda trades, k: seen.update({k: trades.count()}), folder=str(tmp_path / "seen"))
+    query.processAllAvailable()
+    query.stop()
+    assert seen[1] == broker.backtest(df, run).count() > seen[0] > 0
+
+
+def test_runs_of_timeframes(spark):
+    df = bars(spark, [100.0 + (i * 7 % 11) for i in range(120)], 15)
+
+    def flip(own, bar, memory):
+        own.entry("a", own.bar % 2 == 0, 1.0)
+
+    hours = broker.run(df, flip, "15", "60").orderBy("trade").collect()
+    assert hours == broker.run(df, flip, "15", "60", magnifier=True).orderBy("trade").collect()  # market orders fill at opens
+    assert hours[0].entry_ts == T0 + dt.timedelta(hours=1)
+    assert broker.run(df, flip, "15", "15", magnifier=True, samples=6).count() == broker.backtest(df, flip).count()
+    with pytest.raises(ValueError):
+        broker.run(df, flip, "60", "15")

@@ -110,6 +110,8 @@ class Lot:
     comment: str = ""
     #: Whether it was filled on the way along a bar, so that the price before doesn't count.
     inside: bool = False
+    #: Whether a market order added it to a position.
+    added: bool = False
 
 
 @dataclass
@@ -651,7 +653,7 @@ class Broker:
     def _open(self, order: Order, qty: float, price: float, place: float) -> None:
         if not self.lots:
             self.unclosed, self.cycle, self.done_partials, self.entries = {}, set(), set(), 0
-        self.lots.append(Lot(order.id, order.long, qty, price, self.bar, self.ts, price, price, order.comment, place > 0))
+        self.lots.append(Lot(order.id, order.long, qty, price, self.bar, self.ts, price, price, order.comment, place > 0, bool(self.lots) and not order.priced))
         self.unclosed[order.id] = self.unclosed.get(order.id, 0.0) + qty
         self.cycle.add(order.id)
         self.entries += 1
@@ -671,6 +673,8 @@ class Broker:
         self._close(qty, own, at, order.id, order.comment, corners, place)
         if order.kind == "exit" and order.partial and len(self.trades) > done:
             self.done_partials.add(order.id)
+        if order.kind == "exit" and order.of is not None and self.lots:
+            self._cover(order, at)
         if not self.lots:
             self._purge()
         elif order.kind == "exit":
@@ -679,6 +683,15 @@ class Broker:
             self.entries = len(self.lots)
         self._group(order, held - self.held)
 
+    def _cover(self, order: Order, price: float) -> None:
+        """A bracket that fills closes, at its price, what was added to its entry by market orders on this bar."""
+        added = [x for x in self.lots if x.id == order.of and x.bar == self.bar and x.added]
+        if added:
+            kept = [x for x in self.lots if x not in added]
+            self.lots = added
+            self._close(math.inf, None, price, order.id, order.comment)
+            self.lots = kept
+
     def _purge(self) -> None:
         """Without a position, exits go, but those of entries that are still to come."""
         coming = {o.id for o in self.orders if o.kind == "entry"}

@@ -72,6 +72,12 @@ def hlcc4() -> Column:
     return (F.col("high") + F.col("low") + 2 * F.col("close")) / 4
 
 
+def source(name: str) -> Column:
+    """One of a bar's own series by name: a column, or a mean of columns."""
+    derived = {"hl2": hl2, "hlc3": hlc3, "ohlc4": ohlc4, "hlcc4": hlcc4}
+    return derived[name]() if name in derived else F.col(name)
+
+
 # --- moving averages ------------------------------------------------------------------------
 
 

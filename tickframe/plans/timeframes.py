@@ -45,13 +45,15 @@ def detect(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts",
 def resample(bars: DataFrame, tf: str, keys: tuple[str, ...] = ("symbol",), complete: int | None = None, first_traded: bool = False) -> DataFrame:
     """Bars of a higher timeframe, labelled by their first bar; ``complete`` drops a last bucket of fewer bars.
 
-    ``first_traded`` takes the open of the first bar with volume, if one has.
+    ``first_traded`` takes the open of the first bar with volume, if one has, and rounds volumes to six digits,
+    as derived feeds have them.
     """
-    opened = F.min_by("open", "ts")
+    opened, volume = F.min_by("open", "ts"), F.sum("volume")
     if first_traded:
+        volume = F.round(volume, 6)
         opened = F.coalesce(F.min_by("open", F.when(F.col("volume") > 0, F.col("ts"))), opened)
     grouped = bars.groupBy(*keys, bucket(tf).alias("bucket")).agg(
-        F.min("ts").alias("ts"), opened.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("bars")
+        F.min("ts").alias("ts"), opened.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), volume.alias("volume"), F.count("*").alias("bars")
     )
     if complete:
         last = F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket")).isNull()
