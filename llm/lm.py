@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+import mmap
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +28,7 @@ from llm.words import hashes, mix, spans
 CHUNK = 10 << 20
 #: Files of the vocabulary, as powers of two; a word's file is the top bits of its hash. More input has more files.
 WORD_BITS, MOST_WORD_BITS = 6, 12
-#: Input partitions whose counts a task merges at once, and whose texts are scored by one task of a shard.
+#: Input partitions whose counts a task merges at once, and at most so many have their texts scored by one task.
 FAN_IN = 64
 #: Bytes of files that a worker keeps where the store can't be mapped.
 KEPT = 256 << 20
@@ -35,6 +37,12 @@ ORDER = 3
 #: Training tokens of a file of n-grams, and occurrences beyond which a word's n-grams are dealt over all files.
 SHARD_TOKENS = 3_000_000
 COMMON = 1_000_000
+#: Shares of the shards, as a power of two at most: a task scores texts by all shards of a share, and returns one sum a document.
+SHARE_BITS = 6
+#: N-grams that are looked up together.
+BATCH = 1_000_000
+#: Files that a worker maps at once; before Python 3.13 each takes a file descriptor.
+MAPS, UNTRACKED = (16384, {"trackfd": False}) if sys.version_info >= (3, 13) else (512, {})
 START, END = mix(np.array([1, 2], dtype=np.uint64))
 
 
@@ -100,12 +108,13 @@ _READ: dict[str, int] = {}
 def mapped(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped; from a store that can't be mapped they are read, and the oldest dropped beyond KEPT bytes."""
     if uri not in _MAPPED:
-        if len(_MAPPED) > 512:
+        if len(_MAPPED) > MAPS:
             _MAPPED.clear()
             _READ.clear()
         store, path = _store(uri)
         if isinstance(store, fs.LocalFileSystem):
-            data = np.memmap(path, dtype=np.uint8, mode="r")
+            with open(path, "rb") as source:
+                data = np.frombuffer(mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED), dtype=np.uint8)
         else:
             with store.open_input_stream(path) as source:
                 data = np.frombuffer(source.read(), dtype=np.uint8)
@@ -414,6 +423,15 @@ class Model:
                 found[some] = _find(mapped(f"{self.folder}/common-{s}"), "pairs", mix(key[some]), 1)[0]
         return found
 
+    def logs(self, shard: int, before: np.ndarray, pivot: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of n-grams of one shard in any order; those that repeat are looked up once."""
+        order = _ngram_order(pivot, before, word, self.size.bit_length())
+        pivot, before, word = pivot[order], before[order], word[order]
+        first = _runs(pivot, before, word)
+        found = np.empty(len(order))
+        found[order] = np.repeat(self.log10(shard, *(x[first].astype(np.int64) for x in (before, pivot, word))), np.diff(np.append(first, len(order))))
+        return found
+
     def log10(self, shard: int, before: np.ndarray, pivot: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the interpolated probabilities of distinct n-grams of one shard, sorted by pivot and the word before."""
         arrays = mapped(f"{self.folder}/ngrams-{shard}") if self.written[shard] else None
@@ -545,6 +563,17 @@ def _sorted_by(*columns: np.ndarray) -> np.ndarray:
     return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
+def _ngram_order(pivot: np.ndarray, before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The order of n-grams by pivot, word before and word, numbers of so many bits."""
+    rank, wide = pivot, bits
+    if 3 * bits > 64:
+        pivots = np.unique(pivot)
+        rank, wide = np.searchsorted(pivots, pivot), len(pivots).bit_length()
+    if wide + 2 * bits > 64:
+        return _sorted_by(pivot, before, word)
+    return np.argsort((rank.astype(np.uint64) << np.uint64(bits) | before) << np.uint64(bits) | word)
+
+
 def _count(docs: DataFrame, model: Model) -> None:
     """Count n-grams into files by pivots, pairs after common words into files by pairs, continuations by words."""
     vocabulary = 1 << model.word_bits
@@ -585,18 +614,14 @@ def _count(docs: DataFrame, model: Model) -> None:
         word, n = (np.concatenate([p[c] for p in parts]) for c in ("word", "count"))
         before = np.concatenate([np.cumsum(p["before"], dtype=np.uint32) for p in parts]) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
         del parts
-        pivots, bits = np.unique(pivot), model.size.bit_length()
-        if len(pivots).bit_length() + 2 * bits < 64:
-            rank = np.searchsorted(pivots, pivot).astype(np.uint64)
-            order = np.argsort((rank << np.uint64(bits) | before) << np.uint64(bits) | word)
-        else:
-            order = _sorted_by(pivot, before, word)
+        order = _ngram_order(pivot, before, word, model.size.bit_length())
         pivot, before, word, n = (x[order] for x in (pivot, before, word, n))
         at = _runs(pivot, before, word)
         n = np.add.reduceat(n.astype(np.int64), at)
         pivot, before, word = (x[at].astype(np.int64) for x in (pivot, before, word))
-        common = model.common(model.statistics(pivots.astype(np.int64), ("count",))[0])
-        common = np.repeat(common, np.diff(np.append(_runs(pivot), len(pivot))))
+        group = _runs(pivot)
+        common = model.common(model.statistics(pivot[group], ("count",))[0])
+        common = np.repeat(common, np.diff(np.append(group, len(pivot))))
         contexts = _runs(pivot, before)
         arrays = _table("ngrams", _hash(before, pivot, word), n=n)
         arrays |= _table("contexts", _hash(before[contexts], pivot[contexts]), **dict(zip(TALLY, _tallied(contexts, n))))
@@ -678,19 +703,22 @@ def _count(docs: DataFrame, model: Model) -> None:
 def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    A chunk of texts sends each shard its n-grams with the documents they stand in; the shard's task
-    maps its arrays and returns one sum a document. So no task reads more of the n-grams than its
-    shard, nor the texts of more than FAN_IN partitions, and texts are not shuffled. A null text is
+    A chunk of texts sends each share of the shards its n-grams with the documents they stand in; the
+    share's task maps the arrays of one shard after another, looks up each shard's n-grams of all chunks
+    together, and returns one sum a document. Shares don't grow in number with the input, as shards do:
+    neither do messages or sums of a document. A task has about the n-grams of a shard, of some partitions,
+    and texts are not shuffled. A null text is
     empty: its only token is the end. Ids may be null or repeat: each row is scored.
     """
     kind = dict(docs.dtypes)[ident]
-    shards = 1 << model.bits
+    shards, within = 1 << model.bits, max(0, model.bits - SHARE_BITS)
+    fan_in = max(1, min(FAN_IN, docs.rdd.getNumPartitions() * (SHARD_TOKENS << SHARE_BITS) // max(1, model.tokens)))
     docs = docs.select(F.col(f"`{ident}`"), F.col(f"`{text}`").cast("string"))
     columns = f"ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        piece = part // FAN_IN
+        piece = part // fan_in
         key_type = None
 
         def typed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -707,42 +735,55 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
             number_of = np.bincount(doc, minlength=len(keys)), np.bincount(doc, weights=seen > 0, minlength=len(keys)).astype(np.int64)
             shard, order = found.shard, found.order
             rows = []
-            for s, a, b in _parts(shard[order], shards):
-                some = order[a:b]
-                arrays = {"step": np.diff(pivot[some], prepend=0), "word": word[some], "doc": doc[some]} | ({"before": np.diff(before[some], prepend=0)} if model.order > 2 else {})
+            limits = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in range(shards >> within):
+                own = limits[s << within : (s + 1 << within) + 1]
+                some = order[own[0] : own[-1]]
+                if not len(some):
+                    continue
+                arrays = {"sizes": np.diff(own), "step": np.diff(pivot[some], prepend=0), "word": word[some], "doc": doc[some]} | ({"before": np.diff(before[some], prepend=0)} if model.order > 2 else {})
                 rows.append((s, packed(**{k: x.astype(np.uint32) for k, x in arrays.items()})))
             whose = [pa.array([v] + [None] * len(rows), pa.list_(t)) for v, t in ((keys, key_type), (number_of[0].tolist(), pa.int64()), (number_of[1].tolist(), pa.int64()), (base.tolist(), pa.float64()))]
             yield pa.record_batch(
-                [pa.array([chunk % shards] + [r[0] for r in rows], pa.int32()), pa.array([piece] * (len(rows) + 1), pa.int32()), pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([len(keys)] * (len(rows) + 1), pa.int32()), pa.array([None] + [r[1] for r in rows], pa.binary()), *whose],
-                names=["shard", "piece", "chunk", "docs", "payload", "ids", "n_tokens", "n_known", "base"],
+                [pa.array([chunk % (shards >> within)] + [r[0] for r in rows], pa.int32()), pa.array([piece] * (len(rows) + 1), pa.int32()), pa.array([chunk] * (len(rows) + 1), pa.int64()), pa.array([len(keys)] * (len(rows) + 1), pa.int32()), pa.array([None] + [r[1] for r in rows], pa.binary()), *whose],
+                names=["share", "piece", "chunk", "docs", "payload", "ids", "n_tokens", "n_known", "base"],
             )
 
     def look(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        sums = []
-        for n, payload in zip(table["docs"].to_pylist(), table["payload"].to_pylist()):
-            if payload is None:
-                sums.append(None)
+        shard = table["share"][0].as_py() << within
+        there = table["payload"].is_valid().to_pylist()
+        limits = np.cumsum([0] + [n * t for n, t in zip(table["docs"].to_pylist(), there)])
+        parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(1 << within)]
+        for payload, at in zip(table["payload"], limits):
+            if not payload.is_valid:
                 continue
-            p = unpacked(payload)
-            pivot, word = np.cumsum(p["step"].astype(np.int64)), p["word"].astype(np.int64)
-            before = np.cumsum(p["before"], dtype=np.uint32).astype(np.int64) if model.order > 2 else np.zeros(len(word), dtype=np.int64)
-            first = _runs(pivot, before, word)
-            at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-            logs = model.log10(shard, before[first], pivot[first], word[first])
-            sums.append(np.bincount(p["doc"], weights=logs[at], minlength=n).tolist())
+            p = unpacked(payload.as_py())
+            word = p["word"]
+            before = np.cumsum(p["before"], dtype=np.uint32) if model.order > 2 else np.zeros(len(word), dtype=np.uint32)
+            columns = before, np.cumsum(p["step"], dtype=np.uint32), word, p["doc"] + np.uint32(at)
+            own = np.concatenate([[0], np.cumsum(p["sizes"], dtype=np.int64)])
+            for some, a, b in zip(parts, own, own[1:]):
+                if a < b:
+                    some.append(tuple(c[a:b] for c in columns))
+        total = np.zeros(limits[-1])
+        for k, some in enumerate(parts):
+            sizes = np.cumsum([0] + [len(x[0]) for x in some])
+            for _, a, b in _parts(sizes[:-1] // BATCH, int(sizes[-1] // BATCH) + 1):
+                before, pivot, word, doc = (np.concatenate(c) for c in zip(*some[a:b]))
+                total += np.bincount(doc, weights=model.logs(shard + k, before, pivot, word), minlength=len(total))
+        sums = [total[a:b] if t else None for t, a, b in zip(there, limits, limits[1:])]
         return pa.table([table["chunk"], pa.array(sums, pa.list_(pa.float64())), *(table[c] for c in ("ids", "n_tokens", "n_known", "base"))], names=["chunk", "sums", "ids", "n_tokens", "n_known", "base"])
 
     def gather(table: pa.Table) -> pa.Table:
         total = 0.0
-        for s in table["sums"].to_pylist():
-            if s is not None:
-                total = total + np.array(s)
+        for s in table["sums"]:
+            if s.is_valid:
+                total = total + s.values.to_numpy()
         head = table.filter(table["ids"].is_valid())
         ids, n_tokens, n_known, base = (head[c].combine_chunks().flatten() for c in ("ids", "n_tokens", "n_known", "base"))
         return pa.table([ids, n_tokens, n_known, base, pa.array(np.broadcast_to(total, len(ids)))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    sent = map_arrow(docs, send, f"shard int, piece int, chunk long, docs int, payload binary, {columns}")
-    looked = sent.groupBy("shard", "piece").applyInArrow(look, f"chunk long, sums array<double>, {columns}")
+    sent = map_arrow(docs, send, f"share int, piece int, chunk long, docs int, payload binary, {columns}")
+    looked = sent.groupBy("share", "piece").applyInArrow(look, f"chunk long, sums array<double>, {columns}")
     scored = looked.groupBy("chunk").applyInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(ident), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

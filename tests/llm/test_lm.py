@@ -69,6 +69,30 @@ def test_against_brute_force(spark, monkeypatch, order, common):
     assert (common < 100) == bool(model.common_written.any()) or order == 2
 
 
+def test_a_shard_looks_up_the_ngrams_of_all_chunks_together(spark, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(100)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    with monkeypatch.context() as m:
+        m.setattr(lm, "SHARD_TOKENS", 100)
+        model = lm.train(docs)
+    monkeypatch.setattr(lm, "SHARE_BITS", 3, raising=False)
+    shards, written, log = 1 << model.bits, model.written, f"{tmp_path}/calls"
+
+    class Counted:
+        def __getitem__(self, shard):
+            with open(log, "a") as out:
+                out.write(f"{shard}\n")
+            return written[shard]
+
+    model.written = Counted()
+    rows = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    with open(log) as calls:
+        found = calls.read().split()
+    assert shards == 64 and 32 < len(found) == len(set(found)) <= shards  # each shard once, whatever the number of chunks
+    assert all(math.isclose(rows[i], want[-1], rel_tol=1e-9) for i, want in enumerate(brute(texts, texts, 3)))
+
+
 def test_missing_files_are_errors(spark):
     docs = spark.createDataFrame([(i, f"some words {i} of text") for i in range(50)], "doc_id long, text string")
     model = lm.train(docs)
