@@ -250,9 +250,28 @@ relational(
     lambda t: t("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct("user_id", "event_type")).alias("json")),
     "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}' AS json FROM events",
 )
+
+
+def followers(rows: DataFrame, key: str, ts: str, days: int) -> DataFrame:
+    """(key, n): how many rows of other keys begin within ``days`` from each row of the key, where there are any; no pair is made.
+
+    Rows are counted by instant. A range that begins in one stretch of its own length ends in the
+    next, so what lies in it is the rest of the one and the beginning of the other.
+    """
+    wide = days * 86_400_000_000
+    rows = rows.select(F.col(key), F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))").alias("_at")).dropna()
+    ends = F.array(F.struct(F.lit(0).alias("k"), X._at.alias("at"), X._c.alias("c")), F.struct(F.lit(1).alias("k"), (X._at + wide).alias("at"), F.lit(0).cast("long").alias("c")))
+    found = rows.groupBy("_at").agg(F.count("*").alias("_c")).select("_at", F.explode(ends).alias("_e")).select("_at", "_e.*").withColumn("_stretch", X.at - F.pmod("at", F.lit(wide)))
+    stretch = Window.partitionBy("_stretch")
+    before = F.coalesce(F.sum("c").over(stretch.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = found.select("_at", F.when(X.k == 0, F.sum("c").over(stretch) - before).otherwise(before).alias("n")).groupBy("_at").agg(F.sum("n").alias("_n"))
+    own = F.count("*").over(Window.partitionBy(key).orderBy("_at").rangeBetween(0, wide - 1))
+    return rows.withColumn("_own", own).join(within, "_at").groupBy(key).agg(F.sum(X._n - X._own).alias("n")).where("n > 0")
+
+
 relational(
     "range_join",
-    lambda t: t("orders").where("o_totalprice > 480000").alias("a").join(t("orders").where("o_totalprice > 480000").alias("b"), F.expr("b.o_orderdate >= a.o_orderdate AND b.o_orderdate < a.o_orderdate + INTERVAL 10 DAYS AND a.o_orderkey <> b.o_orderkey")).groupBy("a.o_orderkey").agg(F.count("*").alias("n")),
+    lambda t: followers(t("orders").where("o_totalprice > 480000"), "o_orderkey", "o_orderdate", 10),
     "SELECT a.o_orderkey, count(*) AS n FROM orders a JOIN orders b ON b.o_orderdate >= a.o_orderdate AND b.o_orderdate < a.o_orderdate + INTERVAL '10 days' AND a.o_orderkey <> b.o_orderkey WHERE a.o_totalprice > 480000 AND b.o_totalprice > 480000 GROUP BY a.o_orderkey",
 )
 
