@@ -40,7 +40,7 @@ COMMON = 1_000_000
 #: Shares of the shards, as a power of two at most: a task scores texts by all shards of a share, and returns one sum a document.
 SHARE_BITS = 6
 #: N-grams that are looked up together.
-BATCH = 1_000_000
+BATCH = 500_000
 #: Files that a worker maps at once; before Python 3.13 each takes a file descriptor.
 MAPS, UNTRACKED = (16384, {"trackfd": False}) if sys.version_info >= (3, 13) else (512, {})
 START, END = mix(np.array([1, 2], dtype=np.uint64))
@@ -108,9 +108,9 @@ _READ: dict[str, int] = {}
 def mapped(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped; from a store that can't be mapped they are read, and the oldest dropped beyond KEPT bytes."""
     if uri not in _MAPPED:
-        if len(_MAPPED) > MAPS:
-            _MAPPED.clear()
-            _READ.clear()
+        if len(_MAPPED) > MAPS or not next(iter(_MAPPED), uri).startswith(uri.rsplit("/", 1)[0] + "/"):  # another model's files
+            for kept in (_MAPPED, _READ, _KEYS):
+                kept.clear()
         store, path = _store(uri)
         if isinstance(store, fs.LocalFileSystem):
             with open(path, "rb") as source:
@@ -766,7 +766,8 @@ def score(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "tex
                 if a < b:
                     some.append(tuple(c[a:b] for c in columns))
         total = np.zeros(limits[-1])
-        for k, some in enumerate(parts):
+        for k in range(len(parts)):
+            some, parts[k] = parts[k], []
             sizes = np.cumsum([0] + [len(x[0]) for x in some])
             for _, a, b in _parts(sizes[:-1] // BATCH, int(sizes[-1] // BATCH) + 1):
                 before, pivot, word, doc = (np.concatenate(c) for c in zip(*some[a:b]))
